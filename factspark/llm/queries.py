@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, shards, warc
+from . import chat, decontam, langid, packing, rans, shards, warc
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_histogram_shards": shards.op2_histogram_shards,
+    "op5_pack": packing.op5_pack,
     "op6_chat_format": chat.op6_chat_format,
     "op7_warc": warc.op7_warc,
+    "op8_rans_tokens": rans.op8_rans_tokens,
     "op10_language_id": langid.op10_language_id,
 }
 
