@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embeddings, langid, packing, rans, shards, warc
+from . import chat, decontam, embeddings, jaccard, langid, packing, rans, shards, warc
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_histogram_shards": shards.op2_histogram_shards,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_embedding_near_dup": embeddings.op4_embedding_near_dup,
     "op5_pack": packing.op5_pack,
     "op6_chat_format": chat.op6_chat_format,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontaminate": decontam.ORACLE,
+    "op3_jaccard_join": jaccard.ORACLE,
     "op4_embedding_near_dup": embeddings.ORACLE,
     "op6_chat_format": chat.ORACLE,
     "op7_warc": warc.ORACLE,
