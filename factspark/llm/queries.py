@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embeddings, jaccard, langid, packing, rans, shards, warc
+from . import chat, decontam, embeddings, jaccard, langid, packing, rans, shards, suffix, warc
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_chat_format": chat.op6_chat_format,
     "op7_warc": warc.op7_warc,
     "op8_rans_tokens": rans.op8_rans_tokens,
+    "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
     "op10_language_id": langid.op10_language_id,
 }
 
