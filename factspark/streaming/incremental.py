@@ -33,7 +33,8 @@ def run_once(stream: DataFrame, checkpoint: str, out: str) -> None:
 def counts_of_stream(spark: SparkSession, path: str) -> DataFrame:
     """start, event_type, n after a run over all files of path: of each window the last update."""
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*")  # a pattern, as path may be one file.withColumn("ts", F.col("ts").cast("timestamp"))
+    # a pattern, as path may be a single file
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
     base = _folder(spark)
     run_once(windowed_counts(stream), f"{base}/checkpoint", f"{base}/out")
     rows = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
