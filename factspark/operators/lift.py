@@ -35,11 +35,12 @@ def _code_spans(text: str, php: bool) -> tuple[list[tuple[str, int, int]], str |
         if not first:
             return [], None
         at = first.end()
-    stack: list[tuple[str, list]] = []  # bracket, what ends with it: (kind, start)
+    stack: list[tuple[str, list, int]] = []  # bracket, what ends with it: (kind, start); where the expression before it began
     declared: list[tuple[str, int]] = []  # declarations whose body hasn't opened
     statement: tuple[str, int] | None = None
     word, word_at, before, classes, problem = "", 0, "", 0, None
     pending: str | None = None
+    chain = 0  # where the chain of accesses that is being read began
     for m in _CODE.finditer(text, at):
         kind, tok = m.lastgroup if m.lastgroup != "doc" else "skip", m[0]
         if kind in ("end", "island") and statement:
@@ -56,24 +57,27 @@ def _code_spans(text: str, php: bool) -> tuple[list[tuple[str, int, int]], str |
             pending = {"->": "member_call_expression", "?->": "member_call_expression", "::": "scoped_call_expression"}.get(word if before == "op" else "", "function_call_expression")
             if before == "word" and word.lower() == "function":
                 pending = None
+            chain = chain if before == "op" and word in ("->", "?->", "::") else m.start()
             word, word_at, before = tok, m.start(), "word"
             continue
+        if kind == "var" and before != "op":
+            chain = m.start()
         if kind == "open":
             ends = []
             if tok == "(" and before == "word" and pending and word.lower() not in NOT_CALLS:
-                ends.append((pending, word_at))
+                ends.append((pending, chain if pending != "function_call_expression" else word_at))
             if tok == "{" and declared:
                 ends.append(declared.pop())
                 classes += ends[-1][0] == "class_declaration"
-            stack.append((tok, ends))
+            stack.append((tok, ends, chain))
         elif kind == "close":
             if not stack or "({[".index(stack[-1][0]) != ")}]".index(tok):
                 problem = "SYNTAX_ERROR"
                 while stack and "({[".index(stack[-1][0]) != ")}]".index(tok):
-                    _, ends = stack.pop()
+                    _, ends, chain = stack.pop()
                     spans += [(k, s, m.start()) for k, s in ends]
             if stack:
-                _, ends = stack.pop()
+                _, ends, chain = stack.pop()
                 for k, s in ends:
                     spans.append((k, s, m.end()))
                     classes -= k == "class_declaration"
@@ -84,7 +88,7 @@ def _code_spans(text: str, php: bool) -> tuple[list[tuple[str, int, int]], str |
         before = kind
     if stack or statement:
         problem = "SYNTAX_ERROR"
-        spans += [(k, s, len(text)) for _, ends in stack for k, s in ends] + ([(statement[0], statement[1], len(text))] if statement else [])
+        spans += [(k, s, len(text)) for _, ends, _ in stack for k, s in ends] + ([(statement[0], statement[1], len(text))] if statement else [])
     return spans, problem
 
 
