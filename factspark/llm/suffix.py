@@ -190,7 +190,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["id", "spans"])
 
     parts = spans.mapInArrow(merge, "id long, spans array<struct<start: long, end: long>>")
-    whole = copied.select("id", F.lit(True).alias("all"))
+    whole = copied.where("id is not null").select("id", F.lit(True).alias("all")).distinct()
     return staged(parts.join(whole, "id", "left_anti").select("id", F.lit(False).alias("all"), "spans").union(whole.select("id", "all", F.lit(None).cast("array<struct<start: long, end: long>>"))), "repeats")
 
 
