@@ -101,3 +101,16 @@ def cross_file_flows(facts: DataFrame, cap: int = 5_000) -> DataFrame:
 
 def constraint_strength(unresolved: Column, unknown_branches: Column, phis: Column) -> Column:
     return F.greatest(F.lit(0), 100 - (F.when(unresolved > 0, 30).otherwise(0) + unknown_branches + F.floor(phis / 2))).cast("int")
+
+
+def lexical_flows(texts: DataFrame, source: str, sink: str, cleaner: str) -> DataFrame:
+    """file, source_line, sink_line of all pairs of a source and a sink line at or below it with no cleaner from one to the other.
+
+    A cleaner's line cuts a file into stretches (it belongs to none), so pairs are those within one stretch: an equal-key join.
+    """
+    clean = F.col("text").rlike(cleaner)
+    part = F.sum(clean.cast("int")).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = texts.withColumns({"part": part, "clean": clean}).where("not clean")
+    s = rows.where(F.col("text").rlike(source)).select("file", "part", F.col("line").alias("source_line"))
+    k = rows.where(F.col("text").rlike(sink)).select("file", "part", F.col("line").alias("sink_line"))
+    return s.join(k, ["file", "part"]).where("source_line <= sink_line").select("file", "source_line", "sink_line")

@@ -83,6 +83,32 @@ def flow_findings(edges: DataFrame, rule: FlowRule, grouped: bool = True) -> Dat
     return rows.select(ident.alias("finding_id"), F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.title).alias("title_key"), "file", "source_line", "sink_line", "src", "dst", "n", "witness")
 
 
+STATIC_INCLUDE = r"(?i)(include|require)(_once)?\s+.*__DIR__|plugin_dir_path|dirname\s*\(\s*__FILE__"
+
+
+def without_static_includes(edges: DataFrame, callsites: DataFrame) -> DataFrame:
+    """Edges whose sink line has no call (file, line, label) that includes a path fixed in the code."""
+    fixed = callsites.where(F.col("label").rlike(STATIC_INCLUDE)).select(F.col("file").alias("f"), F.col("line").alias("l"))
+    return edges.join(fixed, (F.col("file") == F.col("f")) & (F.col("sink_line") == F.col("l")), "left_anti")
+
+
+def heuristic_findings(patterns: DataFrame, pattern: str, rule_id: str) -> DataFrame:
+    return patterns.where(F.col("pattern") == pattern).select(F.lit(rule_id).alias("rule_id"), "file", "line")
+
+
+def with_framework(findings: DataFrame, framework: str) -> DataFrame:
+    """Findings stamped with the platform whose profile found them."""
+    return findings.withColumn("exposure", F.struct(F.lit("unknown").alias("surface"), F.lit(framework).alias("framework")))
+
+
+def resolve_profile(profile: str, signals: int) -> tuple[list[str], list[str], str]:
+    """(catalogs, adapters, pack) of a profile; auto is full from two platform signals on, else generic-php."""
+    if profile == "auto":
+        profile = "full" if signals >= 2 else "generic-php"
+    known = {"generic-php": (["generic"], [], "generic-php"), "wordpress": (["platform"], ["wordpress"], "wordpress"), "full": (["generic", "platform"], ["wordpress"], "full")}
+    return known[profile]
+
+
 def without_capability(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows of files without a capability check."""
     checked = facts.where("label = 'CapabilityCheck' and file is not null").select("file").distinct()

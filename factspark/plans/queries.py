@@ -238,10 +238,9 @@ def _(v: Views) -> DataFrame:
     return rules.one_per_sink(flows.nearest_sources(v.facts())).select("file", "sink_line", "src", "n", F.array_join("alternates", ",").alias("alternates"))
 
 
-@query("q31_cross_file_flows", sql("SELECT s.file AS source_file, s.id AS src, k.file AS sink_file, k.id AS dst, k.kind AS sink_kind FROM v_facts s JOIN v_facts k ON s.label = 'Source' AND k.label = 'Sink' AND NOT k.static AND s.file <> k.file AND s.kind = 'HTTP_SUPERGLOBAL' AND k.kind IN ('SQL', 'HTML', 'REDIRECT', 'HTTP_CLIENT', 'CODE_EXEC', 'OBJECT_INJECTION') AND s.k < 10 AND k.k < 30 ORDER BY s.file, s.line, s.ord, k.file, k.line, k.ord LIMIT 300", "v_facts"))
+@query("q31_cross_file_flows", sql("SELECT s.file AS source_file, s.id AS src, k.file AS sink_file, k.id AS dst, k.kind AS sink_kind FROM v_facts s JOIN v_facts k ON s.label = 'Source' AND k.label = 'Sink' AND NOT k.static AND s.file <> k.file AND s.kind = 'HTTP_SUPERGLOBAL' AND k.kind IN ('SQL', 'HTML', 'REDIRECT', 'HTTP_CLIENT', 'CODE_EXEC', 'OBJECT_INJECTION') ORDER BY s.file, s.line, s.ord, k.file, k.line, k.ord LIMIT 300", "v_facts"))
 def _(v: Views) -> DataFrame:
-    f = v.facts().where("(label = 'Source' and k < 10) or (label = 'Sink' and k < 30)")
-    return flows.cross_file_flows(f, 300).select("source_file", "src", "sink_file", "dst", "sink_kind")
+    return flows.cross_file_flows(v.facts(), 300).select("source_file", "src", "sink_file", "dst", "sink_kind")
 
 
 @query("q32_idor_anti", sql("SELECT file, sink_line, sink_kind, arg_min(src, sink_ord) AS src, arg_min(dst, sink_ord) AS dst, count(*) AS n FROM v_flows WHERE sink_kind IN ('SQL', 'HTML', 'OBJECT_INJECTION') AND source_line <> sink_line AND file NOT IN (SELECT file FROM v_facts WHERE label = 'CapabilityCheck') GROUP BY file, sink_line, sink_kind", "v_flows"))
@@ -453,3 +452,102 @@ def _(v: Views) -> DataFrame:
     from ..operators.lift import SAMPLES, lift
 
     return lift(v.spark.createDataFrame(SAMPLES, "file string, language string, text string"))
+
+
+# --- the rest of the inventory -----------------------------------------------------------------------------------------
+
+
+@query("q61_static_include_gate", sql("SELECT src, dst FROM v_flows w WHERE sink_kind = 'FILE_INCLUDE' AND NOT EXISTS (SELECT 1 FROM v_facts c WHERE c.file = w.file AND c.line = w.sink_line AND c.label = 'Other' AND c.k % 2 = 0)", "v_flows"))
+def _(v: Views) -> DataFrame:
+    f = v.facts()
+    preview = F.when(F.col("k") % 2 == 0, "require_once __DIR__ . $x").otherwise("load($x)")
+    calls = f.where("label = 'Other'").select("file", "line", preview.alias("label"))
+    edges = flows.flows(f, cap=None).where("sink_kind = 'FILE_INCLUDE'")
+    return rules.without_static_includes(edges, calls).select("src", "dst")
+
+
+@query("q62_base_graph", sql("SELECT 'node' AS part, label AS name, count(*) AS n FROM (SELECT unnest(['Repository', 'Snapshot']) AS label UNION ALL SELECT 'File' FROM v_files UNION ALL SELECT 'IRNode' FROM v_lines) GROUP BY label UNION ALL SELECT 'edge', rel, count(*) FROM (SELECT 'HAS_SNAPSHOT' AS rel UNION ALL SELECT 'IN_SNAPSHOT' FROM v_files UNION ALL SELECT 'CONTAINS_IR' FROM v_lines) GROUP BY rel", "v_files", "v_lines"))
+def _(v: Views) -> DataFrame:
+    ir = v.lines().select(F.col("file").cast("string").alias("file"), F.concat_ws(":", F.lit("ir"), F.col("file").cast("string"), F.col("line").cast("string")).alias("id"), F.col("text").alias("label"))
+    nodes, edges = graph.base_graph(v.files(), ir, "snap", "/root")
+    return report.counts_by(nodes, F.col("label"), "name").withColumn("part", F.lit("node")).union(report.counts_by(edges, F.col("rel"), "name").withColumn("part", F.lit("edge"))).select("part", "name", "n")
+
+
+@query("q63_lexical_flows", sql("SELECT s.file, s.line AS source_line, k.line AS sink_line FROM v_lines s JOIN v_lines k ON s.file = k.file AND s.line <= k.line AND regexp_matches(s.text, 'The ') AND regexp_matches(k.text, ' from ') WHERE NOT EXISTS (SELECT 1 FROM v_lines m WHERE m.file = s.file AND m.line >= s.line AND m.line <= k.line AND regexp_matches(m.text, ' with '))", "v_lines"))
+def _(v: Views) -> DataFrame:
+    return flows.lexical_flows(v.lines(), "The ", " from ", " with ")
+
+
+@query("q64_parse_cache", sql("SELECT f.rel_path, c.sha256 IS NOT NULL AS cached FROM v_files f LEFT JOIN (SELECT DISTINCT sha256 FROM v_base) c ON c.sha256 = f.sha256", "v_files", "v_base"))
+def _(v: Views) -> DataFrame:
+    cache = v.base_and_target()[0].select("sha256", F.lit("1").alias("lift_version"), F.lit("ok").alias("ir"))
+    return files.with_cache(v.files(), cache, "1").select("rel_path", F.col("ir").isNotNull().alias("cached"))
+
+
+@query("q65_ungrouped_findings", sql("SELECT src, dst, file, source_line, sink_line FROM v_flows WHERE sink_kind = 'HTML' AND source_line <> sink_line", "v_flows"))
+def _(v: Views) -> DataFrame:
+    return rules.flow_findings(flows.flows(v.facts(), cap=None), rules.FLOW_RULES["RULE-XSS-001"], grouped=False).select("src", "dst", "file", "source_line", "sink_line")
+
+
+@query("q66_signal_findings", sql("SELECT 'RULE-OBJINJ-001' AS rule_id, 'signal:' || id AS id, file, line, 35 AS constraint_strength FROM v_facts WHERE label = 'Sink' AND kind = 'OBJECT_INJECTION'", "v_facts"))
+def _(v: Views) -> DataFrame:
+    return rules.signal_findings(graph.signals(v.facts()), "object_injection_entrypoint", "RULE-OBJINJ-001", 35)
+
+
+@query("q67_heuristic_findings", sql("SELECT 'RULE-WP-NONCE-001' AS rule_id, file, 1 AS line FROM v_lines GROUP BY file HAVING bool_or(regexp_matches(text, 'the ')) AND bool_or(regexp_matches(text, 'that '))", "v_lines"))
+def _(v: Views) -> DataFrame:
+    return rules.heuristic_findings(facts.file_heuristic(v.lines(), ["the ", "that "], "NONCE_GET_ONLY"), "NONCE_GET_ONLY", "RULE-WP-NONCE-001")
+
+
+@query("q68_label_histogram", sql("SELECT label, count(*) AS n FROM v_nodes GROUP BY label", "v_nodes"))
+def _(v: Views) -> DataFrame:
+    return report.counts_by(v.nodes(), F.col("label"), "label")
+
+
+@query("q69_report_sections", sql(f"SELECT rule_id, file, sink_line, '## ' || rule_id || ' — `' || file || '` L' || sink_line || chr(10) || '- instances: **' || n || '**' || chr(10) || '- severity: **' || severity || '**' || chr(10) || '- confidence: max **' || printf('%.3f', max_conf) || '**, min **' || printf('%.3f', min_conf) || '**' || chr(10) AS section FROM ({_GROUPS})", "v_findings"))
+def _(v: Views) -> DataFrame:
+    return report.markdown(report.summary_groups(v.findings()))
+
+
+@query("q70_entrypoints", "SELECT rel_path, CASE WHEN page_id % 3 = 0 THEN 'wp-admin/admin-ajax.php' ELSE 'xmlrpc.php' END AS marker FROM (SELECT page_id, 'site' || page_id || ['/wp-admin/admin-ajax.php', '/XMLRPC.php', '/index.php'][page_id % 3 + 1] AS rel_path FROM pages) WHERE page_id % 3 < 2")
+def _(v: Views) -> DataFrame:
+    tail = v._pick(("/wp-admin/admin-ajax.php", "/XMLRPC.php", "/index.php"), F.col("page_id") % 3)
+    return graph.entrypoints(v.table("pages").select(F.concat(F.lit("site"), F.col("page_id").cast("string"), tail).alias("rel_path")))
+
+
+@query("q71_entities_and_callees", "SELECT id, entity, CASE WHEN entity = 'Callsite' THEN CASE WHEN id % 2 = 0 THEN 'foo' ELSE '' END END AS callee FROM (SELECT page_id AS id, ['Class', 'Function', 'Method', 'Callsite', NULL][page_id % 5 + 1] AS entity FROM pages) WHERE entity IS NOT NULL")
+def _(v: Views) -> DataFrame:
+    kind = v._pick(("class_declaration", "function_definition", "method_declaration", "member_call_expression", "echo_statement"), F.col("page_id") % 5)
+    ir = v.table("pages").select(F.col("page_id").alias("id"), kind.alias("kind"), F.when(F.col("page_id") % 2 == 0, "$x->foo(bar(1))").otherwise("$f").alias("label"))
+    return graph.entities(ir).select("id", "entity", "callee")
+
+
+@query("q72_cfg_edges", f"WITH f AS (SELECT DISTINCT conv_id, {_TOKEN} AS name FROM conversations WHERE role = 'assistant'), c AS (SELECT conv_id, turn, {_TOKEN} AS callee FROM conversations WHERE role = 'user') SELECT c.conv_id || ':' || c.turn AS src, coalesce('b:' || f.conv_id || ':' || f.name, 'block:' || c.callee) AS dst, CASE WHEN f.name IS NULL THEN 'UNKNOWN_BRANCH' ELSE 'NEXT' END AS rel FROM c LEFT JOIN f ON f.conv_id = c.conv_id AND f.name = c.callee")
+def _(v: Views) -> DataFrame:
+    token = F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1))
+    c = v.table("conversations").withColumn("file", F.col("conv_id").cast("string"))
+    calls = c.where("role = 'user'").select("file", F.concat_ws(":", "file", F.col("turn").cast("string")).alias("caller"), token.alias("callee"))
+    blocks = c.where("role = 'assistant'").select("file", token.alias("name")).distinct().withColumn("block", F.concat_ws(":", F.lit("b"), "file", "name"))
+    return graph.cfg_edges(calls, blocks)
+
+
+@query("q73_constraint_strength", "SELECT user_id, CAST(greatest(0, 100 - (CASE WHEN e > 0 THEN 30 ELSE 0 END + v + c // 2)) AS INTEGER) AS strength FROM (SELECT user_id, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c FROM events GROUP BY user_id)")
+def _(v: Views) -> DataFrame:
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    d = v.table("events").groupBy("user_id").agg(n("error").alias("e"), n("view").alias("v"), n("click").alias("c"))
+    return d.select("user_id", flows.constraint_strength(F.col("e"), F.col("v"), F.col("c")).alias("strength"))
+
+
+@query("q74_path_sets", sql("SELECT rel_path, 'both' AS part FROM v_base WHERE rel_path IN (SELECT rel_path FROM v_target) UNION ALL SELECT rel_path, 'only_target' FROM v_target WHERE rel_path NOT IN (SELECT rel_path FROM v_base)", "v_base", "v_target"))
+def _(v: Views) -> DataFrame:
+    b, t = (d.select("rel_path") for d in v.base_and_target())
+    return b.intersect(t).withColumn("part", F.lit("both")).union(t.subtract(b).withColumn("part", F.lit("only_target")))
+
+
+@query("q75_evidence_bundles", sql(f"SELECT substr(sha256(finding_id), 1, 24) AS folder, finding_id FROM ({_finding_sql(rules.FLOW_RULES['RULE-XSS-001'], 'SELECT * FROM v_flows')})", "v_flows"))
+def _(v: Views) -> DataFrame:
+    from ..sources import sinks
+
+    found = rules.flow_findings(flows.flows(v.facts(), cap=None), rules.FLOW_RULES["RULE-XSS-001"])
+    excerpts = report.excerpts(found.select(F.col("finding_id").alias("id"), "file", F.col("sink_line").alias("line")), v.facts().select("file", "line", F.col("id").alias("text")))
+    return sinks.evidence(found, excerpts).select("folder", "finding_id")

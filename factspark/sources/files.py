@@ -109,3 +109,17 @@ def wrapper_root(files: DataFrame, language: str = "php", most_levels: int = 3)
     depth = F.when(folder == "", 0).otherwise(F.size(F.split(folder, "/")))
     rows = files.where(F.col("language") == language).select(folder.alias("root"), depth.alias("depth")).where(F.col("depth") <= most_levels)
     return rows.groupBy("root", "depth").count().orderBy("depth", F.desc("count"), "root").limit(1).select("root")
+
+
+def with_cache(files: DataFrame, cache: DataFrame, lift_version: str) -> DataFrame:
+    """files with the cached result (ir) of their content, null where it must still be lifted."""
+    known = cache.where(F.col("lift_version") == lift_version).groupBy(F.col("sha256").alias("_sha")).agg(F.first("ir").alias("ir"))
+    return files.join(known, F.col("sha256") == F.col("_sha"), "left").drop("_sha")
+
+
+def write_snapshot(files: DataFrame, path: str) -> None:
+    """files (rel_path, sha256, size, language) as JSON lines, and the hashes of the manifest beside them."""
+    from .sinks import write_json_lines
+
+    write_json_lines(files.select("rel_path", "sha256", "size", "language"), f"{path}/files", "rel_path")
+    manifest_hashes(files).write.mode("overwrite").json(f"{path}/meta")
