@@ -3,9 +3,9 @@ intersections of sorted arrays for what passes.
 
 Two texts meet in a tile if they share a shingle among the first of either in one global order (the prefix principle: sets that
 overlap enough must). Shingles that many texts of one stretch of input have go last in that order, so common passages make no
-large tiles. Links are found in two rounds. Each shared shingle first offers pairs with one hub, the smallest text that has it;
-the second round compares the texts of a tile that the first round left in different components. Large groups of near copies
-thus cost pairs in proportion to their size, and no pair of different components goes uncompared.
+large tiles. Links are found in rounds. Each shared shingle first offers pairs with one hub; then each text of a tile is compared with
+the likeliest one of another component; the last round compares all texts of a tile that are still in different components.
+Large groups of near copies thus cost pairs in proportion to their size, and no pair of different components goes uncompared.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, shuffle_parts, staged
+from ._common import components, discard, shuffle_parts, staged
 
 WORDS, PERCENT = 5, 75
 #: Bits of a signature.
 BITS = 2_048
 #: Common shingles: counted in stretches of so many, from so many times a stretch on; at most so many are kept, for order only.
-STRETCH, OFTEN, COMMON = 4_000_000, 3, 500_000
+STRETCH, OFTEN, COMMON = 4_000_000, 2, 2_000_000
+#: Rounds in which each text of a tile is compared with its likeliest partner only, before all that is left is.
+ROUNDS = 2
 #: Rows of one block of a tile.
 BLOCK = 2_048
 #: Ids of texts to compare that are broadcast at most; beyond it they are joined by a shuffle.
@@ -61,12 +63,16 @@ def signature(h: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """For rows of signatures (as uint64 words) and set sizes: whether the overlap can be large enough. Elements that share a
-    bit with another of their own set are counted in full, so the bound never falls short."""
+def most_shared(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """For rows of signatures (as uint64 words) and set sizes: what the overlap is at most. Elements that share a bit with another
+    of their own set are counted in full, so the bound never falls short."""
     both = np.bitwise_count(a & b).sum(-1).astype(np.int64)
     spare = np.minimum(na - np.bitwise_count(a).sum(-1).astype(np.int64), nb - np.bitwise_count(b).sum(-1).astype(np.int64))
-    return linked(np.minimum(both + spare, np.minimum(na, nb)), na, nb, percent)
+    return np.minimum(both + spare, np.minimum(na, nb))
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return linked(most_shared(a, b, na, nb), na, nb, percent)
 
 
 def linked(shared, na, nb, percent: int = PERCENT):
@@ -108,20 +114,21 @@ def _describe(docs: DataFrame) -> DataFrame:
 
 
 def _common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, texts) of the most common shingles, by shingle; at most COMMON of them."""
-    counts = staged(rows.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")), "common")
-    grades = sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("c")).cast("int")).count().collect()), reverse=True)
+    """(shingle, grade) of the most common shingles, by shingle: at most COMMON of them, 9 bytes each. A grade is the log of a count."""
+    grade = F.floor(F.log2("c")).cast("tinyint")
+    counts = staged(rows.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).select("h", grade.alias("g")), "common")
     least, room = None, COMMON
-    for grade, n in grades:
+    for g, n in sorted(((r[0], r[1]) for r in counts.groupBy("g").count().collect()), reverse=True):
         if n > room:
             break
-        least, room = grade, room - n
+        least, room = g, room - n
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    t = counts.where(F.floor(F.log2("c")) >= least).toArrow()
-    h, c = t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy()
+        return np.zeros(0, np.uint64), np.zeros(0, np.int8)
+    t = counts.where(F.col("g") >= least).toArrow()
+    discard(counts)
+    h, g = t.column("h").to_numpy().view(np.uint64), t.column("g").to_numpy()
     order = np.argsort(h)
-    return h[order], c[order]
+    return h[order], g[order]
 
 
 def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -139,7 +146,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFr
     def run(batches):
         seen: set[bytes] = set()
         for b in batches:
-            hs, ids, sizes = [], [], []
+            hs, ids = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 key = xxhash.xxh3_128_digest((text or "").encode())
                 if doc is None or key in seen:
@@ -151,15 +158,15 @@ def _prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFr
                     p = prefix(h, common, counts)
                     hs.append(p)
                     ids.append(np.full(len(p), doc, np.int64))
-                    sizes.append(np.full(len(p), len(h), np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["h", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids))], ["h", "id"])
 
-    return docs.mapInArrow(run, "h long, id long, n int")
+    return docs.mapInArrow(run, "h long, id long")
 
 
 def _hubs(rows: DataFrame) -> DataFrame:
-    """(h, id, hub): each document but the first of a shared shingle, with the first, the smallest set. Runs are read as a stream."""
+    """(h, id, hub): each document but the first of a shared shingle, with the first. The order is by chance, but one order for
+    all shingles, so that texts with much in common mostly share a hub. Runs are read as a stream."""
 
     def run(batches):
         last, hub = None, None
@@ -176,12 +183,12 @@ def _hubs(rows: DataFrame) -> DataFrame:
             last, hub = h[-1], hubs[-1]
             yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(d[keep]), pa.array(hubs[keep])], ["h", "id", "hub"])
 
-    return rows.repartition(max(1, shuffle_parts(rows.sparkSession)), "h").sortWithinPartitions("h", "n", "id").select("h", "id").mapInArrow(run, "h long, id long, hub long")
+    return rows.repartition(max(1, shuffle_parts(rows.sparkSession)), "h").sortWithinPartitions("h", F.xxhash64("id"), "id").mapInArrow(run, "h long, id long, hub long")
 
 
-def _verified(pairs: DataFrame, about: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: bit counts first, then exact intersections. about: rep, n, sig; docs: id, text."""
-    spark = pairs.sparkSession
+def _verified(pairs: DataFrame, about: DataFrame | None, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link: bit counts first (unless about is None, as for pairs that have passed them), then exact
+    intersections. about: rep, n, sig; docs: id, text."""
     side = lambda x: about.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
 
     def bound(batches):
@@ -192,7 +199,7 @@ def _verified(pairs: DataFrame, about: DataFrame, docs: DataFrame) -> DataFrame:
                 ok = linked(np.minimum(na, nb), na, nb) & may_link(sa, sb, na, nb)
                 yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
 
-    few = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long"), "pairs")
+    few = staged(pairs if about is None else pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long"), "pairs")
     ids = staged(few.select(F.col("a").alias("i")).union(few.select(F.col("b").alias("i"))).distinct(), "ids")
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = staged(docs.join(small, docs["id"] == F.col("i"), "left_semi").dropDuplicates(["id"]), "texts")
@@ -216,11 +223,14 @@ def _verified(pairs: DataFrame, about: DataFrame, docs: DataFrame) -> DataFrame:
                 ok.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    return staged(both.mapInArrow(exact, "a long, b long"), "links")
+    links = staged(both.mapInArrow(exact, "a long, b long"), "links")
+    discard(few, ids, texts)
+    return links
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a tile in different components whose sizes and signatures allow a link. members: h, rep, comp, n, sig.
+def _cross_pairs(members: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of a tile in different components whose sizes and signatures allow a link, or of these only the likeliest of
+    each text. members: h, rep, comp, n, sig.
 
     A tile is a shared shingle and a band of sizes; a band reaches 4/3 from its lower end, so a text is entered in its own band
     and, as the larger of a pair, in the one below. A tile of more than BLOCK rows is compared block by block.
@@ -233,47 +243,50 @@ def _cross_pairs(members: DataFrame) -> DataFrame:
     key = ["h", "band", "lo", "hi"]
     rows = rows.repartition(max(1, shuffle_parts(members.sparkSession)), *key).sortWithinPartitions(*key, "n", "rep").select(*key, "mine", "rep", "comp", "n", "sig")
 
-    def compare(lo, hi, mine, rep, comp, n, sig):
-        out = []
-        left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        s = np.frombuffer(b"".join(sig), np.uint64).reshape(len(rep), -1)
-        for i in left:
-            j = right[right > i] if lo == hi else right
-            j = j[(comp[j] != comp[i]) & linked(np.minimum(n[i], n[j]), n[i], n[j])]
-            if len(j):
-                j = j[may_link(s[i], s[j], n[i], n[j])]
-                out += [(min(rep[i], x), max(rep[i], x)) for x in rep[j].tolist()]
-        return out
+    def compare(cols, sig):
+        """The pairs of whole tiles, that stand one after the other: every row with the one d rows on, for all d at once that a tile allows."""
+        *tile, mine, rep, comp, n = cols
+        s, (_, _, lo, hi) = np.frombuffer(b"".join(sig), np.uint64).reshape(len(rep), -1), tile
+        change = np.zeros(len(rep), np.int64)
+        change[1:] = np.stack([c[1:] != c[:-1] for c in tile]).any(0)
+        tile_of, i, d, out = np.cumsum(change), np.arange(len(rep)), 1, []
+        while len(i := i[i < len(rep) - d]) and len(i := i[tile_of[i] == tile_of[i + d]]):
+            j = i + d
+            ok = (comp[i] != comp[j]) & ((lo[i] == hi[i]) | (mine[i] != mine[j])) & linked(np.minimum(n[i], n[j]), n[i], n[j])
+            x, y = i[ok], j[ok]
+            most = most_shared(s[x], s[y], n[x], n[y])
+            ok = linked(most, n[x], n[y])
+            out.append(np.stack([x[ok], y[ok], most[ok] * 1_000_000 // (n[x] + n[y] - most)[ok]], 1))
+            d += 1
+        x, y, score = np.concatenate(out).T if out else np.zeros((3, 0), np.int64)
+        if best and len(x):
+            ends = np.concatenate([x, y])
+            order = np.lexsort((-np.concatenate([score, score]), ends))
+            first = order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])] % len(x)
+            x, y = x[first], y[first]
+        return np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], 1), axis=0)
 
     def run(batches):
-        now, held, found = None, [], set()
+        cols, sig = None, []
         for b in batches:
-            cols = [b.column(k).to_numpy() for k in range(8)]
-            sig = b.column(8).to_pylist()
             if not b.num_rows:
                 continue
-            change = np.flatnonzero((np.stack([c[1:] != c[:-1] for c in cols[:4]]).any(0) if b.num_rows > 1 else np.zeros(0, bool))) + 1
-            for s, e in zip([0, *change.tolist()], [*change.tolist(), b.num_rows], strict=True):
-                k = tuple(int(c[s]) for c in cols[:4])
-                if k != now and held:
-                    found.update(compare(now[2], now[3], *(np.concatenate(x) for x in list(zip(*held, strict=True))[:4]), [y for x in held for y in x[4]]))
-                    held = []
-                now = k
-                held.append((*(c[s:e] for c in cols[4:8]), sig[s:e]))
-            if len(found) > 100_000:
-                yield _pairs(found)
-                found = set()
-        if held:
-            found.update(compare(now[2], now[3], *(np.concatenate(x) for x in list(zip(*held, strict=True))[:4]), [y for x in held for y in x[4]]))
-        if found:
-            yield _pairs(found)
+            new = [b.column(k).to_numpy().astype(np.int64) for k in range(8)]
+            cols = new if cols is None else [np.concatenate(x) for x in zip(cols, new, strict=True)]
+            sig += b.column(8).to_pylist()
+            # the last tile may go on
+            cut = int(np.flatnonzero(np.stack([c != c[-1] for c in cols[:4]]).any(0))[-1]) + 1 if any((c != c[-1]).any() for c in cols[:4]) else 0
+            if cut:
+                yield _pairs(compare([c[:cut] for c in cols], sig[:cut]))
+                cols, sig = [c[cut:] for c in cols], sig[cut:]
+        if cols is not None:
+            yield _pairs(compare(cols, sig))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _pairs(found: set) -> pa.RecordBatch:
-    a = np.array(sorted((int(x), int(y)) for x, y in found), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+def _pairs(a: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, k])) for k in (0, 1)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -287,23 +300,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     rows = staged(_describe(docs), "described")
     common, counts = _common(rows)
     about = rows.where("h is null").select("id", "n", "k1", "k2", "sig")
+    # empty texts have no node
     nodes = staged(about.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "nodes")
-    # n > 0 in the condition keeps empty texts out; they have no node
-    member = staged(about.join(nodes, ["k1", "k2"], "left").select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
-    byid = member.where("id is not null and rep is not null").groupBy("id").agg(F.min("rep").alias("rep"))
-    byid = staged(byid, "reps")
-    known = member.where("sig is not null and rep is not null").dropDuplicates(["rep"]).select("rep", "n", "sig")
+    member = staged(about.join(nodes, ["k1", "k2"], "left").select("id", "n", "rep"), "members")
+    known = staged(about.join(nodes, ["k1", "k2"]).where("id = rep").dropDuplicates(["rep"]).select("rep", "n", "sig"), "known")
+    discard(rows, nodes)
+    byid = staged(member.where("id is not null and rep is not null").groupBy("id").agg(F.min("rep").alias("rep")), "reps")
     shared = staged(_hubs(_prefixes(docs, common, counts)), "shared")
     to = lambda x: byid.select(F.col("id").alias(x), F.col("rep").alias(f"r_{x}"))
     star = shared.select("id", "hub").distinct().join(to("id"), "id").join(to("hub"), "hub")
     star = star.where("r_id <> r_hub").select(F.least("r_id", "r_hub").alias("a"), F.greatest("r_id", "r_hub").alias("b")).distinct()
     links = _verified(star, known, docs)
-    first = staged(components(links), "components")
-    inside = staged(shared.select("h", "id").union(shared.select("h", F.col("hub").alias("id"))).distinct().join(byid, "id").select("h", "rep").distinct().join(first, F.col("rep") == F.col("id"), "left").select("h", "rep", F.coalesce("component", "rep").alias("comp")), "inside")
-    open_ = inside.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
-    tiles = inside.join(open_, "h", "left_semi").join(known, "rep")
-    more = _verified(_cross_pairs(tiles), known, docs)
-    last = staged(components(links.union(more)), "components").select(F.col("id").alias("c"), "component")
+    tiles = staged(shared.select("h", "id").union(shared.select("h", F.col("hub").alias("id"))).distinct().join(byid, "id").select("h", "rep").distinct(), "tiles")
+    discard(shared, byid)
+    for best in (*[True] * ROUNDS, False):
+        # shingles whose texts are not all in one component yet; the others need no comparison any more
+        comps = staged(components(links), "components")
+        inside = tiles.join(comps, F.col("rep") == F.col("id"), "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
+        open_ = inside.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
+        inside = staged(inside.join(open_, "h", "left_semi"), "inside")
+        more = _verified(_cross_pairs(inside.join(known, "rep"), best), None, docs)
+        all_ = staged(links.union(more), "links")
+        discard(links, more, tiles, comps)
+        links, tiles = all_, inside.select("h", "rep")
+        tiles._staged_path = inside._staged_path
+    last = staged(components(links), "components")
+    discard(tiles, known, links)
+    last = last.select(F.col("id").alias("c"), "component")
     return member.join(last, F.col("rep") == F.col("c"), "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
