@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op4_embedding_near_dup": embeddings.ORACLE,
     "op6_chat_format": chat.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op9_suffix_array_dedup": suffix.ORACLE,
 }

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shuffle_parts, staged
+from ._common import discard, shuffle_parts, staged
 from .sais import repeated_windows
 
 WIDTH, GRAM = 200, 32
@@ -104,7 +104,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
 
     segments = staged(single.select("id", "text").mapInArrow(cut, "id long, s int, n int, anchor long, several boolean"), "segments")
     often = segments.groupBy("anchor").agg(F.count("*").alias("times"), F.max("several").alias("m")).where("times > 1 or m").select(F.col("anchor").alias("a"), (F.col("times") > HOT).alias("hot"))
-    wanted = segments.join(staged(often, "anchors"), F.col("anchor") == F.col("a")).groupBy("id").agg(F.collect_list(F.struct("s", "n", "anchor", "hot")).alias("parts"))  # as many as a text is long
+    anchors = staged(often, "anchors")
+    wanted = segments.join(anchors, F.col("anchor") == F.col("a")).groupBy("id").agg(F.collect_list(F.struct("s", "n", "anchor", "hot")).alias("parts"))  # as many as a text is long
     found = wanted.join(single.select(F.col("id").alias("i"), "text"), F.col("id") == F.col("i")).select("id", "text", "parts")
     names = ["id", "s", "k", "d1", "d2", "content", "weight"]
 
@@ -142,6 +143,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), *(pa.array(c, pa.int64()) for c in k), pa.array([x[1][0] for x in part], pa.binary()), pa.array([x[1][1] for x in part], pa.int64())], names)
 
     taken = staged(found.mapInArrow(take, "id long, s long, k long, d1 long, d2 long, content binary, weight long"), "stretches")
+    discard(segments, anchors)
     pool = taken.where("content is not null").select("k", "d1", "d2", "content", "weight").repartition(max(1, shuffle_parts(docs.sparkSession)), "k").sortWithinPartitions("k", "d1", "d2")
 
     def decide(batches):
@@ -191,7 +193,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
 
     parts = spans.mapInArrow(merge, "id long, spans array<struct<start: long, end: long>>")
     whole = copied.where("id is not null").select("id", F.lit(True).alias("all")).distinct()
-    return staged(parts.join(whole, "id", "left_anti").select("id", F.lit(False).alias("all"), "spans").union(whole.select("id", "all", F.lit(None).cast("array<struct<start: long, end: long>>"))), "repeats")
+    out = staged(parts.join(whole, "id", "left_anti").select("id", F.lit(False).alias("all"), "spans").union(whole.select("id", "all", F.lit(None).cast("array<struct<start: long, end: long>>"))), "repeats")
+    discard(keys, texts, copied, taken, runs)
+    return out
 
 
 def removed(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -231,3 +235,16 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string() if i == 3 else pa.int64()) for i, c in enumerate(cols))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", "removed_spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(h[2 * i + 1 : 2 * i + 400]) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i - p > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r)),
+s AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM g GROUP BY doc_id, g),
+k AS (SELECT s.doc_id, s.s, s.e, coalesce(lag(s.e) OVER (PARTITION BY s.doc_id ORDER BY s.s), 0) AS p FROM s),
+t AS (SELECT k.doc_id, sum(k.e - k.s) AS n_removed, count(*) AS n_spans, string_agg(d.h[2 * k.p + 1 : 2 * k.s], '' ORDER BY k.s) AS head, max(k.e) AS last FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || d.h[2 * coalesce(last, 0) + 1 : 2 * d.n])) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
