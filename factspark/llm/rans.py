@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import shuffle_parts, staged
+from ._common import discard, shuffle_parts, staged
 from .tokens import encoder
 
 BLOCK, LANES, SCALE_BITS = 1 << 17, 1024, 20
@@ -195,10 +195,10 @@ def _block(part: int, block: int, first: int, ids: np.ndarray, listed: list, t:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], [x.split()[0] for x in _FILE.split(", ")])
 
 
-def decoded(blocks: DataFrame, table: Table) -> DataFrame:
+def decoded(blocks: DataFrame, table: Table, with_ids: bool = True) -> DataFrame:
     """The documents' pieces, every block decoded on its own and checked: part, ordinal, doc_id, start (in the part), begin (in
-    the document), n, crc32, ids (little-endian unsigned 32-bit)."""
-    names = ["part", "ordinal", "doc_id", "start", "begin", "n", "crc32", "ids"]
+    the document), n, crc32, and, if asked for, ids (little-endian unsigned 32-bit)."""
+    names = ["part", "ordinal", "doc_id", "start", "begin", "n", "crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]):
         slots = table.slots()
@@ -209,10 +209,10 @@ def decoded(blocks: DataFrame, table: Table) -> DataFrame:
                     raise ValueError(f"block {r['part']}, {r['block']} is damaged")
                 ends = np.cumsum(r["lengths"])
                 cut = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), r["lengths"], strict=True)]
-                cols = [[r["part"]] * len(cut), r["ordinals"], r["doc_ids"], (r["first"] + ends - r["lengths"]).tolist(), r["begins"], r["lengths"], [zlib.crc32(c) for c in cut], cut]
+                cols = [[r["part"]] * len(cut), r["ordinals"], r["doc_ids"], (r["first"] + ends - r["lengths"]).tolist(), r["begins"], r["lengths"], [zlib.crc32(c) for c in cut], *[cut] * with_ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 7 else pa.int32() if not i else pa.int64()) for i, c in enumerate(cols)], names)
 
-    return blocks.mapInArrow(run, "part int, ordinal long, doc_id long, start long, begin long, n long, crc32 long, ids binary")
+    return blocks.mapInArrow(run, "part int, ordinal long, doc_id long, start long, begin long, n long, crc32 long" + ", ids binary" * with_ids)
 
 
 def read_index(blocks: DataFrame, table: Table) -> DataFrame:
@@ -221,7 +221,7 @@ def read_index(blocks: DataFrame, table: Table) -> DataFrame:
     Documents without id come first, repeated rows are documents of their own; a null text holds the end id alone; an empty
     table gives no rows.
     """
-    pieces = decoded(blocks, table).drop("ids")
+    pieces = decoded(blocks, table, with_ids=False)
     docs = pieces.groupBy("part", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("begin", "n", "crc32"))).alias("pieces"))
     sizes = blocks.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each range partition
     ahead = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
@@ -240,4 +240,6 @@ def op8_rans_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     tokens = staged(tokenize(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), "tokens")
     width = encoder(path).dtype.itemsize
     table = count_ids(tokens, width)
-    return read_index(write_tokens(tokens, table, width), table)
+    blocks = write_tokens(tokens, table, width)
+    discard(tokens)
+    return read_index(blocks, table)

@@ -21,16 +21,21 @@ def _byte_letters() -> list[str]:
 
 
 class _Known(dict):
-    """piece -> ids; a piece that is not there is encoded on first use, and a full cache starts anew."""
+    """piece -> ids; a piece that is not there is encoded on first use. A full cache becomes the old one and a new one begins, so
+    that what is used often stays."""
 
     def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self.encode(piece)
         if len(self) >= self.limit:
+            self.old = self.copy()
             self.clear()
-        got = self[piece] = self.encode(piece)
+        self[piece] = got
         return got
 
 
