@@ -13,6 +13,8 @@ from ._common import shuffle_parts, staged
 CHUNK = 64 * 1024
 #: Bytes that a batch of chunk rows holds before it is handed on.
 BATCH = 4 * 1024 * 1024
+#: Payloads that occur more than once, by digest, are broadcast up to so many; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 ARCHIVE = "record_id long, url string, record_type string, refers_to long, header string, payload_bytes long, payload_digest string, chunk int, last boolean, data binary, running_digest string"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -35,7 +37,8 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     seen = p.where(F.col("size") >= least).groupBy(F.col("digest").alias("d"), F.col("size").alias("s")).agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    twice = seen.where("n > 1").drop("n")
+    twice = staged(seen.where("n > 1").drop("n"), "equal-payloads")
+    twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
     return p.join(twice, (p["digest"] == twice["d"]) & (p["size"] == twice["s"]), "left").drop("d", "s")
 
 
