@@ -23,19 +23,20 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """lang -> zstandard raw-content dictionary, from at most SAMPLE distinct texts of each language, chosen by text hash.
+    """lang -> zstandard raw-content dictionary, from at most SAMPLE distinct texts (their first SLICE characters) of each
+    language, chosen by hash. A dictionary is as long as its own language's sample, up to DICT_BYTES, whatever the others have.
 
-    The sample is drawn in SALTS parts of equal chance, so that no task sorts all texts of one language.
+    The sample is drawn in SALTS parts of equal chance, so that no task sorts all texts of one language; copies count once.
     """
-    hashed = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(F.col(text), 1, SLICE).alias("t"))
+    given = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, SLICE).alias("t"))
+    hashed = given.distinct().withColumn("h", F.xxhash64("t"))
     rank = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "t"))
     few = hashed.withColumn("r", rank).where(F.col("r") <= 2 * SAMPLE // SALTS).collect()
     out: dict[str, bytes] = {}
     for name in sorted({r["lang"] for r in few}):
-        texts = list(dict.fromkeys(r["t"] for r in sorted(few, key=lambda r: (r["r"], r["h"], r["t"])) if r["lang"] == name))[:SAMPLE]
-        out[name] = _words(" ".join(texts))
-    least = max(1_000, min((len(d) for d in out.values()), default=0))
-    return {k: d[-min(DICT_BYTES, least) :] for k, d in out.items()}  # of equal length, so that each has the same chance
+        texts = [r["t"] for r in sorted(few, key=lambda r: (r["r"], r["h"], r["t"])) if r["lang"] == name][:SAMPLE]
+        out[name] = _words(" ".join(texts))[-DICT_BYTES:]
+    return out
 
 
 def _words(text: str) -> bytes:

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,32 @@ def test_no_labels(spark):
     assert fit(spark.createDataFrame([], "doc_id long, lang string, text string")) == {}
 
 
+def labelled(n):
+    rng = random.Random(3)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(400)] for lang, letters in {"aa": "abcdefgh", "bb": "abcdefij", "cc": "abcdefkl", "dd": "abcdefmn"}.items()}
+    text = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(60))
+    return [(lang, text(lang)) for lang in words for _ in range(n)], [(lang, text(lang)) for lang in words for _ in range(20)]
+
+
+def test_a_tiny_label_leaves_the_others_as_they_are(spark):
+    train, asked = labelled(100)
+    without = fit(spark.createDataFrame(train, "lang string, text string"))
+    found = fit(spark.createDataFrame([*train, ("xx", "quirk")], "lang string, text string"))
+    assert {k: found[k] for k in without} == without and min(map(len, without.values())) > 20_000
+    c, d = Classifier(found), Classifier(without)
+    assert [c.predict(t)[0] for _, t in asked] == [lang for lang, _ in asked] == [d.predict(t)[0] for _, t in asked]
+    # a label without a letter wins nothing
+    odd = Classifier(fit(spark.createDataFrame([*train, ("yy", "12"), ("zz", "")], "lang string, text string")))
+    assert [odd.predict(t)[0] for _, t in asked] == [lang for lang, _ in asked]
+
+
+def test_copies_take_no_place_in_the_sample(spark):
+    train, _ = labelled(100)
+    once = fit(spark.createDataFrame(train, "lang string, text string"))
+    copied = spark.createDataFrame([r for r in train for _ in range(80)], "lang string, text string")
+    assert fit(copied) == once
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no generated tables")
 def test_held_out_accuracy(spark):
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
