@@ -83,45 +83,45 @@ def _text_keys(text: str):
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row (id, all, spans) for each document that has bytes to remove: all of them, or those of the sorted, disjoint spans
-    (start, end; end excluded) of its UTF-8 bytes. Document ids must differ; a document without id is looked at by its text only
-    (copies of it, and of its text, are found, its own spans are not)."""
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    keys = staged(d.select("id", *_text_keys("text")).where(F.col("bytes") >= width), "keys")
+    """A row (k1, k2, all, spans) for each distinct text that has bytes to remove: all of them, or those of the sorted, disjoint
+    spans (start, end; end excluded) of its UTF-8 bytes. Texts go by the keys of _text_keys, so ids may be null or repeated;
+    they only help to draw one row of each copied text."""
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), *_text_keys(text)).where(F.col("bytes") >= width)
+    keys = staged(d.select("id", "k1", "k2"), "keys")
     texts = staged(keys.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copied")
-    copied = staged(keys.join(texts, ["k1", "k2"]).select("id", (F.col("id") == F.col("rep")).alias("first")), "copies")
-    extra = copied.where("not first").select(F.col("id").alias("x"))
-    extra = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
-    single = d.where(F.octet_length("text") >= width).join(extra, F.col("id") == F.col("x"), "left_anti").where("id is not null")
+    small = F.broadcast(texts) if texts.count() <= BROADCAST_ROWS else texts
+    once = d.join(small, ["k1", "k2"], "left_anti").select("k1", "k2", "text")
+    first = staged(d.join(small, ["k1", "k2"]).where("id <=> rep").select("k1", "k2", "text").dropDuplicates(["k1", "k2"]), "first")
+    single = once.union(first)
 
     def cut(batches):
         for b in batches:
-            ids, starts, sizes, anchors, several = [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            k1, k2, starts, sizes, anchors, several = [], [], [], [], [], []
+            for x, y, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for s, n, a, m in stretches(t.encode(), width):
-                    ids.append(i), starts.append(s), sizes.append(n), anchors.append(a), several.append(m)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(anchors, pa.int64()), pa.array(several, pa.bool_())], ["id", "s", "n", "anchor", "several"])
+                    k1.append(x), k2.append(y), starts.append(s), sizes.append(n), anchors.append(a), several.append(m)
+            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(anchors, pa.int64()), pa.array(several, pa.bool_())], ["k1", "k2", "s", "n", "anchor", "several"])
 
-    segments = staged(single.select("id", "text").mapInArrow(cut, "id long, s int, n int, anchor long, several boolean"), "segments")
+    segments = staged(single.mapInArrow(cut, "k1 long, k2 long, s int, n int, anchor long, several boolean"), "segments")
     often = segments.groupBy("anchor").agg(F.count("*").alias("times"), F.max("several").alias("m")).where("times > 1 or m").select(F.col("anchor").alias("a"), (F.col("times") > HOT).alias("hot"))
     anchors = staged(often, "anchors")
-    wanted = segments.join(anchors, F.col("anchor") == F.col("a")).groupBy("id").agg(F.collect_list(F.struct("s", "n", "anchor", "hot")).alias("parts"))  # as many as a text is long
-    found = wanted.join(single.select(F.col("id").alias("i"), "text"), F.col("id") == F.col("i")).select("id", "text", "parts")
-    names = ["id", "s", "k", "d1", "d2", "content", "weight"]
+    wanted = segments.join(anchors, F.col("anchor") == F.col("a")).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "n", "anchor", "hot")).alias("parts"))  # as many as a text is long
+    found = wanted.join(single, ["k1", "k2"]).select("k1", "k2", "text", "parts")
+    names = ["k1", "k2", "s", "k", "d1", "d2", "content", "weight"]
 
     def take(batches):
         held: dict[tuple, list] = {}
         size = 0
         for b in batches:
             rows = []
-            for i, t, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for k1, k2, t, parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 data = t.encode()
                 for p in parts:
                     content = data[p["s"] : p["s"] + p["n"] + width - 1]
                     for off, n, key in _split(content, p["anchor"], width) if p["hot"] else [(0, p["n"], p["anchor"])]:
                         c = content[off : off + n + width - 1]
                         d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(c), np.int64).tolist()
-                        rows.append((i, p["s"] + off, key, d1, d2))
+                        rows.append((k1, k2, p["s"] + off, key, d1, d2))
                         if (h := held.get((key, d1, d2))) is None:
                             held[key, d1, d2] = [c, 1]
                             size += len(c) + 200
@@ -140,9 +140,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
         for at in range(0, len(items), 20_000):
             part = items[at : at + 20_000]
             k = list(zip(*(x[0] for x in part), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), *(pa.array(c, pa.int64()) for c in k), pa.array([x[1][0] for x in part], pa.binary()), pa.array([x[1][1] for x in part], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part), pa.int64()) for _ in range(3)), *(pa.array(c, pa.int64()) for c in k), pa.array([x[1][0] for x in part], pa.binary()), pa.array([x[1][1] for x in part], pa.int64())], names)
 
-    taken = staged(found.mapInArrow(take, "id long, s long, k long, d1 long, d2 long, content binary, weight long"), "stretches")
+    taken = staged(found.mapInArrow(take, "k1 long, k2 long, s long, k long, d1 long, d2 long, content binary, weight long"), "stretches")
     discard(segments, anchors)
     pool = taken.where("content is not null").select("k", "d1", "d2", "content", "weight").repartition(max(1, shuffle_parts(docs.sparkSession)), "k").sortWithinPartitions("k", "d1", "d2")
 
@@ -175,13 +175,13 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.struct([("f", pa.int64()), ("t", pa.int64())])))], ["k", "d1", "d2", "runs"])
 
     runs = staged(pool.mapInArrow(decide, "k long, d1 long, d2 long, runs array<struct<f: long, t: long>>"), "runs")
-    at = taken.where("content is null").select("id", "s", "k", "d1", "d2").join(runs, ["k", "d1", "d2"]).select("id", "s", F.explode("runs").alias("r"))
-    spans = at.groupBy("id").agg(F.collect_list(F.struct((F.col("s") + F.col("r.f")).alias("start"), (F.col("s") + F.col("r.t") + width - 1).alias("end"))).alias("raw"))
+    at = taken.where("content is null").select("k1", "k2", "s", "k", "d1", "d2").join(runs, ["k", "d1", "d2"]).select("k1", "k2", "s", F.explode("runs").alias("r"))
+    spans = at.groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("s") + F.col("r.f")).alias("start"), (F.col("s") + F.col("r.t") + width - 1).alias("end"))).alias("raw"))
 
     def merge(batches):
         for b in batches:
             out = []
-            for raw in b.column(1).to_pylist():
+            for raw in b.column(2).to_pylist():
                 now: list[list[int]] = []
                 for s, e in sorted((x["start"], x["end"]) for x in raw):
                     if now and s <= now[-1][1]:
@@ -189,12 +189,12 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
                     else:
                         now.append([s, e])
                 out.append([{"start": s, "end": e} for s, e in now])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["id", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["k1", "k2", "spans"])
 
-    parts = spans.mapInArrow(merge, "id long, spans array<struct<start: long, end: long>>")
-    whole = copied.where("id is not null").select("id", F.lit(True).alias("all")).distinct()
-    out = staged(parts.join(whole, "id", "left_anti").select("id", F.lit(False).alias("all"), "spans").union(whole.select("id", "all", F.lit(None).cast("array<struct<start: long, end: long>>"))), "repeats")
-    discard(keys, texts, copied, taken, runs)
+    parts = spans.mapInArrow(merge, "k1 long, k2 long, spans array<struct<start: long, end: long>>")
+    whole = texts.select("k1", "k2", F.lit(True).alias("all"), F.lit(None).cast("array<struct<start: long, end: long>>").alias("spans"))
+    out = staged(parts.join(texts, ["k1", "k2"], "left_anti").select("k1", "k2", F.lit(False).alias("all"), "spans").union(whole), "repeats")
+    discard(keys, texts, first, taken, runs)
     return out
 
 
@@ -202,16 +202,17 @@ def removed(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
     """docs with removed_spans, the byte ranges of the text that repeat (sorted, disjoint), judged on the input as it is.
 
     A byte goes if a window of `width` bytes over it also starts anywhere else, in the same document or another, copies
-    included. Null and short texts lose nothing; an empty table gives no rows; a column of that name is replaced.
+    included; rows with null or repeated ids are judged like all others. Null and short texts lose nothing; an empty table gives no rows; a column of that name is replaced.
     """
     docs = docs.drop("removed_spans")
-    found = repeats(docs.where(F.col(id_col).isNotNull()), width, text, id_col).withColumnsRenamed({"id": "_i", "all": "_all", "spans": "_spans"})
-    rows, size = found.agg(F.count("*"), F.sum(24 + 16 * F.coalesce(F.size("_spans"), F.lit(0)))).first()
+    found = repeats(docs, width, text, id_col).withColumnsRenamed({"k1": "_k1", "k2": "_k2", "all": "_all", "spans": "_spans"})
+    rows, size = found.agg(F.count("*"), F.sum(32 + 16 * F.coalesce(F.size("_spans"), F.lit(0)))).first()
     small = rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(F.col(text)).cast("long").alias("end")))
-    out = docs.join(F.broadcast(found) if small else found, docs[id_col].cast("long") == F.col("_i"), "left")
+    k1, k2, _ = _text_keys(text)
+    out = docs.withColumns({"_k1": k1, "_k2": k2}).join(F.broadcast(found) if small else found, ["_k1", "_k2"], "left")
     spans = F.when(F.col("_all") & (F.octet_length(F.col(text)) >= width), whole).otherwise(F.coalesce("_spans", F.lit([]).cast("array<struct<start: long, end: long>>")))
-    return out.withColumn("removed_spans", spans).drop("_i", "_all", "_spans")
+    return out.withColumn("removed_spans", spans).drop("_k1", "_k2", "_all", "_spans").select(*docs.columns, "removed_spans")
 
 
 def kept_bytes(data: bytes, spans: list[dict]) -> bytes:

@@ -67,6 +67,19 @@ def test_repeated_rows_and_empty_table(spark):
     assert removed(d.limit(0)).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids_are_judged_like_all_others(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, own, third = text(260), text(250), text(300)
+    texts = [text(90) + core, core + text(70), text(40) + own + "-" + own, text(400), third, third, text(50) + core[:230], "short", None]
+    ids = [1, None, None, 7, None, None, 7, None, None]
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    want = brute(list(enumerate(texts)))
+    got = sorted(((r.doc_id, r.text, [(s.start, s.end) for s in r.removed_spans]) for r in removed(d).collect()), key=repr)
+    assert got == sorted(((i, t, want[k]) for k, (i, t) in enumerate(zip(ids, texts, strict=True))), key=repr)
+    assert removed(d).columns == ["doc_id", "text", "removed_spans"]
+
+
 def test_stretches_cover_every_window_once():
     rng = random.Random(9)
     data = bytes(rng.randrange(97, 123) for _ in range(5000)) + b"x" * 5000
