@@ -9,6 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factspark.llm import decontam, jaccard, langid, packing, suffix
 from factspark.llm._common import staged
@@ -26,13 +27,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates, and one row of a repeated doc_id."""
-    groups = staged(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "groups")
-    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.where("doc_id is null").union(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    drop = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct(), "dropped")
+    """Keeps the document with the smallest doc_id of each group of near-duplicates, one without id only if none has one.
+
+    Rows are judged by text under staged row numbers, so rows that share an id or have none are judged apart. Texts without
+    words are in no group; of these, rows alike in doc_id and text stay once.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = jaccard.near_duplicates(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    wordless = F.col("n_shingles") == 0
+    about = rows.select("_row", "doc_id", F.when(F.trim(F.regexp_replace("text", r"\s+", "")) == "", F.col("text")).alias("_text")).join(groups, "_row")
+    group = [F.when(~wordless | F.col("doc_id").isNull(), F.col("component_id")), F.when(wordless, F.col("doc_id")), F.when(wordless, F.col("_text"))]
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("doc_id").asc_nulls_last(), "_row"))
+    drop = staged(about.withColumn("_nth", nth).where("_nth > 1").select("_row"), "dropped")
     drop = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    return rows.join(drop, "_row", "left_anti").select(*docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,14 @@ def test_each_stage_on_its_own_input(stages):
     assert windows and set(rows[4]) == {i for i, r in rows[3].items() if not leaks(r.text, items)[1]}
 
 
+def test_near_duplicates_judges_rows_with_one_id_or_none_apart(spark):
+    a, b, c, e = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white", "x y z u v w")
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (None, c), (None, e), (None, e), (4, ""), (4, ""), (5, ""), (None, None), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (3, c), (None, e), (4, ""), (5, ""), (None, None), (None, None)], key=repr)
+
+
 def test_packing_takes_all(stages):
     last = stages[1][-1][1].collect()
     assert {r.doc_id for r in last} == {r.doc_id for r in stages[1][-2][1].collect()}
