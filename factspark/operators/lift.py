@@ -173,7 +173,7 @@ def texts_of(spans: DataFrame) -> DataFrame:
     return spans.where("kind is not null").select("file", F.col("start_line").alias("line"), F.col("start_byte").alias("byte_off"), F.col("label").alias("text"))
 
 
-#: Small programs for tests and the registered query.
+#: Small programs for tests.
 SAMPLES = [
     ("db.php", "php", "<?php\n// reads one row\n$id = $_GET['id'];\n$rows = $db->query(\"SELECT * FROM t WHERE id = $id\");\nfunction show($r) {\n  echo htmlspecialchars($r['name']);\n  include 'foot.php';\n}\nshow($rows);\n?>\n<p>done</p>\n<?php class Box { public function get($k) { return Store::read($k, strlen('a(b')); } }\n"),
     ("app.js", "javascript", "class A { run(x) { return load(x, () => x.then(y)); } }\nfunction go(a) { /* a( */ return fetch(a).then(r => r.json()); }\n"),

@@ -449,9 +449,10 @@ def _(v: Views) -> DataFrame:
 
 @query("q60_code_lift")
 def _(v: Views) -> DataFrame:
-    from ..operators.lift import SAMPLES, lift
+    from ..operators.lift import lift
 
-    return lift(v.spark.createDataFrame(SAMPLES, "file string, language string, text string"))
+    pages = v.spark.read.parquet(f"{v.dir}/pages.parquet")
+    return lift(pages.select(F.col("page_id").cast("string").alias("file"), F.lit("html").alias("language"), F.col("html").alias("text")))
 
 
 # --- the rest of the inventory -----------------------------------------------------------------------------------------
