@@ -10,25 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._common import slices
+
 UNKNOWN = "und"
-#: The fit's bounds: texts sampled per language, the most characters that one of them gives, bytes of a dictionary.
-SAMPLE, SLICE, DICT_BYTES = 1_200, 600, 200_000
+#: The fit's bounds: texts sampled per language, characters of the passage that one of them gives, bytes of a dictionary.
+SAMPLE, PASSAGE, DICT_BYTES = 1_200, 600, 200_000
 SALTS = 64
 #: Texts are packed in pieces of so many bytes, so that the dictionary and not the text's own past decides; level 6 is the
 #: lowest that searches a dictionary well.
 PIECE, LEVEL = 1_024, 6
 #: Below this share of the second-smallest size saved, a prediction is rejected.
 MARGIN = 0.003
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """lang -> zstandard raw-content dictionary, from at most SAMPLE distinct texts (their first SLICE characters) of each
-    language, chosen by hash. A dictionary is as long as its own language's sample, up to DICT_BYTES, whatever the others have.
+    """lang -> zstandard raw-content dictionary, from at most SAMPLE distinct texts of each language, chosen by hash: of each a
+    passage of PASSAGE characters from a place that the text's hash draws, so that all parts of texts are learned from. A dictionary is as long as its own language's sample, up to DICT_BYTES, whatever the others have.
 
     The sample is drawn in SALTS parts of equal chance, so that no task sorts all texts of one language; copies count once.
     """
-    given = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, SLICE).alias("t"))
+    start = F.pmod(F.xxhash64(F.lit(5), F.col(text)), F.greatest(F.char_length(F.col(text)) - PASSAGE, F.lit(0)) + 1).cast("int") + 1
+    given = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substr(F.col(text), start, F.lit(PASSAGE)).alias("t"))
     hashed = given.distinct().withColumn("h", F.xxhash64("t"))
     rank = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "t"))
     few = hashed.withColumn("r", rank).where(F.col("r") <= 2 * SAMPLE // SALTS).collect()
@@ -41,7 +44,10 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, b
 
 def _words(text: str) -> bytes:
     """Lower-case runs of letters, as signs, digits and capitals tell nothing of a language."""
-    return " ".join(_LETTERS.findall(text.lower())).encode()
+    found = " ".join(_WORDS.findall(text.lower()))
+    if not found.replace(" ", "").isalpha():  # word characters that are no letters, as fractions and Roman numerals
+        found = " ".join("".join(c if c.isalpha() else " " for c in found).split())
+    return found.encode()
 
 
 class Classifier:
@@ -77,7 +83,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
     def run(batches):
         c = Classifier(dictionaries)
-        for b in batches:
+        for b in slices(batches):
             found = [c.predict(t) for t in b.column(names.index(text)).to_pylist()]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*names, "lang_pred", "lang_score", "lang_rejected"])

@@ -24,6 +24,23 @@ def test_odd_texts(spark):
     assert all(0 <= r.lang_score <= 1 for r in identify(d, m).collect())
     assert identify(d.limit(0), m).count() == 0
     assert Classifier({}).predict("x")[0] == "und"
+    # fractions, powers and Roman numerals are no letters
+    assert Classifier(m).predict("½ ² Ⅷ 1")[:1] + Classifier(m).predict("½")[2:] == ("und", True)
+
+
+def test_letters():
+    from factspark.llm.langid import _words
+
+    assert _words("It's 3½ CMⅧ été x²y_z") == "it s cm été x y z".encode()
+    odd = "".join(map(chr, [*range(0x250), *range(0x2070, 0x2190), *range(0x3000, 0x3100)])).lower()
+    assert "".join(_words(odd).decode().split()) == "".join(c for c in odd if c.isalpha())
+
+
+def test_all_parts_of_texts_are_learned_from(spark):
+    head = "kopf " * 200
+    rows = [("a", head + " ".join(f"mitte{i}x{k}" for k in range(200))) for i in range(40)]
+    found = fit(spark.createDataFrame(rows, "lang string, text string"))["a"].decode()
+    assert "mittex" not in found and sum("mitte" in w for w in found.split()) > 1_000
 
 
 def test_no_labels(spark):
