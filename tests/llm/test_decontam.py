@@ -65,3 +65,20 @@ def test_empty_tables(spark):
     assert find_leaks(docs, items).first().hit_items == []
     assert find_leaks(docs.where(F.lit(False)), items).count() == 0
     assert Benchmark([]).scan([b"a b c"]) == [(3, [], set())]
+
+
+def test_half_a_million_windows_leave_positions_to_skip():
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(40_000)]
+    items = [(i, " ".join(names[k] for k in rng.integers(0, 40_000, 1_000))) for i in range(510)]
+    b = Benchmark(items)
+    search = b.searches[0][0]
+    assert len(search.patterns) > 500_000 and search.shift.nbytes <= 1 << 27
+    # what workers hold: the table, patterns, order and suffixes
+    assert search.shift.nbytes + search.patterns.nbytes + search.order.nbytes + search.suffix.nbytes < 200_000_000
+    w = rng.integers(1, 40_001, 200_000).astype(np.int32)
+    assert search.shift[(search._hash(w, np.arange(9, len(w))) >> search.down).astype(np.int64)].mean() > 6
+    text = " ".join(names[k] for k in rng.integers(0, 40_000, 5_000)).encode()
+    given = items[77][1].encode()
+    (_, none, _), (n, spans, ids) = b.scan([text, text + b" " + given])
+    assert none == [] and spans == [(5_000, 6_000)] and ids == {"77"} and n == 6_000
