@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import slices
 from .tokens import encoder
 
 LENGTH, GROUP = 4096, 1024
@@ -54,7 +55,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, te
     def run(batches):
         e = encoder(path)
         end = np.array([end_id], e.dtype).tobytes()
-        for b in batches:
+        for b in slices(batches, 256):
             out = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(e.encode(t) + end, e.dtype).astype("<u4")
@@ -68,15 +69,18 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, te
 def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, group: int = GROUP, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row per piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
-    Documents are cut every `length` ids, which fills whole sequences; the pieces that are left are packed within groups of
-    about `group` pieces drawn by hash, so a group's size doesn't depend on the data. Each id lies in exactly one piece, and
+    Documents are cut every `length` ids. A full piece is a sequence of its own; what is left of each document, one piece at
+    most, is packed within groups of about `group` pieces drawn by hash. Full pieces come in groups of that size too, as there
+    are no more of them than bytes / length, so a group's size doesn't depend on the data or on the length of its documents. Each id lies in exactly one piece, and
     a sequence's offsets run from 0 without a gap. A null or empty text is its end id alone; repeated rows are documents of
     their own; documents without id share one null id; an empty table gives no rows.
     """
-    n = max(1, -(-docs.count() // group))
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    tails, fulls = max(1, -(-n // group)), max(1, -(-size // (length * group)))
     rows = pieces(docs, path, end_id, length, text, id_col)
     # the ids' checksum spreads repeated rows, as long as they differ in any id; what is still alike is dealt by chance of no matter
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", F.crc32("ids")), F.lit(n)))
+    chance = F.xxhash64("doc_id", "start", F.crc32("ids"))
+    rows = rows.withColumn("grp", F.when(F.col("length") < length, F.pmod(chance, F.lit(tails))).otherwise(-1 - F.pmod(chance, F.lit(fulls))))
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
     names = [x.split()[0] for x in schema.split(", ")]
 

@@ -102,3 +102,21 @@ def test_packing_holds_every_id_once(spark):
             at += n
         assert at <= 256
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_pieces_equal_the_librarys_ids_and_groups_stay_small(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    docs = [(i, f"Some words number {i}, and more. " * (300 if i == 3 else i % 7)) for i in range(40)] + [(40, None)]
+    d = spark.createDataFrame([(i, t, "x", 1.0) for i, t in docs], "doc_id long, text string, ids string, grp double")
+    rows = packing.pack(d, path, length=64, group=8).select("*", F.crc32("ids").alias("crc")).collect()
+    for i, t in docs:
+        want = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
+        assert np.array_equal(np.concatenate([np.frombuffer(r.ids, "<u4") for r in own]), want) and {r.doc_tokens for r in own} == {len(want)}
+        assert all(r.crc == zlib.crc32(want[r.start : r.start + r.length].tobytes()) for r in own)
+    # a long document's full pieces are spread over groups of their own
+    full = [r.sequence_id >> 32 for r in rows if r.length == 64]
+    assert len(set(full)) > 5 and max(full) < 0 and len(full) == len({r.sequence_id for r in rows if r.length == 64})
