@@ -10,14 +10,22 @@ from pyspark.sql import functions as F
 
 from ._common import components, staged
 
-#: The fit's bounds: vectors sampled for it, lists (one per ROWS_A_LIST vectors), subspaces and codes of each.
-SAMPLE, LISTS, ROWS_A_LIST, SUBSPACES, CODES = 8_192, (16, 4_096), 512, 8, 256
-#: Lists that each vector is entered in. Two vectors meet if they share one of them.
-PROBES = 4
+#: The fit's bounds: least and most vectors sampled for it, lists (one per ROWS_A_LIST vectors), subspaces and codes of each.
+SAMPLE, LISTS, ROWS_A_LIST, SUBSPACES, CODES = (8_192, 65_536), (16, 16_384), 512, 8, 256
 #: Rows of one block of a list; a longer list is compared block by block.
 BLOCK = 1_024
 
 
+def sample_size(lists: int) -> int:
+    """Vectors that a fit of so many lists looks at: eight a list, within the bounds."""
+    return min(SAMPLE[1], max(SAMPLE[0], 8 * lists))
+
+
+def probes(lists: int) -> int:
+    """Lists that each vector is entered in, more as lists get more and smaller. Two vectors meet if they share one of them."""
+    return 4 + max(0, (lists // 256).bit_length())
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -70,45 +78,50 @@ def _unit(column: pa.Array, dims: int) -> np.ndarray:
     return out / np.sqrt((out * out).sum(1))[:, None]
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, probes: int = PROBES, vec: str = "embedding", id_col: str = "vec_id", label: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, vec: str = "embedding", id_col: str = "vec_id", label: str = "label") -> DataFrame:
     """A row per vector: vec_id, n_links, component_id, kept. Linked: cosine of at least `least` under one label.
 
-    Equal vectors of a label are one class and are counted, not compared. The index is fitted on at most SAMPLE vectors and
-    holds every class, in the lists of its `probes` nearest centroids; two classes are compared in the first list that they
+    Equal vectors of a label are one class and are counted, not compared. The index is fitted on a sample of
+    bounded size and holds every class, in the lists of its nearest centroids; two classes are compared in the first list that they
     share, if their asymmetric distance allows the cosine (the codes' own error is added, so this loses nothing). Pairs that
     share no list are missed: the recall is measured in the tests. A long list is cut into blocks that are compared two by
     two. Pairs are counted where they are found; only counts and a spanning forest leave a task.
     Vectors that are null, empty, zero or hold null or non-finite components, and those without label, link with nothing, nor
-    do vectors of different lengths. A null id is a vector whose component is null. An empty table gives no rows.
+    do vectors of different lengths. Ids only name components, by the smallest of their rows: rows that share an id or
+    have none are judged by their vectors, and a component is null only if no row of it has an id. An empty table gives no rows.
     """
     spark: SparkSession = vectors.sparkSession
     all_ = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("v"))
     good = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    classes = staged(all_.where(good).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("size", F.size("v")), "classes")
+    classes = staged(all_.where(good).groupBy("label", "v").agg(F.min("id").alias("low"), F.count("*").alias("copies")).withColumn("size", F.size("v")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     n, dims = classes.agg(F.count("*"), F.max("size")).first()
     own = all_.withColumn("good", good)
-    back = own.join(classes.select(F.col("label").alias("l"), F.col("v").alias("w"), "rep", "copies"), F.col("good") & (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("same"))
+    back = own.join(classes.select(F.col("label").alias("l"), F.col("v").alias("w"), "rep", "low", "copies"), F.col("good") & (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left").select("id", "rep", F.coalesce("low", "id").alias("low"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("same"))
     if n:
-        sample = classes.orderBy(F.xxhash64("v")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-        q = Quantiser(_unit(sample, dims), min(LISTS[1], max(LISTS[0], n // ROWS_A_LIST)))
-        found = staged(_compare(classes, q, dims, least, probes), "links")
+        lists = min(LISTS[1], max(LISTS[0], n // ROWS_A_LIST))
+        sample = classes.orderBy(F.xxhash64("v")).limit(sample_size(lists)).select("v").toArrow().column("v").combine_chunks()
+        q = Quantiser(_unit(sample, dims), lists)
+        found = staged(_compare(classes, q, dims, least), "links")
         counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
         comps = components(found.where("b is not null").select("a", "b"))
     else:
         counts = spark.createDataFrame([], "a long, links long")
         comps = spark.createDataFrame([], "id long, component long")
-    byrep = classes.select("rep").join(counts, F.col("rep") == F.col("a"), "left").join(comps.withColumnRenamed("id", "c"), F.col("rep") == F.col("c"), "left").where("links is not null or component is not null").select(F.col("rep").alias("r"), "links", "component")
+    comps = staged(comps, "components")
+    least = comps.join(classes.select("rep", "low"), F.col("id") == F.col("rep")).groupBy("component").agg(F.min("low").alias("least"))
+    comps = comps.join(least, "component").select(F.col("id").alias("c"), "least")
+    byrep = classes.select("rep").join(counts, F.col("rep") == F.col("a"), "left").join(comps, F.col("rep") == F.col("c"), "left").where("links is not null or c is not null").select(F.col("rep").alias("r"), "links", F.col("c").isNotNull().alias("on"), "least")
     out = back.join(byrep, F.col("rep") == F.col("r"), "left")
-    component = F.coalesce("component", "rep")
+    component = F.when(F.col("on"), F.col("least")).otherwise(F.col("low"))
     return out.select(F.col("id").alias("vec_id"), (F.col("same") + F.coalesce("links", F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _compare(classes: DataFrame, q: Quantiser, dims: int, least: float, probes: int) -> DataFrame:
+def _compare(classes: DataFrame, q: Quantiser, dims: int, least: float) -> DataFrame:
     """Rows (a, null, n): n links of class a, copies included; rows (a, b, null): an edge of a spanning forest of a comparison."""
 
     def enter(batches):
         for b in batches:
-            lists = nearest(_unit(b.column(3), dims), q.coarse, probes)
+            lists = nearest(_unit(b.column(3), dims), q.coarse, probes(len(q.coarse)))
             lists.sort(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists.tolist(), pa.list_(pa.int32()))], ["label", "rep", "copies", "v", "size", "lists"])
 

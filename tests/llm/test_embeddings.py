@@ -55,6 +55,32 @@ def test_odd_vectors(spark):
     assert near_duplicates(empty).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_are_judged_by_their_vectors(spark):
+    rows = [(None, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (5, [1.0, 0.02], 1), (5, [0.0, 1.0], 1), (None, [-1.0, 0.0], 1), (None, [-1.0, 0.01], 1)]
+    got = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted([(None, 2, 5, False), (None, 2, 5, False), (5, 2, 5, True), (5, 0, 5, True), (None, 1, None, False), (None, 1, None, False)], key=repr)
+
+
+@pytest.mark.parametrize("lists", [1_024, 4_096])
+def test_recall_at_many_lists(lists):
+    """Every hundredth vector against all rows, by the lists that both are entered in; pairs at the very edge of a link."""
+    rng = np.random.default_rng(lists)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(600, 32)))
+    x = unit(centres[rng.integers(0, 600, 60_000)] + 0.7 * rng.normal(size=(60_000, 32)) / np.sqrt(32))
+    at = np.arange(0, 60_000, 100)
+    for i in at:
+        off = rng.normal(size=32)
+        off -= off @ x[i] * x[i]
+        cosine = rng.uniform(0.98, 0.99)
+        x[i + 1] = cosine * x[i] + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off)
+    coarse = embeddings.kmeans(x[rng.choice(60_000, embeddings.sample_size(lists), replace=False)], lists, 4)
+    entered = embeddings.nearest(x, coarse, embeddings.probes(lists))
+    truth = [np.setdiff1d(np.flatnonzero(x @ x[i] >= 0.98), [i]) for i in at]
+    found = sum(len(np.intersect1d(entered[i], entered[j])) > 0 for i, js in zip(at, truth, strict=True) for j in js)
+    assert sum(map(len, truth)) >= len(at) and found >= 0.97 * sum(map(len, truth))
+
+
 def test_asymmetric_distances_are_within_the_codes_error():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16))
