@@ -59,6 +59,22 @@ def test_near_duplicates_judges_rows_with_one_id_or_none_apart(spark):
     assert got == sorted([(1, a), (1, b), (3, c), (None, e), (4, ""), (5, ""), (None, None), (None, None)], key=repr)
 
 
+def test_stages_keep_odd_rows_and_columns(spark):
+    long = "a passage that comes again and again in these documents " * 6
+    rows = [(1, "the dog and the cat " * 20, "en", "s", 1, "mine", "p", 2.0), (1, "the dog and the cat " * 20, "en", "s", 1, "mine", "p", 2.0), (2, None, None, None, None, None, None, None), (None, "", "en", None, 0, "x", "q", 1.0), (3, "une phrase " + long, "fr", "s", 5, "y", None, 0.0), (4, long + "another end", None, "s", 5, None, "z", None)]
+    names = "doc_id long, text string, lang string, source string, n_chars int, removed_spans string, hit_items string, lang_pred double"
+    d = spark.createDataFrame(rows, names)
+    for docs in (d, d.drop("n_chars"), d.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            assert [t for c, t in out.dtypes if c != "n_chars"] == [t for c, t in docs.dtypes if c != "n_chars"], name
+            assert out.count() <= docs.count()
+        assert corpus_pipeline.pack(spark, docs, SF).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    kept = {r.doc_id: r for r in corpus_pipeline.suffix_array_dedup(spark, d, SF).collect()}
+    assert kept[3].text.startswith("une phrase") and kept[3].removed_spans == "y" and kept[3].n_chars == len(kept[3].text) and kept[2].text is None
+
+
 def test_packing_takes_all(stages):
     last = stages[1][-1][1].collect()
     assert {r.doc_id for r in last} == {r.doc_id for r in stages[1][-2][1].collect()}
