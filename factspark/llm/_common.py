@@ -48,6 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_024) -> Iterator[pa.
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -11,7 +11,7 @@ set sizes; meetings of the very same nodes are one tile. All links are found ins
   intersections in the tile itself, which gives only the edges that join components. So the rows that leave a tile grow with its
   nodes and not with their pairs, and no pair of different components goes uncompared.
 
-Each text is shingled once to be counted, once for its prefix, and once more only if it is in a tile.
+Each text is shingled once to be counted, once for its prefix, and again only if it is in a tile or passed the bit counts.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ ROUNDS = 2
 BLOCK, BLOCK_SHINGLES = 2_048, 1_000_000
 #: Share of signature bits in common from which a node is offered to a leader (what isn't offered is compared in the last round).
 OFFER = 0.7
+#: Prefixes are so long that sets which overlap enough share so many of their shingles (or all that they have in common): a
+#: meeting of just two texts that comes less often is chance, as the pair would have to meet in a larger one too.
+SHARED = 4
 #: Texts of a meeting that come in one row.
 LARGE = 4_096
 #: Tiles of a node, by chance, that a leader round looks at.
@@ -158,7 +161,8 @@ def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perce
 
 
 def prefix(h: np.ndarray, common: np.ndarray, grades: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first of a set's shingles in the global order: so many that any set which overlaps enough has one of them in its own."""
+    """The first of a set's shingles in the global order: so many that any set which overlaps enough has SHARED of them in its own
+    (or all of the overlap, if that is less)."""
     return _Order(common, grades).prefix(h, percent)[0]
 
 
@@ -182,7 +186,7 @@ class _Order:
         return out
 
     def prefix(self, h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-        keep = len(h) - -(-percent * len(h) // 100) + 1
+        keep = len(h) - -(-percent * len(h) // 100) + SHARED
         g = self.grade(h)
         if g.any():
             order = np.argsort(g, kind="stable")[:keep]
@@ -275,6 +279,8 @@ def _meetings(docs: DataFrame, common: np.ndarray, grades: np.ndarray) -> DataFr
                 hot = np.concatenate([g for _, g in found]) >= HOT_GRADE
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in found]).view(np.int64)), pa.array(k), pa.array(band), pa.array(np.where(hot, 1 + (k & (SALTS - 1)), 0).astype(np.int8))], ["h", "k1", "band", "part"])
 
+    small = int(np.ceil(np.log(4 * SHARED / 3) / np.log(4 / 3)))
+
     def alike(batches):
         """A row for each run of rows of one h whose bands have no gap. The last run of a batch waits for the next batch; what a run
         has beyond LARGE goes out in parts."""
@@ -286,6 +292,8 @@ def _meetings(docs: DataFrame, common: np.ndarray, grades: np.ndarray) -> DataFr
             h, k, band, _ = cols
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
             h, k, band, part = (c[new] for c in cols)
+            # sets so small that they may share less than SHARED go the way of large meetings, and stay
+            part = np.maximum(part, (band < small).astype(np.int8))
             cut = np.flatnonzero((h[1:] != h[:-1]) | (band[1:] - band[:-1] > 1)) + 1
             last = int(cut[-1]) if len(cut) else 0
             if len(h) - last > LARGE:
@@ -310,10 +318,10 @@ def _meetings(docs: DataFrame, common: np.ndarray, grades: np.ndarray) -> DataFr
         x, y = (np.bitwise_xor.reduceat(v, first)[keep].view(np.int64) for v in (mixed, _mixed(mixed * _M2)))
         rows = np.repeat(keep, size)
         offsets = np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)
-        small = pa.array(~large[keep])
+        pure = pa.array(~large[keep])
         none = pa.nulls(len(x), pa.int64())
         members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(k[rows]))
-        yield pa.RecordBatch.from_arrays([pc.if_else(small, pa.array(x), none), pc.if_else(small, pa.array(y), none), pc.if_else(small, none, pa.array(h[first][keep])), members], ["x", "y", "h", "members"])
+        yield pa.RecordBatch.from_arrays([pc.if_else(pure, pa.array(x), none), pc.if_else(pure, pa.array(y), none), pc.if_else(pure, none, pa.array(h[first][keep])), members], ["x", "y", "h", "members"])
 
     rows = docs.select("text", "k1").mapInArrow(prefixes, "h long, k1 long, band byte, part byte")
     parts = max(1, shuffle_parts(docs.sparkSession))
@@ -323,7 +331,8 @@ def _meetings(docs: DataFrame, common: np.ndarray, grades: np.ndarray) -> DataFr
 def _tiles(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     """(tile, node, n): the nodes of every meeting, each set of nodes once and cut by bands of sizes. A band reaches 4/3 from its
     lower end, so a node is in the tile of its own band and, as the larger of a pair, in that of the band below."""
-    once = shared.where("h is null").dropDuplicates(["x", "y"]).select(F.xxhash64("x", "y").alias("h"), F.explode("members").alias("k1"))
+    same = shared.where("h is null").groupBy("x", "y").agg(F.count("*").alias("times"), F.first("members").alias("members"))
+    once = same.where((F.size("members") > 2) | (F.col("times") >= SHARED)).select(F.xxhash64("x", "y").alias("h"), F.explode("members").alias("k1"))
     parts = shared.where("h is not null").select("h", F.explode("members").alias("k1")).distinct()
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     rows = once.union(parts).join(nodes.select("k1", "node", "n"), "k1").withColumn("own", band).select("h", "node", "n", "own", F.explode(F.array("own", F.col("own") - 1)).alias("band"))
@@ -334,9 +343,9 @@ def _tiles(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def _sets(docs: DataFrame, live: DataFrame) -> DataFrame:
-    """(node, sig, set) of the live nodes (k1, k2, node)."""
-    live = F.broadcast(live) if live.count() <= BROADCAST_ROWS else live
+def _of_texts(docs: DataFrame, nodes: DataFrame, what) -> DataFrame:
+    """(node, data): what(set) of the nodes (k1, k2, node), from one of each node's rows."""
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
 
     def run(batches):
         seen = set()
@@ -346,11 +355,9 @@ def _sets(docs: DataFrame, live: DataFrame) -> DataFrame:
             rows = list(new.values())
             for at in range(0, len(rows), 256):
                 few = pa.array(rows[at : at + 256], pa.int64())
-                found = shingle_sets(b.column(1).take(few).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(few), pa.array([signature(h) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.large_binary()).cast(pa.binary())], ["node", "sig", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(few), pa.array([what(h) for h in shingle_sets(b.column(1).take(few).to_pylist())], pa.binary())], ["node", "data"])
 
-    found = docs.join(live, ["k1", "k2"]).select("node", "text").mapInArrow(run, "node long, sig binary, set binary")
-    return staged(found.dropDuplicates(["node"]), "sets")
+    return docs.join(nodes, ["k1", "k2"]).select("node", "text").mapInArrow(run, "node long, data binary").dropDuplicates(["node"])
 
 
 def _groups(batches, keys: int):
@@ -419,10 +426,10 @@ def _led(tiles: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets) -> DataFrame:
     """The pairs (node a, leader b) whose sets overlap enough: a leader's set comes once for every BLOCK of its pairs."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    whole = sets.select("node", "set")
+    whole = sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
     led = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("led"), F.col("a").alias("node")).join(whole, "node")
     leaders = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("led"), F.col("b").alias("node")).join(whole, "node")
     cols = ["b", "part", "led", "node", "set"]
@@ -440,10 +447,12 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     found.append((np.array([node]), np.array([b])))
             yield _pairs(found)
 
-    return staged(rows.mapInArrow(run, "a long, b long"), "links")
+    links = staged(rows.mapInArrow(run, "a long, b long"), "links")
+    discard(whole)
+    return links
 
 
-def _last(tiles: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+def _last(tiles: DataFrame, sigs: DataFrame, sets, every: bool) -> DataFrame:
     """Links (a, b) between the components of a tile: all of them if `every`, else as many as join what is linked. tiles: tile,
     node, n, comp.
 
@@ -510,15 +519,16 @@ def _last(tiles: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
             if found:
                 yield _pairs(found)
 
-    about = sets.select("node", "sig").join(tiles.groupBy("node").agg(F.collect_list("tile").alias("tiles")), "node")
+    about = sigs.join(tiles.groupBy("node").agg(F.collect_list("tile").alias("tiles")), "node")
     open_ = staged(dealt(rows.join(about, "node").select(*names, "sig", "tiles")).mapInArrow(bound, schema), "open")
-    links = staged(dealt(open_.join(sets.select("node", "set"), "node").select(*names, "set")).mapInArrow(exact, "a long, b long"), "links")
-    discard(open_)
+    whole = sets(open_.select("node").distinct())
+    links = staged(dealt(open_.join(whole, "node").select(*names, "set")).mapInArrow(exact, "a long, b long"), "links")
+    discard(open_, whole)
     return links.distinct() if every else links
 
 
 class _Join:
-    """The staged tables of one join: member (id, n, k1, k2), nodes (k1, k2, node, low, copies, n), tiles and sets."""
+    """The staged tables of one join: member (id, n, k1, k2), nodes (k1, k2, node, low, copies, n), tiles and sigs."""
 
     def __init__(self, docs: DataFrame, text: str, id_col: str):
         docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), *_text_keys(text))
@@ -532,9 +542,17 @@ class _Join:
         shared = staged(_meetings(docs, common, grades), "shared")
         self.tiles = _tiles(shared, self.nodes)
         live = staged(self.nodes.join(self.tiles.select("node").distinct(), "node").select("k1", "k2", "node"), "live")
-        self.sets = _sets(docs, live)
+        self.sigs = staged(_of_texts(docs, live, signature).withColumnRenamed("data", "sig"), "signatures")
+        self.docs = docs
         discard(shared, live)
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, set) of some nodes (node): only those that passed the bit counts are asked for."""
+        some = staged(self.nodes.join(nodes, "node").select("k1", "k2", "node"), "some")
+        out = staged(_of_texts(self.docs, some, np.ndarray.tobytes).withColumnRenamed("data", "set"), "sets")
+        discard(some)
+        return out
+
     def inside(self, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
         """The tiles with each node's component, without those that are in one component as a whole; and the components."""
         comps = None if links is None else staged(components(links), "components")
@@ -558,15 +576,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     for _ in range(ROUNDS):
         inside, comps = j.inside(links)
         inside = staged(inside, "inside")
-        pairs = staged(_led(inside, j.sets.select("node", "sig")), "pairs")
+        pairs = staged(_led(inside, j.sigs), "pairs")
         more = _verified(pairs, j.sets)
         links, before = more if links is None else staged(links.union(more), "links"), links
         discard(inside, pairs, *([] if before is None else [before, more]), *([] if comps is None else [comps]))
     inside, comps = j.inside(links)
     inside = staged(inside, "inside")
-    last = _last(inside, j.sets, False)
+    last = _last(inside, j.sigs, j.sets, False)
     found = staged(components(links.union(last)), "components")
-    discard(j.tiles, j.sets, inside, comps, last, links)
+    discard(j.tiles, j.sigs, inside, comps, last, links)
     # the smallest id of each component, for its nodes and for copies; all other rows are their own component
     low = j.nodes.join(found, F.col("node") == F.col("id"), "left").select("k1", "k2", "low", "copies", F.coalesce("component", "node").alias("comp"), F.col("component").isNotNull().alias("on"))
     least = low.where("on").groupBy("comp").agg(F.min("low").alias("least"))
@@ -580,7 +598,7 @@ def similar_pairs(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     """(links, membership): every link between two different texts as (a, b), a < b, and the rows of each text as (node, doc_id).
     Links are as many as there are; near_duplicates gives the groups without going through them all."""
     j = _Join(docs, text, id_col)
-    pairs = _last(j.inside(None)[0], j.sets, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = _last(j.inside(None)[0], j.sigs, j.sets, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     membership = j.member.join(j.nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("node", F.col("id").alias("doc_id"))
     return pairs, membership
 

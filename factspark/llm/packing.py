@@ -12,6 +12,8 @@ from ._common import slices
 from .tokens import encoder
 
 LENGTH, GROUP = 4096, 1024
+#: Words whose ids a worker keeps.
+CACHE = 100_000
 
 
 class Tournament:
@@ -53,7 +55,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, te
     """Documents as ids (with the end id), cut every `length` ids: doc_id, start, length, doc_tokens, ids (little-endian u32)."""
 
     def run(batches):
-        e = encoder(path)
+        e = encoder(path, CACHE)
         end = np.array([end_id], e.dtype).tobytes()
         for b in slices(batches, 256):
             out = []

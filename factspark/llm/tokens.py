@@ -102,8 +102,8 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache: int = 400_000) -> WordEncoder:
     """One per Python worker and file; its caches outlive a task."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path, cache)
     return _encoders[path]
