@@ -11,14 +11,14 @@ from pyspark.sql.window import Window
 
 from .facts import URL_SANITIZERS
 
-#: Which sanitizers block a sink of a kind; kinds that are not named are never blocked.
+#: Which sanitizers block a sink of a kind; kinds that are not named are never blocked.
 BLOCKERS = {
     "sql": (("SQL",), lambda: (F.col("context") == "SQL") | (F.col("kind") == "SQL_PREPARE")),
     "html": (("HTML",), lambda: F.col("context").isin("HTML", "GENERIC")),
     "url": (("REDIRECT", "FILE_INCLUDE", "REMOTE_READ", "UPLOAD", "FILE_WRITE"), lambda: F.col("context").isin("URL", "GENERIC") | F.col("name").isin(*URL_SANITIZERS)),
     "http": (("HTTP_CLIENT",), lambda: F.col("context").isin("URL", "GENERIC")),
 }
-#: Sink kinds that a source kind may reach in another file.
+#: Sink kinds that a source kind may reach in another file.
 CROSS_FILE = {"HTTP_SUPERGLOBAL": ("SQL", "HTML", "REDIRECT", "HTTP_CLIENT", "CODE_EXEC", "OBJECT_INJECTION")}
 
 
@@ -26,17 +26,31 @@ def _up_to_line() -> Window:
     return Window.partitionBy("file").orderBy("line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def nearest_sources(facts: DataFrame) -> DataFrame:
-    """A row per sink that has a source at or above it in its file: the nearest one (of several on a line the first by ord), and
-    blocker, the last line at or above the sink of a sanitizer that fits its kind. One sort by file and line serves all."""
+def nearest_sources(facts: DataFrame, cleaners: bool = False) -> DataFrame:
+    """A row per sink that has a source at or above it in its file: the nearest one (of several on a line the first by ord);
+    blocker, the last line at or above the sink of a sanitizer that fits its kind; prepared, whether a statement is prepared below
+    the source and at or above the sink. With cleaners also cleaner, the first sanitizer below the source that fits the kind.
+
+    One shuffle by file; running maxima serve all, and for cleaners running minima from the end, so work is that of the sorts."""
     w, is_ = _up_to_line(), lambda label: F.col("label") == label
-    source = F.max(F.when(is_("Source"), F.struct("line", (-F.col("ord")).alias("o"), "id", "name", "kind"))).over(w)
+    rest = Window.partitionBy("file").orderBy(F.desc("line")).rangeBetween(Window.unboundedPreceding, -1)
+    if cleaners:
+        facts = facts.withColumns({f"next_{k}": F.min(F.when(is_("Sanitizer") & fits(), F.struct("line", "ord", "id"))).over(rest) for k, (_, fits) in BLOCKERS.items()})
+    more = [f"next_{k}" for k in BLOCKERS if cleaners]
+    source = F.max(F.when(is_("Source"), F.struct("line", (-F.col("ord")).alias("o"), "id", "name", "kind", *more))).over(w)
     last = {k: F.max(F.when(is_("Sanitizer") & fits(), F.col("line"))).over(w) for k, (_, fits) in BLOCKERS.items()}
-    blocker = F
-    for k, (kinds, _) in BLOCKERS.items():
-        blocker = blocker.when(F.col("kind").isin(*kinds), F.col(f"last_{k}"))
+    last["prepare"] = F.max(F.when(is_("Sanitizer") & (F.col("kind") == "SQL_PREPARE"), F.col("line"))).over(w)
+
+    def of_kind(pick):
+        out = F
+        for k, (kinds, _) in BLOCKERS.items():
+            out = out.when(F.col("kind").isin(*kinds), pick(k))
+        return out
+
     rows = facts.withColumns({"s": source, **{f"last_{k}": c for k, c in last.items()}}).where(is_("Sink") & F.col("s").isNotNull())
-    return rows.select("file", F.col("s.id").alias("src"), F.col("id").alias("dst"), F.col("s.line").alias("source_line"), F.col("line").alias("sink_line"), F.col("ord").alias("sink_ord"), F.col("kind").alias("sink_kind"), F.col("s.name").alias("source_name"), F.col("s.kind").alias("source_kind"), F.col("static").alias("sink_static"), blocker.alias("blocker"))
+    prepared = F.coalesce(F.col("last_prepare") > F.col("s.line"), F.lit(False))
+    cleaner = [of_kind(lambda k: F.col(f"s.next_{k}.id")).alias("cleaner")] if cleaners else []
+    return rows.select("file", F.col("s.id").alias("src"), F.col("id").alias("dst"), F.col("s.line").alias("source_line"), F.col("line").alias("sink_line"), F.col("ord").alias("sink_ord"), F.col("kind").alias("sink_kind"), F.col("s.name").alias("source_name"), F.col("s.kind").alias("source_kind"), F.col("static").alias("sink_static"), of_kind(lambda k: F.col(f"last_{k}")).alias("blocker"), prepared.alias("prepared"), *cleaner)
 
 
 def is_blocked() -> Column:
@@ -54,11 +68,7 @@ def flows(facts: DataFrame, cap: int | None = 500) -> DataFrame:
 
 def protects(facts: DataFrame) -> DataFrame:
     """PROTECTS edges: the first sanitizer below the nearest source, at or above the sink, that fits the sink's kind."""
-    blocked = nearest_sources(facts).where(is_blocked()).select("file", "dst", "source_line", "sink_line", "sink_kind")
-    fits = [F.when(fit(), F.array(*map(F.lit, kinds))) for kinds, fit in BLOCKERS.values()]
-    cleaners = facts.where("label = 'Sanitizer'").select(F.col("file").alias("f"), F.col("line").alias("l"), F.col("ord").alias("o"), F.col("id").alias("src"), F.flatten(F.filter(F.array(*fits), lambda x: x.isNotNull())).alias("kinds"))
-    pairs = blocked.join(cleaners, (F.col("file") == F.col("f")) & (F.col("l") > F.col("source_line")) & (F.col("l") <= F.col("sink_line")) & F.expr("array_contains(kinds, sink_kind)"))
-    return pairs.groupBy("file", "dst", "sink_kind").agg(F.min_by("src", F.struct("l", "o")).alias("src"))
+    return nearest_sources(facts, cleaners=True).where(is_blocked()).select("file", "dst", "sink_kind", F.col("cleaner").alias("src"))
 
 
 def without_known(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -66,10 +76,9 @@ def without_known(edges: DataFrame, known: DataFrame) -> DataFrame:
     return edges.join(known.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
-def unprepared(edges: DataFrame, facts: DataFrame) -> DataFrame:
+def unprepared(edges: DataFrame) -> DataFrame:
     """Edges without a prepared statement below their source and at or above their sink."""
-    done = facts.where("label = 'Sanitizer' and kind = 'SQL_PREPARE'").select(F.col("file").alias("f"), F.col("line").alias("l"))
-    return edges.join(done, (F.col("file") == F.col("f")) & (F.col("l") > F.col("source_line")) & (F.col("l") <= F.col("sink_line")), "left_anti")
+    return edges.where(~F.col("prepared"))
 
 
 def cross_file_flows(facts: DataFrame, cap: int = 5_000) -> DataFrame:

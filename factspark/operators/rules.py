@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .catalog_values import STATIC_INCLUDE_CALL
 
 PRIMARY = ("$_GET", "$_POST", "$_REQUEST")
 
@@ -43,12 +44,14 @@ FLOW_RULES = {
 
 
 def passes(rule: FlowRule) -> Column:
-    """The gates: not on one line, a dynamic sink, a primary source."""
+    """The gates: not on one line, a dynamic sink, a primary source, no prepared statement on the way."""
     ok = (F.col("sink_kind") == rule.sink_kind) & ~((F.col("source_line") == F.col("sink_line")) & (F.col("source_line") > 0))
     if rule.non_static:
         ok &= ~F.coalesce("sink_static", F.lit(False))
     if rule.primary:
         ok &= F.col("source_name").isin(*PRIMARY)
+    if rule.unprepared:
+        ok &= ~F.col("prepared")
     return ok
 
 
@@ -83,7 +86,7 @@ def flow_findings(edges: DataFrame, rule: FlowRule, grouped: bool = True) -> Dat
     return rows.select(ident.alias("finding_id"), F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.title).alias("title_key"), "file", "source_line", "sink_line", "src", "dst", "n", "witness")
 
 
-STATIC_INCLUDE = r"(?i)(include|require)(_once)?\s+.*__DIR__|plugin_dir_path|dirname\s*\(\s*__FILE__"
+STATIC_INCLUDE = f"(?i){STATIC_INCLUDE_CALL}"
 
 
 def without_static_includes(edges: DataFrame, callsites: DataFrame) -> DataFrame:

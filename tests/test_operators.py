@@ -75,7 +75,7 @@ def test_cross_file_pairs_equal_a_full_product(spark):
 
 def test_a_finding_of_a_small_script_has_the_known_score(spark):
     f = spark.createDataFrame([fact("a", 3, 1, "Source"), fact("a", 4, 2, "Sink", "SQL")], FACTS)
-    found = rules.flow_findings(flows.unprepared(flows.flows(f), f), rules.FLOW_RULES["RULE-SQLI-001"])
+    found = rules.flow_findings(flows.flows(f), rules.FLOW_RULES["RULE-SQLI-001"])
     r = enrich.enriched(found, "generic-php").first()
     assert (r.source_line, r.sink_line, r.severity, r.skeptic.verdict, r.verification, round(r.score, 6), r.bucket) == (3, 4, "MEDIUM", "DOWNGRADE", "INCONCLUSIVE", 0.058, "VERY_LOW")
     assert round(enrich.enriched(found).first().score, 6) == 0.008
@@ -120,6 +120,42 @@ def test_lexer_to_findings(spark):
     assert [(r.source_line, r.sink_line) for r in rules.flow_findings(flows.flows(f), rules.FLOW_RULES["RULE-SQLI-001"]).collect()] == [(3, 4)]
 
 
+def test_built_in_patterns_on_texts_that_tell_them_apart(spark):
+    said = {
+        "PDO :: query($q)": [("Sink", "SQL", "pdo_static_query")], "$tpl->prepare($x)": [], "(new PDO($d))->prepare($q)": [("Sanitizer", "SQL_PREPARE", "")],
+        "$db -> query ($q)": [("Sink", "SQL", "pdo_query")], "my_include ($x)": [], "include_once $x": [("Sink", "FILE_INCLUDE", "")], "printf ($x)": [("Sink", "HTML", "")], "fprintf($f, $x)": [],
+        "fopen('php://input', 'r')": [("Source", "HTTP_BODY", ""), ("Sink", "REMOTE_READ", "")], "xphp://input": [], "$_files": [], "$_FILES": [("Source", "HTTP_UPLOAD", "")],
+    }
+    texts = spark.createDataFrame([(str(i), 1, 0, t) for i, t in enumerate(said)], "file string, line int, byte_off int, text string")
+    got = {t: [] for t in said}
+    for r in facts.pattern_facts(texts, facts.GENERIC).orderBy("seq").collect():
+        got[r.text].append((r.label, r.kind, r.api))
+    assert got == said
+
+
+def test_heuristics_look_at_files_as_a_whole(spark):
+    one = ["$x = $_REQUEST[", "'option' ]; if ('get' ===", "$_SERVER['REQUEST_METHOD']) {", "wp_verify_nonce($n);"]
+    rows = [("a.php", i + 1, 0, t) for i, t in enumerate(one)] + [("b.php", i + 1, 0, t) for i, t in enumerate(one[:3])] + [("c.php", i + 1, 0, t.upper()) for i, t in enumerate(one)]
+    d = spark.createDataFrame(rows, "file string, line int, byte_off int, text string")
+    assert [(r.file, r.pattern, r.line) for r in facts.heuristics(d).collect()] == [("a.php", "NONCE_GET_ONLY", 1)]
+
+
+def test_only_required_files_of_a_fixed_folder_are_static(spark):
+    edges = spark.createDataFrame([(f, 5) for f in "abcd"], "file string, sink_line int")
+    calls = spark.createDataFrame([("a", 5, "require_once __DIR__ . $x"), ("b", 5, "include __DIR__ . $x"), ("c", 5, "include plugin_dir_path($f)"), ("d", 6, "require __DIR__ . $x")], "file string, line int, label string")
+    assert sorted(r.file for r in rules.without_static_includes(edges, calls).collect()) == ["b", "d"]
+
+
+def test_a_prepared_statement_stops_the_rule(spark):
+    lines = [("a.php", 1, "$id = $_GET['id'];"), ("a.php", 2, "$s = (new PDO($d))->prepare($q);"), ("a.php", 3, "$db->query($id);"), ("b.php", 1, "$id = $_GET['id'];"), ("b.php", 2, "$tpl->prepare($q);"), ("b.php", 3, "$db->query($id);")]
+    d = spark.createDataFrame([(f, n, 0, t) for f, n, t in lines], "file string, line int, byte_off int, text string")
+    f = facts.deduped(facts.pattern_facts(d, facts.GENERIC)).withColumns({"ord": F.col("line").cast("long"), "id": F.concat_ws(":", "file", "line"), "static": F.col("static_arg")})
+    near = flows.nearest_sources(f)
+    assert {(r.file, r.prepared) for r in near.collect()} == {("a.php", True), ("b.php", False)}
+    assert [r.file for r in rules.flow_findings(near, rules.FLOW_RULES["RULE-SQLI-001"]).collect()] == ["b.php"]
+    assert [(r.dst, r.src) for r in flows.protects(f).collect()] == [("a.php:3", "a.php:2")]
+
+
 def test_lexer_budget_keeps_declarations():
     text = "<?php function a() { b(); c(); } function d() { e(); }"
     rows, problem = spans_of(text, "php", "x", budget=2)
