@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,12 +44,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def released() -> None:
+    """Gives what this Python worker has freed back to the machine: workers outlive tasks and wait beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_024) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that Python holds the objects of few texts at once."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    released()
 
 
 def shuffle_parts(spark: SparkSession) -> int:

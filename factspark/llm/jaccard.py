@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import components, discard, shuffle_parts, staged
+from ._common import components, discard, released, shuffle_parts, slices, staged
 
 WORDS, PERCENT = 5, 75
 #: Common shingles: counted in stretches of so many, from so many times a stretch on; at most so many are kept, for order only.
@@ -217,7 +217,7 @@ def _described(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         buffer, size, seen = np.zeros(STRETCH, np.uint64), 0, {}
-        for b in batches:
+        for b in slices(batches):
             keys = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))
             new = {k: i for i, k in enumerate(keys) if k not in seen}
             texts = b.column(1).take(pa.array(list(new.values()), pa.int64())).to_pylist()
@@ -235,6 +235,8 @@ def _described(docs: DataFrame) -> DataFrame:
             if len(seen) > 200_000:
                 seen = {}
         yield often(buffer[:size])
+        del buffer, seen
+        released()
 
     return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, h long, c long")
 
@@ -264,7 +266,7 @@ def _meetings(docs: DataFrame, common: np.ndarray, grades: np.ndarray) -> DataFr
 
     def prefixes(batches):
         order, seen = _Order(common, grades), set()
-        for b in batches:
+        for b in slices(batches):
             keys = b.column(1).to_pylist()
             new = {k: i for i, k in enumerate(keys) if k not in seen}
             if len(seen) > 1_000_000:
@@ -349,7 +351,7 @@ def _of_texts(docs: DataFrame, nodes: DataFrame, what) -> DataFrame:
 
     def run(batches):
         seen = set()
-        for b in batches:
+        for b in slices(batches):
             new = {k: i for i, k in enumerate(b.column(0).to_pylist()) if k not in seen}
             seen.update(new)
             rows = list(new.values())
@@ -376,6 +378,7 @@ def _groups(batches, keys: int):
         cols = [c[at:] for c in cols]
     if cols is not None:
         yield cols
+    released()
 
 
 def _before(lists: list[list[int]], tile: int) -> np.ndarray:

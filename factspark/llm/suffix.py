@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, shuffle_parts, staged
+from ._common import discard, released, shuffle_parts, slices, staged
 from .sais import repeated_windows
 
 WIDTH, GRAM = 200, 32
@@ -95,7 +95,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
     single = once.union(first)
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             k1, k2, starts, sizes, anchors, several = [], [], [], [], [], []
             for x, y, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 for s, n, a, m in stretches(t.encode(), width):
@@ -112,7 +112,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
     def take(batches):
         held: dict[tuple, list] = {}
         size = 0
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for k1, k2, t, parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 data = t.encode()
@@ -134,6 +134,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
                 yield from given(held)
                 held, size = {}, 0
         yield from given(held)
+        held.clear()
+        released()
 
     def given(held):
         items = list(held.items())
@@ -161,6 +163,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", id_col: str
                 size += len(c)
         if rows:
             yield from shard(rows)
+        rows.clear()
+        released()
 
     def shard(rows):
         # windows of different anchors differ, so a shard may hold many
@@ -227,7 +231,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = removed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
     def digest(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = (t or "").encode()
