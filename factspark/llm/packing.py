@@ -13,7 +13,7 @@ from .tokens import encoder
 
 LENGTH, GROUP = 4096, 1024
 #: Words whose ids a worker keeps.
-CACHE = 100_000
+CACHE = 400_000
 
 
 class Tournament:
