@@ -69,7 +69,7 @@ def with_verification(findings: DataFrame) -> DataFrame:
     check = lambda name, passed: F.struct(F.lit(name).alias("check_id"), passed.alias("passed"))
     checks = [
         check("HAS_WITNESS_PATH", (F.size(_w("path_edges")) > 0) | (F.col("rule_id") == AJAX)),
-        check("ANCHOR_LINE_POSITIVE", (F.col("source_line") > 0) & (F.col("sink_line") > 0)),
+        check("ANCHOR_LINE_POSITIVE", (F.coalesce("source_line", "sink_line") > 0) & (F.col("sink_line") > 0)),
         check("SEMANTIC_TRACE_PRESENT_OR_COARSE", (F.size(_w("semantic_trace")) > 0) | F.contains("title_key", F.lit("coarse")) | F.contains("title_key", F.lit("graph"))),
         check("ANALYSIS_LIMITS_EXPLICIT_IF_PRESENT", F.forall(_w("analysis_limits"), lambda x: x != "")),
         F.when(F.col("rule_id") == AJAX, check("AJAX_NOPRIV_FLAG", ajax)),
@@ -81,7 +81,7 @@ def with_verification(findings: DataFrame) -> DataFrame:
 
 
 def with_score(findings: DataFrame, profile: str = "", integrity_ok: bool = True) -> DataFrame:
-    """score and bucket of findings that have been verified and met the skeptic."""
+    """features, score and bucket of findings that have been verified and met the skeptic."""
     one = lambda c: F.coalesce(c, F.lit(False)).cast("int").cast("double")
     trace = _w("semantic_trace")
     strength = F.coalesce(_summary(findings, "constraint_strength", "double"), F.lit(0.0))
@@ -107,10 +107,22 @@ def with_score(findings: DataFrame, profile: str = "", integrity_ok: bool = True
     score = F.lit(BASE)
     for name, feature in features.items():
         score = score + F.lit(weights[name]) * feature
-    rows = findings.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    rows = findings.withColumn("features", F.struct(*(c.alias(k) for k, c in features.items()))).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
     return rows.withColumn("bucket", bucket(F.col("score")))
 
 
+def explained(findings: DataFrame, profile: str = "") -> DataFrame:
+    """finding_id, feature, value, contribution: what each feature adds to a finding's score, in the order of summation (nth)."""
+    weights = WEIGHTS | PROFILES.get(profile, {})
+    rows = [F.struct(F.lit(i).alias("nth"), F.lit(k).alias("feature"), F.col(f"features.{k}").alias("value"), (F.lit(weights[k]) * F.col(f"features.{k}")).alias("contribution")) for i, k in enumerate(WEIGHTS)]
+    return findings.select("finding_id", F.inline(F.array(*rows)))
+
+
+def trace(findings: DataFrame) -> DataFrame:
+    """A row of the reasoning trace per enriched finding."""
+    return findings.select("finding_id", F.lit("deterministic_pipeline").alias("step"), F.col("hypothesis.hash").alias("hypothesis_hash"), F.col("verification").alias("verification_status"))
+
+
 def bucket(score: Column) -> Column:
     out = F
     for name, least in BUCKETS:
@@ -119,5 +131,6 @@ def bucket(score: Column) -> Column:
 
 
 def enriched(findings: DataFrame, profile: str = "", integrity_ok: bool = True) -> DataFrame:
-    rows = findings.withColumn("hypothesis", hypothesis(F.col("rule_id"), F.array(F.col("source_line").cast("string"), F.col("sink_line").cast("string"))))
+    """Findings with hypothesis, skeptic, verification, features, score and bucket. A finding on one node has no source_line."""
+    rows = findings.withColumn("hypothesis", hypothesis(F.col("rule_id"), F.array_compact(F.array(F.col("source_line").cast("string"), F.col("sink_line").cast("string")))))
     return with_score(with_verification(with_skeptic(rows)), profile, integrity_ok)

@@ -80,13 +80,29 @@ def pattern_facts(texts: DataFrame, catalog: tuple[Pattern, ...]) -> DataFrame:
     return found.select("file", "line", "byte_off", "text", "h.*")
 
 
+def include_facts(texts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Facts, shaped as those of patterns, of texts (with span_kind) whose span is an include. Their seq is -1: they come first."""
+    t = F.col("text")
+    static = t.rlike(STATIC_ARGUMENT) | t.rlike(STATIC_PATH)
+    rows = texts.where(F.col("span_kind").isin(*kinds))
+    return rows.select("file", "line", "byte_off", "text", F.lit(-1).alias("seq"), F.lit("Sink").alias("label"), F.lit("FILE_INCLUDE").alias("kind"), F.lit("FILE").alias("context"), F.lit("").alias("api"), F.lit("").alias("name"), static.alias("static_arg"), F.lit(False).alias("static_path_likely"))
+
+
 def deduped(facts: DataFrame) -> DataFrame:
-    """The first fact of each file, label, line and (for sinks) kind."""
+    """The first fact of each file, label, line and (for sinks) kind; facts with a negative seq come before all others."""
     key = F.when(F.col("label") == "Sink", F.col("kind")).otherwise(F.col("label"))
-    w = Window.partitionBy("file", "label", "line", key).orderBy("byte_off", "text", "seq")
+    w = Window.partitionBy("file", "label", "line", key).orderBy(F.col("seq") >= 0, "byte_off", "text", "seq")
     return facts.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def fact_nodes(facts: DataFrame, snapshot: str) -> DataFrame:
+    """Deduped facts as what flows take: file, line, ord, id, label, kind, context, name, static. ord is a fact's place in its file;
+    of facts with one id (one text can be a sink of two kinds) the last gives the properties and the first the place."""
+    ord_ = F.row_number().over(Window.partitionBy("file").orderBy(F.col("seq") >= 0, "line", "byte_off", "text", "seq")).cast("long")
+    rows = facts.select("file", "line", F.concat_ws(":", F.lower("label"), F.lit(snapshot), "file", F.col("line").cast("string"), F.col("byte_off").cast("string")).alias("id"), "label", "kind", "context", "name", F.col("static_arg").alias("static"), ord_.alias("_seq"))
+    return upserted(rows, "id", "_seq")
+
+
 def fact_id(snapshot: str) -> Column:
     return F.concat_ws(":", "label", F.lit(snapshot), "file", F.col("line").cast("string"), F.col("byte_off").cast("string"))
 

@@ -16,7 +16,7 @@ LAYERS = {
     "L4_SECURITY": ("Sink", "SecuritySignal", "VariantCluster"),
 }
 FLOW_RELS = ("FLOWS_TO", "TAINTS", "CAN_REACH_SINK", "PROTECTS", "ANCHORED_AT")
-SIGNALS = {"OBJECT_INJECTION": "object_injection_entrypoint", "CODE_EXEC": "code_exec_entrypoint", "UPLOAD": "upload_entrypoint"}
+SIGNALS = {"OBJECT_INJECTION": ("objinj", "OBJECT_INJECTION_ENTRYPOINT"), "CODE_EXEC": ("dang", "REACHABLE_DANGEROUS_SINK_CANDIDATE"), "UPLOAD": ("upload", "UPLOAD_LIFECYCLE")}
 ENTRYPOINTS = ("wp-admin/admin-ajax.php", "xmlrpc.php", "wp-cron.php", "wp-login.php")
 ENTITIES = {"Class": ("class_declaration",), "Function": ("function_definition", "function_declaration"), "Method": ("method_declaration", "method_definition"), "Callsite": ("call_expression", "scoped_call_expression", "function_call_expression", "member_call_expression")}
 
@@ -61,8 +61,8 @@ def neighbors(edges: DataFrame, node: str, rel: str | None = None, out: bool = T
 
 def signals(facts: DataFrame) -> DataFrame:
     """id, file, line, signal of sinks that stand for a way in."""
-    names = F.create_map(*(F.lit(x) for kv in SIGNALS.items() for x in kv))
-    return facts.where((F.col("label") == "Sink") & F.col("kind").isin(*SIGNALS)).select(F.concat(F.lit("signal:"), "id").alias("id"), "file", "line", names[F.col("kind")].alias("signal"))
+    pick = lambda i: F.create_map(*(F.lit(x) for kind, v in SIGNALS.items() for x in (kind, v[i])))[F.col("kind")]
+    return facts.where((F.col("label") == "Sink") & F.col("kind").isin(*SIGNALS)).select(F.concat(pick(0), F.lit(":"), "id").alias("id"), "file", "line", pick(1).alias("signal"))
 
 
 def entrypoints(files: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def entities(ir_nodes: DataFrame) -> DataFrame:
     for label, kinds in ENTITIES.items():
         out = out.when(F.col("kind").isin(*kinds), label)
     rows = ir_nodes.withColumn("entity", out.otherwise(None)).where("entity is not null")
-    return rows.withColumn("callee", F.when(F.col("entity") == "Callsite", F.regexp_extract("label", r"([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1)))
+    return rows.withColumn("callee", F.when(F.col("entity") == "Callsite", F.regexp_extract("label", r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1)))
 
 
 def base_graph(files: DataFrame, ir_nodes: DataFrame, snapshot: str, root: str) -> tuple[DataFrame, DataFrame]:

@@ -20,11 +20,16 @@ BUDGET = 250_000
 TIERS = (("class_declaration", "function_definition", "method_declaration"), ("function_call_expression", "member_call_expression", "scoped_call_expression"))
 INCLUDES = {"include": "include_expression", "include_once": "include_once_expression", "require": "require_expression", "require_once": "require_once_expression"}
 NOT_CALLS = {"if", "for", "foreach", "while", "switch", "catch", "function", "return", "array", "list", "isset", "empty", "fn", "match", "elseif", "declare", "and", "or", "new", "echo", "print", "typeof", "await", "yield", "throw", "else", "case", "in", "of", "do", *INCLUDES}
+# What a statement begins with that is no expression; those of the second set are followed by another statement.
+STATEMENTS = {"return", "break", "continue", "throw", "global", "static", "namespace", "use", "const", "public", "private", "protected", "abstract", "final", "class", "interface", "trait", "function", "case", "default", "var", "let", "import", "export", "echo", "goto", "unset", "if", "elseif", "while", "for", "foreach", "switch", "catch", "declare", *INCLUDES}
+LEADS = {"else", "do", "try", "finally"}
+BEFORE_PARENTHESES = {"if", "elseif", "while", "for", "foreach", "switch", "catch", "declare"}
 _CODE = re.compile(
     r"""(?P<skip>/\*.*?(?:\*/|\Z)|//[^\n]*?(?=\?>|\n|\Z)|\#(?!\[)[^\n]*?(?=\?>|\n|\Z)|<<<[ \t]*["']?(?P<doc>\w+)["']?\n.*?\n[ \t]*(?P=doc)\b|"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|`(?:\\.|[^`\\])*(?:`|\Z))
     |(?P<island>\?>.*?(?:<\?php|<\?=|\Z))|(?P<var>\$\w+)|(?P<op>->|\?->|::|=>)|(?P<word>[A-Za-z_\\][\w\\]*)|(?P<open>[({\[])|(?P<close>[)}\]])|(?P<end>;)""",
     re.S | re.X,
 )
+_OUTSIDE = re.compile(r"\$(_[A-Z]+|argv)\Z")  # variables that the outside fills; only these and their subscripts are spans
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>", re.S)
 
 
@@ -41,11 +46,23 @@ def _code_spans(text: str, php: bool) -> tuple[list[tuple[str, int, int]], str |
     word, word_at, before, classes, problem = "", 0, "", 0, None
     pending: str | None = None
     chain = 0  # where the chain of accesses that is being read began
+    named: tuple[int, int] | None = None  # the last variable of the outside, which a subscript may follow at once
+    begun: tuple[int, int, str] | None = None  # the statement that is being read: where it began, under how many brackets, its first word
+    outer: list[tuple[int, int, str] | None] = []  # by bracket, the statement around it
     for m in _CODE.finditer(text, at):
         kind, tok = m.lastgroup if m.lastgroup != "doc" else "skip", m[0]
         if kind in ("end", "island") and statement:
             spans.append((statement[0], statement[1], m.start() + (kind == "end")))
             statement = None
+        if kind == "end" and begun and len(stack) == begun[1]:
+            if begun[2] not in STATEMENTS:
+                spans.append(("expression_statement", begun[0], m.end()))
+            begun = None
+        elif kind == "island":
+            begun = None
+        elif begun is None and kind in ("word", "var") or kind == "open" and begun is None and tok != "{":
+            low = tok.lower()
+            begun = None if low in LEADS else (m.start(), len(stack), low)
         if kind == "word":
             low = tok.lower()
             if low in INCLUDES or low == "echo":
@@ -60,8 +77,12 @@ def _code_spans(text: str, php: bool) -> tuple[list[tuple[str, int, int]], str |
             chain = chain if before == "op" and word in ("->", "?->", "::") else m.start()
             word, word_at, before = tok, m.start(), "word"
             continue
+        named = None if kind == "var" or named and named[1] != m.start() else named
         if kind == "var" and before != "op":
             chain = m.start()
+        if kind == "var" and _OUTSIDE.match(tok):
+            spans.append(("variable_name", m.start(), m.end()))
+            named = m.start(), m.end()
         if kind == "open":
             ends = []
             if tok == "(" and before == "word" and pending and word.lower() not in NOT_CALLS:
@@ -69,15 +90,23 @@ def _code_spans(text: str, php: bool) -> tuple[list[tuple[str, int, int]], str |
             if tok == "{" and declared:
                 ends.append(declared.pop())
                 classes += ends[-1][0] == "class_declaration"
+            if tok == "[" and named and named[1] == m.start():
+                ends.append(("subscript_expression", named[0]))
             stack.append((tok, ends, chain))
+            outer.append(begun)
+            begun = None if tok == "{" else begun
         elif kind == "close":
             if not stack or "({[".index(stack[-1][0]) != ")}]".index(tok):
                 problem = "SYNTAX_ERROR"
                 while stack and "({[".index(stack[-1][0]) != ")}]".index(tok):
                     _, ends, chain = stack.pop()
+                    begun = outer.pop()
                     spans += [(k, s, m.start()) for k, s in ends]
             if stack:
-                _, ends, chain = stack.pop()
+                opened, ends, chain = stack.pop()
+                begun = outer.pop()
+                if begun and len(stack) == begun[1] and (opened == "{" and begun[2] in STATEMENTS or opened == "(" and begun[2] in BEFORE_PARENTHESES):
+                    begun = None
                 for k, s in ends:
                     spans.append((k, s, m.end()))
                     classes -= k == "class_declaration"

@@ -55,12 +55,12 @@ def passes(rule: FlowRule) -> Column:
     return ok
 
 
-def witness(labels: Column, count: Column, alternates: Column) -> Column:
+def witness(labels: Column, count: Column, alternates: Column, limits: tuple[str, ...] = ()) -> Column:
     """Fields in alphabetical order, so that its JSON is canonical; what is null is left out."""
     trace = F.concat(F.array(F.concat(F.lit("graph:source:"), "src"), F.concat(F.lit("graph:sink:"), "dst")), F.transform(alternates, lambda x: F.concat(F.lit("graph:alt_source:"), x)), F.array(F.lit("lift_derived_flow")))
-    summary = F.struct(F.lit(True).alias("approximate_flow"), F.when(count > 1, count).alias("source_count"))
+    summary = F.struct(F.lit(True).alias("approximate_flow"), F.lit(None).cast("int").alias("constraint_strength"), F.when(count > 1, count).alias("source_count"))
     return F.struct(
-        F.array(F.lit("exposure_not_gated")).alias("analysis_limits"),
+        F.array(F.lit("exposure_not_gated"), *map(F.lit, limits)).alias("analysis_limits"),
         summary.alias("constraint_summary"),
         F.array(F.concat_ws("|", "src", F.lit("FLOWS_TO"), "dst")).alias("path_edges"),
         trace.alias("semantic_trace"),
@@ -69,11 +69,11 @@ def witness(labels: Column, count: Column, alternates: Column) -> Column:
     )
 
 
-def one_per_sink(edges: DataFrame, most_alternates: int = 5) -> DataFrame:
+def one_per_sink(edges: DataFrame, most_alternates: int = 5, keys: tuple[str, ...] = ("file", "sink_line")) -> DataFrame:
     """The first edge (by sink_ord) of each file and sink line, with count and the sources of the next few edges."""
-    cols = [c for c in edges.columns if c not in ("file", "sink_line")]
+    cols = [c for c in edges.columns if c not in keys]
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("sink_ord", "src"))), lambda x: x["src"])
-    return edges.groupBy("file", "sink_line").agg(F.min_by(F.struct(*cols), "sink_ord").alias("first"), F.count("*").alias("n"), F.slice(ordered, 2, most_alternates).alias("alternates")).select("file", "sink_line", "first.*", "n", "alternates")
+    return edges.groupBy(*keys).agg(F.min_by(F.struct(*cols), "sink_ord").alias("first"), F.count("*").alias("n"), F.slice(ordered, 2, most_alternates).alias("alternates")).select(*keys, "first.*", "n", "alternates")
 
 
 def flow_findings(edges: DataFrame, rule: FlowRule, grouped: bool = True) -> DataFrame:
@@ -86,6 +86,69 @@ def flow_findings(edges: DataFrame, rule: FlowRule, grouped: bool = True) -> Dat
     return rows.select(ident.alias("finding_id"), F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.title).alias("title_key"), "file", "source_line", "sink_line", "src", "dst", "n", "witness")
 
 
+def all_flow_findings(edges: DataFrame, rule_ids: list[str]) -> DataFrame:
+    """Findings of several flow rules from one pass over the edges: each sink kind belongs to one rule, so the rule is a column
+    and all gates stand in one filter, whatever their number."""
+    chosen = [r for r in FLOW_RULES.values() if r.id in rule_ids]
+
+    def by_rule(value, none):
+        out = F.lit(none)
+        for r in chosen:
+            out = F.when(F.col("sink_kind") == r.sink_kind, value(r)).otherwise(out)
+        return out
+
+    rows = edges.where(by_rule(passes, False)).withColumn("rule_id", by_rule(lambda r: F.lit(r.id), None).cast("string"))
+    rows = one_per_sink(rows, keys=("rule_id", "file", "sink_line"))
+    labels = by_rule(lambda r: F.array(*map(F.lit, r.labels)), None)
+    rows = rows.withColumn("witness", witness(labels, F.col("n"), F.col("alternates")))
+    ident = S.finding_id(F.col("rule_id"), F.col("dst"), F.col("dst"), S.sha(F.to_json("witness"), 16))
+    return rows.select(ident.alias("finding_id"), "rule_id", by_rule(lambda r: F.lit(r.severity), None).alias("severity"), by_rule(lambda r: F.lit(r.title), None).alias("title_key"), "file", "source_line", "sink_line", "src", "dst", "n", "witness")
+
+
+@dataclass(frozen=True)
+class NodeRule:
+    """A rule on single nodes: what its findings say."""
+
+    id: str
+    severity: str
+    title: str
+    labels: tuple[str, ...]
+    trace: str
+    strength: int | None = None
+
+
+#: The rules on nodes, and the rule on flows without an ownership check.
+NODE_RULES = {
+    r.id: r
+    for r in (
+        NodeRule("RULE-OBJINJ-001", "MEDIUM", "php.object_injection.signal", ("DESERIALIZE",), "security_signal", 35),
+        NodeRule("RULE-WP-NONCE-001", "MEDIUM", "wp.nonce_get_only", ("WP_NONCE", "METHOD_GUARD_GET_ONLY"), "pattern"),
+        NodeRule("RULE-WP-AJAX-001", "HIGH", "wp.ajax_nopriv_no_cap", ("AJAX_NOPRIV",), "ajax"),
+        NodeRule("RULE-WP-REST-001", "HIGH", "wp.rest_weak_permission", ("REST", "ACCESS_CONTROL"), "route"),
+    )
+}
+IDOR = FlowRule("RULE-WP-IDOR-001", "", "MEDIUM", "wp.idor.graph_heuristic", ("IDOR", "HTTP_SUPERGLOBAL"))
+IDOR_LIMIT = "idor_heuristic_no_object_ownership_model"
+
+
+def node_findings(nodes: DataFrame, rule: NodeRule) -> DataFrame:
+    """Findings of nodes (id, file, line): the node is anchor, path and trace. They have one line, so source_line is null."""
+    hops = F.array().cast("array<struct<edge_kind:string,from_id:string,to_id:string>>")
+    summary = F.struct(F.lit(None).cast("boolean").alias("approximate_flow"), F.lit(rule.strength).cast("int").alias("constraint_strength"), F.lit(None).cast("long").alias("source_count"))
+    fields = (F.array().cast("array<string>").alias("analysis_limits"), summary.alias("constraint_summary"), F.array("id").alias("path_edges"), F.array(F.concat(F.lit(f"graph:{rule.trace}:"), "id")).alias("semantic_trace"), hops.alias("summary_hops"), F.array(*map(F.lit, rule.labels)).alias("taint_labels"))
+    rows = nodes.withColumn("witness", F.struct(*fields))
+    ident = S.finding_id(F.lit(rule.id), F.col("id"), F.col("id"), S.sha(F.to_json("witness"), 16))
+    return rows.select(ident.alias("finding_id"), F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.title).alias("title_key"), "file", F.lit(None).cast("int").alias("source_line"), F.coalesce("line", F.lit(1)).alias("sink_line"), F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1).cast("long").alias("n"), "witness")
+
+
+def idor_findings(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """One finding per (file, sink line, kind) of a flow to SQL, HTML or object injection where no capability is checked."""
+    rows = without_capability(edges.where(F.col("sink_kind").isin("SQL", "HTML", "OBJECT_INJECTION") & (F.col("source_line") != F.col("sink_line"))), facts)
+    rows = one_per_sink(rows, keys=("file", "sink_line", "sink_kind")).withColumn("witness", witness(F.array(*map(F.lit, IDOR.labels)), F.col("n"), F.col("alternates"), (IDOR_LIMIT,)))
+    ident = S.finding_id(F.lit(IDOR.id), F.col("dst"), F.col("dst"), S.sha(F.to_json("witness"), 16))
+    return rows.select(ident.alias("finding_id"), F.lit(IDOR.id).alias("rule_id"), F.lit(IDOR.severity).alias("severity"), F.lit(IDOR.title).alias("title_key"), "file", "source_line", "sink_line", "src", "dst", "n", "witness")
+
+
 STATIC_INCLUDE = f"(?i){STATIC_INCLUDE_CALL}"
 
 
@@ -156,6 +219,24 @@ class Rule:
     cwe: list[str] = field(default_factory=list)
 
 
+#: Standard ids of the built-in rules, as (rule, OWASP, CWE); those of the second list need the platform's adapter.
+_GENERIC_IDS = (
+    ("RULE-SQLI-001", "A03:2021", "CWE-89"), ("RULE-XSS-001", "A03:2021", "CWE-79"), ("RULE-REDIRECT-001", "A01:2021", "CWE-601"), ("RULE-LFI-001", "A03:2021", "CWE-98"), ("RULE-RFI-001", "A03:2021", "CWE-98"),
+    ("RULE-RCE-001", "A03:2021", "CWE-94"), ("RULE-UPLOAD-001", "A03:2021", "CWE-434"), ("RULE-SSRF-001", "A10:2021", "CWE-918"), ("RULE-CSV-001", "A03:2021", None), ("RULE-OBJINJ-001", "A08:2021", "CWE-502"),
+)
+_PLATFORM_IDS = (("RULE-WP-NONCE-001", "A01:2021", None), ("RULE-WP-AJAX-001", "A01:2021", None), ("RULE-WP-REST-001", "A01:2021", None), ("RULE-WP-IDOR-001", "A01:2021", None))
+_SEVERITY = {r.id: r.severity for r in (*FLOW_RULES.values(), *NODE_RULES.values(), IDOR)}
+
+
+def _pack(ids, adapter: str | None) -> list[Rule]:
+    return [Rule(i, _SEVERITY[i], i, min_schema="3.1", adapter=adapter, owasp=[o], cwe=[c] if c else []) for i, o, c in ids]
+
+
+#: Rule packs by name. A rule's evaluator goes by the rule's own id.
+PACKS = {"generic-php": _pack(_GENERIC_IDS, None), "wordpress": _pack(_PLATFORM_IDS, "wordpress")}
+PACKS["full"] = PACKS["generic-php"] + PACKS["wordpress"]
+
+
 def gate_status(rules: DataFrame, schema: str, adapters: list[str], evaluators: list[str]) -> DataFrame:
     """rules (id, enabled, min_schema, adapter, evaluator) with status, the first gate that stops a rule, else OK."""
     active = F.col("adapter").isNull() | F.col("adapter").isin(*adapters) if adapters else F.col("adapter").isNull()

@@ -261,7 +261,7 @@ def _(v: Views) -> DataFrame:
     return rules.missing_guard_routes(v.nodes(), v.edges())
 
 
-@query("q35_signals", sql("SELECT 'signal:' || id AS id, file, line, CASE kind WHEN 'OBJECT_INJECTION' THEN 'object_injection_entrypoint' WHEN 'CODE_EXEC' THEN 'code_exec_entrypoint' ELSE 'upload_entrypoint' END AS signal FROM v_facts WHERE label = 'Sink' AND kind IN ('OBJECT_INJECTION', 'CODE_EXEC', 'UPLOAD')", "v_facts"))
+@query("q35_signals", sql("SELECT CASE kind WHEN 'OBJECT_INJECTION' THEN 'objinj:' WHEN 'CODE_EXEC' THEN 'dang:' ELSE 'upload:' END || id AS id, file, line, CASE kind WHEN 'OBJECT_INJECTION' THEN 'OBJECT_INJECTION_ENTRYPOINT' WHEN 'CODE_EXEC' THEN 'REACHABLE_DANGEROUS_SINK_CANDIDATE' ELSE 'UPLOAD_LIFECYCLE' END AS signal FROM v_facts WHERE label = 'Sink' AND kind IN ('OBJECT_INJECTION', 'CODE_EXEC', 'UPLOAD')", "v_facts"))
 def _(v: Views) -> DataFrame:
     return graph.signals(v.facts())
 
@@ -489,9 +489,9 @@ def _(v: Views) -> DataFrame:
     return rules.flow_findings(flows.flows(v.facts(), cap=None), rules.FLOW_RULES["RULE-XSS-001"], grouped=False).select("src", "dst", "file", "source_line", "sink_line")
 
 
-@query("q66_signal_findings", sql("SELECT 'RULE-OBJINJ-001' AS rule_id, 'signal:' || id AS id, file, line, 35 AS constraint_strength FROM v_facts WHERE label = 'Sink' AND kind = 'OBJECT_INJECTION'", "v_facts"))
+@query("q66_signal_findings", sql("SELECT 'RULE-OBJINJ-001' AS rule_id, 'objinj:' || id AS id, file, line, 35 AS constraint_strength FROM v_facts WHERE label = 'Sink' AND kind = 'OBJECT_INJECTION'", "v_facts"))
 def _(v: Views) -> DataFrame:
-    return rules.signal_findings(graph.signals(v.facts()), "object_injection_entrypoint", "RULE-OBJINJ-001", 35)
+    return rules.signal_findings(graph.signals(v.facts()), "OBJECT_INJECTION_ENTRYPOINT", "RULE-OBJINJ-001", 35)
 
 
 @query("q67_heuristic_findings", sql("SELECT 'RULE-WP-NONCE-001' AS rule_id, file, 1 AS line FROM v_lines GROUP BY file HAVING bool_or(regexp_matches(text, 'the ')) AND bool_or(regexp_matches(text, 'that '))", "v_lines"))
@@ -551,3 +551,54 @@ def _(v: Views) -> DataFrame:
     found = rules.flow_findings(flows.flows(v.facts(), cap=None), rules.FLOW_RULES["RULE-XSS-001"])
     excerpts = report.excerpts(found.select(F.col("finding_id").alias("id"), "file", F.col("sink_line").alias("line")), v.facts().select("file", "line", F.col("id").alias("text")))
     return sinks.evidence(found, excerpts).select("folder", "finding_id")
+
+
+# --- code from end to end ------------------------------------------------------------------------------------------------
+
+#: What each program of the code view gives: its number, rule, severity, source and sink line (from the program's first line; null
+#: and fixed for rules on nodes), whether it is a flow, and the strength given.
+_EXPECTED = """(VALUES (0, 'RULE-SQLI-001', 'MEDIUM', 0, 1, TRUE, 0), (0, 'RULE-WP-IDOR-001', 'MEDIUM', 0, 1, TRUE, 0), (2, 'RULE-RCE-001', 'CRITICAL', 2, 3, TRUE, 0), (3, 'RULE-WP-AJAX-001', 'HIGH', NULL, 1, FALSE, 0),
+  (4, 'RULE-OBJINJ-001', 'MEDIUM', NULL, 2, FALSE, 0.35), (5, 'RULE-WP-REST-001', 'HIGH', NULL, 1, FALSE, 0), (5, 'RULE-LFI-001', 'MEDIUM', 1, 2, TRUE, 0)) AS x(k, rule_id, severity, a, b, flow, strength)"""
+_SCAN = f"""SELECT *, CASE WHEN score >= 0.65 THEN 'HIGH' WHEN score >= 0.45 THEN 'MEDIUM' ELSE 'VERY_LOW' END AS bucket FROM (
+  SELECT file, rule_id, severity, CAST(first + a AS INTEGER) AS source_line, CAST(CASE WHEN rule_id IN ('RULE-WP-AJAX-001', 'RULE-WP-REST-001') THEN b ELSE first + b END AS INTEGER) AS sink_line,
+    CASE WHEN flow THEN 'DOWNGRADE' ELSE 'ALLOW_PROMOTION' END AS verdict, CASE WHEN flow THEN 'INCONCLUSIVE' ELSE 'CONFIRMED' END AS verification,
+    round(0.45 + 0.25 * strength + 0.08 + 0.05 + CASE WHEN flow THEN -0.002 + 0.03 - 0.2 - 0.25 - 0.15 ELSE 0.01 END - CASE rule_id WHEN 'RULE-WP-AJAX-001' THEN 0.12 WHEN 'RULE-WP-REST-001' THEN 0.05 ELSE 0 END, 6)::DOUBLE AS score
+  FROM v_code JOIN {_EXPECTED} ON v_code.k = x.k)"""
+
+
+@query("q76_scan", sql(_SCAN, "v_code"))
+def _(v: Views) -> DataFrame:
+    from .scan import scan
+
+    found = scan(v.code(), "snap").enriched
+    return found.select("file", "rule_id", "severity", "source_line", "sink_line", "skeptic.verdict", "verification", F.round("score", 6).alias("score"), "bucket")
+
+
+def _code_spans(v: Views) -> DataFrame:
+    from ..operators.lift import lift
+
+    return lift(v.code().select(F.col("rel_path").alias("file"), S.language(F.col("rel_path")).alias("language"), "text"))
+
+
+@query("q77_structure", sql("SELECT file, rel, CAST(n AS BIGINT) AS n FROM v_code JOIN (SELECT k, unnest(['HAS_CALLSITE', 'ANCHORED_AT']) AS rel, n FROM (VALUES (0, 1), (1, 1), (2, 2), (3, 1), (4, 3), (5, 1), (6, 3)) AS c(k, n) UNION ALL SELECT 7, unnest(['HAS_CALLSITE', 'DEFINED_IN', 'CALLS', 'CALLS_TARGET']), 1 UNION ALL SELECT 7, 'ANCHORED_AT', 2) AS x ON v_code.k = x.k", "v_code"))
+def _(v: Views) -> DataFrame:
+    from ..operators import structure
+
+    edges = structure.structure(_code_spans(v), "snap")[1]
+    file = F.regexp_extract(F.concat("src", F.lit(" "), "dst"), r":(f[0-9]+\.(?:php|js))\b", 1)
+    return edges.groupBy(file.alias("file"), "rel").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q78_platform_nodes",
+    sql(
+        """SELECT file, label, name, kind, CAST(line AS INTEGER) AS line FROM v_code JOIN (VALUES (3, 'HookRegistration', 'wp_ajax_nopriv_a', 'action', 1), (3, 'AjaxAction', 'a', 'nopriv', 1), (3, 'GuardCheck', NULL, 'nopriv_surface', NULL),
+        (4, 'HookRegistration', 'wp_ajax_nopriv_a', 'action', 2), (4, 'AjaxAction', 'a', 'nopriv', 2), (4, 'GuardCheck', NULL, 'nopriv_surface', NULL), (4, 'CapabilityCheck', NULL, NULL, NULL),
+        (5, 'Route', NULL, 'unknown', NULL), (5, 'GuardCheck', NULL, 'weak_rest_permission', NULL), (6, 'NonceGuardApprox', NULL, NULL, NULL)) AS x(k, label, name, kind, line) ON v_code.k = x.k""",
+        "v_code",
+    ),
+)
+def _(v: Views) -> DataFrame:
+    from ..operators import platform, structure
+
+    return platform.wordpress(structure.platform_texts(_code_spans(v)), "snap")[0].select("file", "label", "name", "kind", "line")

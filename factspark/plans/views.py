@@ -13,6 +13,19 @@ NAMES = ("$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_SERVER")
 RULES = ("SQLI", "XSS", "REDIRECT", "LFI", "RFI", "RCE", "UPLOAD", "SSRF", "CSV", "OBJINJ", "WP-NONCE", "WP-AJAX", "WP-REST", "WP-IDOR")
 
 
+#: Small programs by doc_id modulo their number. Each follows the document's text in a comment, so the lexer reads that too.
+PROGRAMS = (
+    "$id = $_GET['id'];\n$rows = $db->query(\"SELECT $id\");\n",
+    "$n = $_POST['n'];\necho htmlspecialchars($n);\n",
+    "$x = $_COOKIE['x'];\nsystem($x);\n$y = $_GET['y'];\nexec($y);\n",
+    "add_action('wp_ajax_nopriv_a', 'b');\n",
+    "current_user_can('x');\nadd_action('wp_ajax_nopriv_a', 'b');\n$o = unserialize($_POST['o']);\n",
+    "register_rest_route('a', 'b', array('permission_callback' => '__return_true'));\n$f = $_REQUEST['f'];\ninclude $f;\n",
+    "$q = $_GET['q'];\n$s = $wpdb->prepare($q);\n$wpdb->query($s);\nwp_verify_nonce($n);\n",
+    "function go(a) { return helper(a); }\n",
+)
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -28,6 +41,15 @@ class Views:
         path = F.concat_ws("/", "source", "lang", F.concat_ws(".", F.col("doc_id").cast("string"), self._pick(EXTENSIONS, F.col("doc_id") % 6)))
         return d.select(F.col("doc_id").alias("ord"), path.alias("rel_path"), "text", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"))
 
+    def code(self) -> DataFrame:
+        """rel_path, text, size: every document's text in a comment, with a program below it (the last one JavaScript)."""
+        d = self.table("documents")
+        k = F.col("doc_id") % len(PROGRAMS)
+        comment = F.concat(F.lit("/*"), F.replace("text", F.lit("*/"), F.lit("")), F.lit("*/\n"))
+        text = F.concat(F.when(k == 7, "").otherwise("<?php\n"), comment, self._pick(PROGRAMS, k))
+        rows = d.select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(k == 7, ".js").otherwise(".php")).alias("rel_path"), text.alias("text"))
+        return rows.withColumn("size", F.octet_length("text").cast("long"))
+
     def lines(self) -> DataFrame:
         d = self.table("documents")
         return d.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n"))).select("file", (F.col("pos") + 1).alias("line"), F.lit(0).alias("byte_off"), F.col("col").alias("text"))
@@ -114,6 +136,8 @@ def _list(values: tuple[str, ...]) -> str:
 
 CTES = {
     "v_files": f"""SELECT doc_id AS ord, source || '/' || lang || '/' || doc_id || '.' || {_list(EXTENSIONS)}[doc_id % 6 + 1] AS rel_path, text, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents""",
+    # first: the line on which a document's program begins
+    "v_code": "SELECT 'f' || doc_id || CASE WHEN doc_id % 8 = 7 THEN '.js' ELSE '.php' END AS file, doc_id % 8 AS k, CAST(CASE WHEN doc_id % 8 = 7 THEN 2 ELSE 3 END + length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS first FROM documents",
     "v_lines": "SELECT doc_id AS file, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
     "v_tags": "SELECT page_id AS file, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT page_id, regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9]*') AS l FROM pages)",
     "v_facts": f"""SELECT 'u' || user_id AS file, event_id AS ord, 'n' || event_id AS id, CAST((rn - 1) // 3 + 1 AS INTEGER) AS line, label,
