@@ -48,17 +48,48 @@ def owasp_rollup(findings: DataFrame, rules: DataFrame, most: int = 50) -> DataF
     return rows.groupBy("owasp_id").agg(F.count("*").alias("n")).join(first, "owasp_id")
 
 
-def findings_page(findings: DataFrame, severity: str | None = None, rule: str | None = None, kind: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+def filtered(findings: DataFrame, severity: str | None = None, rule: str | None = None, kind: str | None = None) -> DataFrame:
+    """Findings of a severity, a rule and a type, each if given; severities and types in either case."""
     rows = findings
     if severity:
         rows = rows.where(F.col("severity") == severity.upper())
     if rule:
         rows = rows.where(F.col("rule_id") == rule)
     if kind:
-        rows = rows.where(F.col("rule_id").startswith(f"RULE-{kind}-"))
+        rows = rows.where(F.col("rule_id").startswith(f"RULE-{kind.upper()}-"))
+    return rows
+
+
+def findings_page(findings: DataFrame, severity: str | None = None, rule: str | None = None, kind: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+    rows = filtered(findings, severity, rule, kind)
     return rows.orderBy("severity", "rule_id", "finding_id").offset(offset).limit(limit)
 
 
+def tallied_page(findings: DataFrame, severity: str | None = None, rule: str | None = None, kind: str | None = None, offset: int = 0, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(page, tallies): a page of filtered findings, and rows (of, name, n) with the number of filtered findings (of = total) and the
+    counts of all findings by severity, rule and type, so that charts show the whole scan whatever is filtered."""
+    n = filtered(findings, severity, rule, kind).agg(F.count("*").alias("n")).select(F.lit("total").alias("of"), F.lit("").alias("name"), "n")
+    keys = F.array(*(F.struct(F.lit(of).alias("of"), c.alias("name")) for of, c in (("severity", F.col("severity")), ("rule", F.col("rule_id")), ("type", S.vuln_type(F.col("rule_id"))))))
+    all_ = findings.select(F.inline(keys)).groupBy("of", "name").agg(F.count("*").alias("n"))
+    return findings_page(findings, severity, rule, kind, offset, limit), n.union(all_)
+
+
+def largest_first(counts: DataFrame) -> DataFrame:
+    """counts (name, n) in falling order, names breaking ties."""
+    return counts.orderBy(F.desc("n"), "name")
+
+
+def search(rows: DataFrame, text: str, *columns: str) -> DataFrame:
+    """Rows with the text in one of the columns, in either case; nulls hold nothing. All rows for an empty text."""
+    needle = text.strip().lower()
+    if not needle:
+        return rows
+    hit = F.lit(False)
+    for c in columns:
+        hit |= F.coalesce(F.contains(F.lower(F.col(c)), F.lit(needle)), F.lit(False))
+    return rows.where(hit)
+
+
 def counts_by(findings: DataFrame, key: Column, name: str) -> DataFrame:
     return findings.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
 
