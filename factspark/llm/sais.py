@@ -132,7 +132,8 @@ def _sorted(s: np.ndarray, k: int) -> np.ndarray:
 
 def suffix_array(data: bytes | np.ndarray) -> np.ndarray:
     s = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
-    return _sorted(np.concatenate([s.astype(np.int64) + 1, [0]]), 257)[1:]
+    # two-byte symbols: numpy sorts these by radix, longer ones by comparison
+    return _sorted(np.append(s.astype(np.uint16) + np.uint16(1), np.uint16(0)), 257)[1:]
 
 
 def repeated_windows(contents: list[bytes], weights: list[int], width: int) -> list[np.ndarray]:
