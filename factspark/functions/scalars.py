@@ -143,3 +143,8 @@ def edge_id(src: Column, rel: Column, dst: Column, props_json: Column | None = N
 
 def finding_id(rule: Column, anchor: Column, sink: Column, witness_hash: Column) -> Column:
     return F.concat_ws("|", F.lit("FINDING"), rule, anchor, sink, witness_hash)
+
+
+def missing_keys(text: Column, *keys: str) -> Column:
+    """Those of the keys that a JSON object lacks; null where the text is no JSON object."""
+    return F.array_except(F.array(*map(F.lit, keys)), F.json_object_keys(text))

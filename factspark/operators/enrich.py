@@ -134,3 +134,16 @@ def enriched(findings: DataFrame, profile: str = "", integrity_ok: bool = True)
     """Findings with hypothesis, skeptic, verification, features, score and bucket. A finding on one node has no source_line."""
     rows = findings.withColumn("hypothesis", hypothesis(F.col("rule_id"), F.array_compact(F.array(F.col("source_line").cast("string"), F.col("sink_line").cast("string")))))
     return with_score(with_verification(with_skeptic(rows)), profile, integrity_ok)
+
+
+def workflow(findings: DataFrame, scan_id: str, integrity_ok: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(enriched, trace): the four steps in one pass with the plain weights, and a row (nth, step, scan_id, mode, n) for each step."""
+    n = findings.agg(F.count("*").alias("all"))
+    step = lambda nth, name, mode, count: F.struct(F.lit(nth).alias("nth"), F.lit(name).alias("step"), F.lit(scan_id).alias("scan_id"), F.lit(mode).cast("string").alias("mode"), count.cast("long").alias("n"))
+    steps = F.array(
+        step(0, "extract", None, F.col("all")),
+        step(1, "analyst", "deterministic_template", F.lit(None)),
+        step(2, "skeptic", "deterministic_rules", F.lit(None)),
+        step(3, "finalize", None, F.col("all")),
+    )
+    return enriched(findings, integrity_ok=integrity_ok), n.select(F.inline(steps))

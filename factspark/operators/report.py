@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,6 +90,13 @@ def search(rows: DataFrame, text: str, *columns: str) -> DataFrame:
     return rows.where(hit)
 
 
+def observed(rows: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """rows, and an observation whose `get` gives the metrics (aggregates) once an action has read all of rows: counters without a
+    second pass."""
+    seen = Observation()
+    return rows.observe(seen, *(c.alias(k) for k, c in metrics.items())), seen
+
+
 def counts_by(findings: DataFrame, key: Column, name: str) -> DataFrame:
     return findings.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
 

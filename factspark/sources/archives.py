@@ -1,4 +1,4 @@
-"""Archives of source files as rows: zip and tar members by a Python data source, one partition per archive."""
+"""Archives of source files as rows: zip and tar members, read inside the tasks that hold their archives."""
 
 from __future__ import annotations
 
@@ -30,7 +30,8 @@ def _inside(path: str) -> str:
 
 
 def read_archives(archives: DataFrame, most: int = 50 * 1024**2) -> DataFrame:
-    """archives (path, content, as binaryFile reads them) to archive, rel_path, size, content; a broken archive is one row with error."""
+    """archives (path, content, as binaryFile reads them) to archive, rel_path, size, content; a broken archive is one row with
+    error. An archive is a value of binaryFile, so it is in memory as a whole (2 GB at most); its members go on one by one."""
     import pyarrow as pa
 
     names = ["archive", "rel_path", "size", "content", "error"]

@@ -5,6 +5,7 @@ files: rel_path, size, text (or content), ord (the walk order).
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,20 +49,25 @@ def classified(files: DataFrame, q: Quotas = Quotas()) -> DataFrame:
     return files.withColumns({"language": F.when(F.col("size") > q.max_file_bytes, "other").otherwise(S.language(F.col("rel_path"))), "parse_policy": S.parse_policy(F.col("rel_path"), F.col("size"), q.max_file_bytes)})
 
 
-def running_total(df: DataFrame, bucket: str, order: list[str], value: str, name: str) -> DataFrame:
-    """The running sum of value in the order (bucket, *order): sums of buckets first, then a window inside each, so that no task
-    sorts all rows. bucket must rise with the order."""
-    sums = df.groupBy(bucket).agg(F.sum(value).alias("_s"))
-    ahead = sums.select(F.col(bucket).alias("_b"), F.coalesce(F.sum("_s").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    inner = F.sum(value).over(Window.partitionBy(bucket).orderBy(*order))
-    return df.join(ahead, F.col(bucket).eqNullSafe(F.col("_b"))).withColumn(name, F.col("_ahead") + inner).drop("_b", "_ahead")
+def running_totals(df: DataFrame, order: str, values: dict[str, Column], ranges: int = 256) -> DataFrame:
+    """df with the running sums of values in the order of a string column: ranges of the order are summed first, then a window inside
+    each goes on from what lies ahead, so that no task sorts all rows, whatever prefix they share. Ranges end at paths drawn by hash
+    (16 a range, which only balances tasks: the sums are exact). Rows alike in order have one sum; null comes first."""
+    drawn = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(16 * ranges).collect())
+    ends = F.array(*map(F.lit, drawn[16::16])).cast("array<string>")
+    rows = df.withColumns({"_range": F.size(F.filter(ends, lambda e: e <= F.col(order)))} | {f"_of_{k}": v for k, v in values.items()})
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_range").agg(*(F.sum(f"_of_{k}").alias(f"_sum_{k}") for k in values))
+    ahead = sums.select("_range", *(F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_ahead_{k}") for k in values))
+    inside = Window.partitionBy("_range").orderBy(order)
+    # a row a range
+    rows = rows.join(F.broadcast(ahead), "_range").withColumns({k: F.col(f"_ahead_{k}") + F.sum(f"_of_{k}").over(inside) for k in values})
+    return rows.drop("_range", *(f"_{p}_{k}" for p in ("of", "ahead") for k in values))
 
 
 def within_quotas(files: DataFrame, q: Quotas) -> DataFrame:
     """The walk's files with n and total (their number and bytes so far, in rel_path order) and status: kept, MAX_FILES or MAX_TOTAL_BYTES."""
-    rows = files.withColumns({"_bucket": F.substring("rel_path", 1, 8), "_one": F.lit(1).cast("long")})
-    rows = running_total(rows, "_bucket", ["rel_path"], "_one", "n")
-    rows = running_total(rows, "_bucket", ["rel_path"], "size", "total").drop("_bucket", "_one")
+    rows = running_totals(files, "rel_path", {"n": F.lit(1).cast("long"), "total": F.col("size")})
     return rows.withColumn("status", F.when(F.col("n") > q.max_files, "MAX_FILES").when(F.col("total") > q.max_total_bytes, "MAX_TOTAL_BYTES").otherwise("kept"))
 
 
@@ -75,10 +81,26 @@ def diagnostics(files: DataFrame, q: Quotas) -> DataFrame:
 
 def manifest_hashes(files: DataFrame) -> DataFrame:
     """One row: n_files, manifest_sha256 (over the sorted JSON rows), tree_sha256 (over path, NUL, hash lines), from a narrow
-    projection of paths, hashes, sizes and languages."""
+    projection of paths, hashes, sizes and languages. One digest must pass over all of them in order, so one task sorts them (with
+    spills) and streams them through both digests, holding a batch at a time."""
+    import pyarrow as pa
+
     rows = files.select("rel_path", F.to_json(F.struct(F.col("language").alias("language_guess"), "rel_path", "sha256", "size")).alias("j"), F.concat("rel_path", F.lit("\0"), "sha256", F.lit("\n")).alias("t"))
-    ordered = F.array_sort(F.collect_list(F.struct("rel_path", "j", "t")))
-    return rows.agg(F.count("*").alias("n_files"), ordered.alias("o")).select("n_files", F.sha2(F.concat(F.lit("["), F.array_join(F.col("o.j"), ","), F.lit("]")), 256).alias("manifest_sha256"), F.sha2(F.array_join(F.col("o.t"), ""), 256).alias("tree_sha256"))
+
+    def run(batches):
+        n, manifest, tree = 0, hashlib.sha256(b"["), hashlib.sha256()
+        for b in batches:
+            for j, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                manifest.update((("," if n else "") + j).encode())
+                tree.update((t or "").encode())
+                n += 1
+        manifest.update(b"]")
+        yield pa.RecordBatch.from_pydict({"n": [n], "m": [manifest.hexdigest()], "t": [tree.hexdigest()]})
+
+    # no files, perhaps no task: the digests of nothing
+    found = rows.repartition(1).sortWithinPartitions("rel_path", "j", "t").mapInArrow(run, "n long, m string, t string")
+    last = lambda c, none: F.coalesce(F.max_by(c, "n"), F.lit(none))
+    return found.agg(last("n", 0).alias("n_files"), last("m", hashlib.sha256(b"[]").hexdigest()).alias("manifest_sha256"), last("t", hashlib.sha256().hexdigest()).alias("tree_sha256"))
 
 
 def duplicates(files: DataFrame) -> DataFrame:

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 def _folder(spark: SparkSession) -> str:
     """In the cluster's shared folder; on one machine without one, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='factspark-stream-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='factspark-stream-')}"
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
