@@ -23,12 +23,25 @@ def header(record_type: str, page_id: int | None, url: str | None, digest: str,
     """The WARC/1.1 named fields of a record; line breaks in a URL are percent-encoded."""
     length = len(_HTTP) + (size if record_type == "response" else 0)
     uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    fields = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
+    target = [] if url is None else [f"WARC-Target-URI: {uri}"]
+    fields = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{page_id}>", *target, f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
     if record_type == "revisit":
         fields += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     return "\r\n".join(fields) + "\r\n\r\n"
 
 
+def parsed(text: str) -> tuple[int, tuple]:
+    """(Content-Length, (page_id, payload_bytes, payload_digest, record_type, refers_to, url)) of a record's header; an absent
+    URL is null. ValueError for what isn't such a header."""
+    version, *lines = text.split("\r\n")
+    if version != "WARC/1.1" or lines[-2:] != ["", ""]:
+        raise ValueError(f"damaged header: {text[:80]!r}")
+    named = dict(x.split(": ", 1) for x in lines[:-2])
+    page = lambda urn: None if urn in (None, "<urn:page:None>") else int(urn.removeprefix("<urn:page:").removesuffix(">"))
+    record = (page(named["WARC-Record-ID"]), int(named["X-Payload-Length"]), named["WARC-Payload-Digest"].removeprefix("sha1:"), named["WARC-Type"], page(named.get("WARC-Refers-To")), named.get("WARC-Target-URI"))
+    return int(named["Content-Length"]), record
+
+
 def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, url, html, digest, size, first: the largest page_id among payloads equal to this one of at least `least` bytes, else null.
 
@@ -82,46 +95,51 @@ def _chunks(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archive(archive: DataFrame) -> DataFrame:
-    """A row per record, its chunks streamed in order and every running digest checked: page_id, payload_bytes, payload_digest,
-    record_type, refers_to, url. A record whose chunks are missing or damaged raises ValueError."""
+    """A row per record, read from its header and chunks: page_id, payload_bytes, payload_digest, record_type, refers_to, url (as it
+    stands in the header, line breaks percent-encoded).
+
+    Chunks are streamed in order; every running digest, the content length and the payload digest are checked. A record whose
+    header or chunks are missing or damaged raises ValueError. Records alike in all of these columns are told apart by how often
+    their chunks come.
+    """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    key = F.xxhash64("record_id", "payload_digest", "record_type")
-    # copies of one row are told apart by how often a chunk number came before; sorted by chunk they'd mix, which equal data survive
-    rows = archive.repartition(max(1, shuffle_parts(archive.sparkSession)), key).sortWithinPartitions("record_id", "payload_digest", "record_type", "chunk")
+    key = ["record_id", "payload_digest", "record_type", "url"]
+    # copies of one record, sorted by chunk, mix, which equal data survive
+    rows = archive.repartition(max(1, shuffle_parts(archive.sparkSession)), F.xxhash64(*key)).sortWithinPartitions(*key, "chunk")
 
     def run(batches):
-        now, at, times, sizes, sha = None, -1, 0, 0, None
+        now, head, at, times, whole, size, sha = None, None, -1, 0, False, 0, None
         out = []
 
         def close():
-            if now is not None:
-                if not now[6] or (now[2] == "response" and (sizes != now[4] or sha.hexdigest() != now[1])):
-                    raise ValueError(f"record {now[0]} is damaged")
-                out.extend([(now[0], now[4], now[1], now[2], now[3], now[5])] * times)
+            if now is None:
+                return
+            length, record = parsed(head)
+            intact = record[3] == "revisit" or (size, sha.hexdigest()) == record[1:3]
+            if not whole or not intact or length != len(_HTTP) + size or record[0] != now[0]:
+                raise ValueError(f"record {now[0]} is damaged")
+            out.extend([record] * times)
 
         for b in batches:
             d = dict(zip(b.schema.names, b.columns, strict=True))
             data = d["data"]
-            for i, row in enumerate(zip(*(d[k].to_pylist() for k in ("record_id", "payload_digest", "record_type", "refers_to", "payload_bytes", "url", "chunk", "last", "running_digest")), strict=True)):
-                record, chunk, last, running = row[:3], row[6], row[7], row[8]
-                if now is None or record != now[:3]:
+            for i, (*record, chunk, last, running, text) in enumerate(zip(*(d[k].to_pylist() for k in (*key, "chunk", "last", "running_digest", "header")), strict=True)):
+                if record != now:
                     close()
-                    now, at, times, sizes, sha = [*row[:6], False], -1, 0, 0, hashlib.sha1()
-                    now[:3] = record
-                    now = tuple(now)
+                    now, head, at, times, whole, size, sha = record, text, -1, 0, False, 0, hashlib.sha1()
                 if chunk == 0:
                     times += 1
+                    if text is None or text != head:
+                        raise ValueError(f"record {now[0]} has a damaged header")
                 if chunk == at:
                     continue
                 if chunk != at + 1:
                     raise ValueError(f"record {now[0]} lacks chunk {at + 1}")
-                at = chunk
                 part = data[i].as_buffer()
                 sha.update(part)
-                sizes += len(part)
+                at, whole, size = chunk, last, size + len(part)
                 if now[2] == "response" and sha.hexdigest() != running:
                     raise ValueError(f"record {now[0]} is damaged in chunk {chunk}")
-                now = (*now[:6], last)
             if out:
                 yield _records(out)
                 out.clear()

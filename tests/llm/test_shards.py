@@ -1,6 +1,8 @@
+import zlib
+
 from pyspark.sql import functions as F
 
-from factspark.llm.shards import shard, splitters, write_shards
+from factspark.llm.shards import op2_histogram_shards, shard, splitters, write_shards
 
 
 def sizes(df):
@@ -39,3 +41,24 @@ def test_written_shards(spark, tmp_path):
     d = spark.range(100).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     write_shards(shard(d, 4), str(tmp_path / "s"))
     assert len(list((tmp_path / "s").glob("shard=*"))) == 4 and spark.read.parquet(str(tmp_path / "s")).count() == 100
+
+
+def test_the_query_row_by_row(spark, tmp_path):
+    """Sizes, checksums, slots, equal bytes and groups of equal texts, from the rows in plain Python."""
+    rows = [(i, f"text {i} " * (i % 40)) for i in range(4_000)] + [(i, "copied " * 20) for i in range(4_000, 5_500)] + [(5_500, None), (5_501, ""), (5_502, "é" * 60_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op2_histogram_shards(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    held, slots, where = [0] * 40, [[] for _ in range(40)], {}
+    for i, text in rows:
+        data, r = (text or "").encode(), got[i]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+        held[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        where.setdefault(data, set()).add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    # the large row is longer than a shard, so its neighbours may lie a row off; the others are near the mean
+    mean, large = sum(held) / 40, got[5_502].shard
+    assert all(abs(b - mean) <= 0.03 * mean + 400 for k, b in enumerate(held) if abs(k - large) > 3), held
+    # copies of a text lie in one run of shards: 210,000 of its bytes fill a few, all else is cut by no boundary
+    assert all(max(w) - min(w) + 1 == len(w) for w in where.values()) and sum(len(w) > 1 for w in where.values()) <= 39

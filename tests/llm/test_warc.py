@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from factspark.llm.warc import archive_rows, plan_records, read_archive, record_bytes
+from factspark.llm.warc import archive_rows, header, parsed, plan_records, read_archive, record_bytes
 
 
 def pages(spark):
@@ -38,6 +38,23 @@ def test_damage_is_seen(spark):
             read_archive(bad).collect()
 
 
+def test_records_come_from_their_headers(spark):
+    for url, back in (("http://a/ b: c", "http://a/ b: c"), (None, None), ("", ""), ("a\r\nWARC-Type: x", "a%0D%0AWARC-Type: x")):
+        assert parsed(header("revisit", 3, url, "ab", 9, 4))[1] == (3, 9, "ab", "revisit", 4, back)
+    _, d = pages(spark)
+    archive = archive_rows(plan_records(d), chunk=700)
+    cut = lambda old, new: archive.withColumn("header", F.when(F.col("record_id") == 7, F.replace("header", F.lit(old), F.lit(new))).otherwise(F.col("header")))
+    for old, new in (("Content-Length: 1", "Content-Length: 2"), ("WARC/1.1", "WARC/9"), ("urn:page:7", "urn:page:8"), ("sha1:", "sha1:0")):
+        with pytest.raises(Exception, match="damaged"):
+            read_archive(cut(old, new)).collect()
+    assert {r.refers_to for r in read_archive(cut("response\r\nWARC-Record", "revisit\r\nWARC-Refers-To: <urn:page:1>\r\nWARC-Record")).where("page_id = 7").collect()} == {1}
+
+
+def test_copies_with_other_urls_keep_them(spark):
+    d = spark.createDataFrame([(1, "a", "q"), (1, "b", "q"), (1, "b", "q"), (None, "c", None), (None, None, None)], "page_id long, url string, html string")
+    assert sorted((r.page_id or 0, r.url or "") for r in read_archive(archive_rows(plan_records(d))).collect()) == [(0, ""), (0, "c"), (1, "a"), (1, "b"), (1, "b")]
+
+
 def test_empty(spark):
     _, d = pages(spark)
     assert read_archive(archive_rows(plan_records(d.limit(0)))).count() == 0
