@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, embeddings, jaccard, langid, packing, rans, shards, suffix, warc
+from . import bestfit, chat, codes, decontam, embeddings, fim, jaccard, langid, packing, rans, shards, suffix, warc
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_rans_tokens": rans.op8_rans_tokens,
     "op9_suffix_array_dedup": suffix.op9_suffix_array_dedup,
     "op10_language_id": langid.op10_language_id,
+    "op11_vector_codes": codes.op11_vector_codes,
+    "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_best_fit": bestfit.op13_best_fit,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op6_chat_format": chat.ORACLE,
     "op7_warc": warc.ORACLE,
     "op9_suffix_array_dedup": suffix.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
 }
