@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Base, weights in the order they are summed, overrides by profile, buckets.
+# Base, weights in the order they are summed, overrides by profile, buckets; below them check ids, verdicts and reasons.
 BASE = 0.45
 WEIGHTS = {
     "witness_shortest_len": -0.002,
@@ -80,8 +80,9 @@ def with_verification(findings: DataFrame) -> DataFrame:
     return rows.withColumn("verification", F.when(failed, "REFUTED").when(open_, "INCONCLUSIVE").otherwise("CONFIRMED"))
 
 
-def with_score(findings: DataFrame, profile: str = "", integrity_ok: bool = True) -> DataFrame:
+def with_score(findings: DataFrame, profile: str = "", integrity_ok: bool | Column = True) -> DataFrame:
     """features, score and bucket of findings that have been verified and met the skeptic."""
+    whole = (F.lit(integrity_ok) if isinstance(integrity_ok, bool) else integrity_ok).cast("int").cast("double")
     one = lambda c: F.coalesce(c, F.lit(False)).cast("int").cast("double")
     trace = _w("semantic_trace")
     strength = F.coalesce(_summary(findings, "constraint_strength", "double"), F.lit(0.0))
@@ -98,10 +99,10 @@ def with_score(findings: DataFrame, profile: str = "", integrity_ok: bool = True
         "ajax_nopriv_true": one(ajax),
         "skeptic_block_promotion": one(F.col("blocked")),
         "static_verifier_refuted": one(F.col("verification") == "REFUTED"),
-        "graph_integrity_ok": F.lit(float(integrity_ok)),
+        "graph_integrity_ok": whole,
         "approximate_flow": one(_summary(findings, "approximate_flow", "boolean")),
         "lift_derived_flow": one(F.array_contains(trace, "lift_derived_flow")),
-        "graph_integrity_failed": F.lit(float(not integrity_ok)),
+        "graph_integrity_failed": 1 - whole,
     }
     weights = WEIGHTS | PROFILES.get(profile, {})
     score = F.lit(BASE)
@@ -130,7 +131,7 @@ def bucket(score: Column) -> Column:
     return out.otherwise("VERY_LOW")
 
 
-def enriched(findings: DataFrame, profile: str = "", integrity_ok: bool = True) -> DataFrame:
+def enriched(findings: DataFrame, profile: str = "", integrity_ok: bool | Column = True) -> DataFrame:
     """Findings with hypothesis, skeptic, verification, features, score and bucket. A finding on one node has no source_line."""
     rows = findings.withColumn("hypothesis", hypothesis(F.col("rule_id"), F.array_compact(F.array(F.col("source_line").cast("string"), F.col("sink_line").cast("string")))))
     return with_score(with_verification(with_skeptic(rows)), profile, integrity_ok)

@@ -96,10 +96,10 @@ def deduped(facts: DataFrame) -> DataFrame:
 
 
 def fact_nodes(facts: DataFrame, snapshot: str) -> DataFrame:
-    """Deduped facts as what flows take: file, line, ord, id, label, kind, context, name, static. ord is a fact's place in its file;
+    """Deduped facts as what flows take: file, line, ord, id, label, kind, context, name, static (a path fixed in the code, or likely so). ord is a fact's place in its file;
     of facts with one id (one text can be a sink of two kinds) the last gives the properties and the first the place."""
     ord_ = F.row_number().over(Window.partitionBy("file").orderBy(F.col("seq") >= 0, "line", "byte_off", "text", "seq")).cast("long")
-    rows = facts.select("file", "line", F.concat_ws(":", F.lower("label"), F.lit(snapshot), "file", F.col("line").cast("string"), F.col("byte_off").cast("string")).alias("id"), "label", "kind", "context", "name", F.col("static_arg").alias("static"), ord_.alias("_seq"))
+    rows = facts.select("file", "line", F.concat_ws(":", F.lower("label"), F.lit(snapshot), "file", F.col("line").cast("string"), F.col("byte_off").cast("string")).alias("id"), "label", "kind", "context", "name", (F.col("static_arg") | F.col("static_path_likely")).alias("static"), ord_.alias("_seq"))
     return upserted(rows, "id", "_seq")
 
 
@@ -120,9 +120,9 @@ def file_heuristic(texts: DataFrame, requirements: list[str], name: str) -> Data
     return blob(texts).where(F.forall(F.array(*met), lambda m: m)).select("file", F.lit(name).alias("pattern"), F.lit(1).alias("line"))
 
 
-def heuristics(texts: DataFrame) -> DataFrame:
-    """All built-in heuristics over files."""
-    first, *rest = (file_heuristic(texts, list(requirements), name) for name, requirements in catalog_values.HEURISTICS)
+def heuristics(texts: DataFrame, known: tuple[tuple[str, tuple[str, ...]], ...] = catalog_values.HEURISTICS) -> DataFrame:
+    """Heuristics (name, requirements) over files; without others the built-in ones."""
+    first, *rest = (file_heuristic(texts, list(requirements), name) for name, requirements in known)
     for more in rest:
         first = first.union(more)
     return first

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import running_totals
 from .facts import URL_SANITIZERS
 
 #: Which sanitizers block a sink of a kind; kinds that are not named are never blocked.
@@ -18,6 +19,8 @@ BLOCKERS = {
     "url": (("REDIRECT", "FILE_INCLUDE", "REMOTE_READ", "UPLOAD", "FILE_WRITE"), lambda: F.col("context").isin("URL", "GENERIC") | F.col("name").isin(*URL_SANITIZERS)),
     "http": (("HTTP_CLIENT",), lambda: F.col("context").isin("URL", "GENERIC")),
 }
+#: Pairs that are broadcast at most.
+BROADCAST_PAIRS = 100_000
 #: Sink kinds that a source kind may reach in another file.
 CROSS_FILE = {"HTTP_SUPERGLOBAL": ("SQL", "HTML", "REDIRECT", "HTTP_CLIENT", "CODE_EXEC", "OBJECT_INJECTION")}
 
@@ -39,7 +42,7 @@ def nearest_sources(facts: DataFrame, cleaners: bool = False) -> DataFrame:
     more = [f"next_{k}" for k in BLOCKERS if cleaners]
     source = F.max(F.when(is_("Source"), F.struct("line", (-F.col("ord")).alias("o"), "id", "name", "kind", *more))).over(w)
     last = {k: F.max(F.when(is_("Sanitizer") & fits(), F.col("line"))).over(w) for k, (_, fits) in BLOCKERS.items()}
-    last["prepare"] = F.max(F.when(is_("Sanitizer") & (F.col("kind") == "SQL_PREPARE"), F.col("line"))).over(w)
+    last["prepare"] = F.max(F.when(is_("Sanitizer") & BLOCKERS["sql"][1](), F.col("line"))).over(w)
 
     def of_kind(pick):
         out = F
@@ -81,31 +84,39 @@ def unprepared(edges: DataFrame) -> DataFrame:
     return edges.where(~F.col("prepared"))
 
 
-def cross_file_flows(facts: DataFrame, cap: int = 5_000) -> DataFrame:
+def cross_file_flows(facts: DataFrame, cap: int = 5_000, tie: str = "ord") -> DataFrame:
     """The first cap pairs of a source and a non-static sink of another file whose kinds may meet, in the order of source (file,
-    line, ord), then sink.
+    line, tie), then sink; pair is a pair's number.
 
-    The order is source-major, so the first cap sources that have a partner suffice, and of the sinks the first cap of a file
-    and the first 2 * cap of these: what the source's own file takes away leaves enough.
+    No product is made: sinks in order are numbered by what files before theirs hold, and all sources of a file have the same
+    number of partners (the sinks of all other files), so a source's first pair follows from sums over files. Only the sources
+    that begin below cap give pairs; partner j of a source is sink j, or j and the own file's sinks more from these on: one join
+    on equal numbers with cap rows at most.
     """
-    pairs = [(s, k) for s, kinds in CROSS_FILE.items() for k in kinds]
-    source_kind = F.coalesce("kind", F.lit("HTTP_SUPERGLOBAL"))
-    sources = facts.where("label = 'Source'").withColumn("kind", source_kind).where(F.col("kind").isin(*CROSS_FILE))
-    sinks = facts.where("label = 'Sink' and not static").where(F.col("kind").isin(*{k for _, k in pairs}))
-    all_, own = sinks.groupBy("kind").count(), sinks.groupBy("file", "kind").count()
     out = None
     for kind, reach in CROSS_FILE.items():
-        mine = sinks.where(F.col("kind").isin(*reach))
-        total = all_.where(F.col("kind").isin(*reach)).agg(F.sum("count").alias("total"))
-        own_total = own.where(F.col("kind").isin(*reach)).groupBy("file").agg(F.sum("count").alias("own"))
-        s = sources.where(F.col("kind") == kind).join(own_total, "file", "left").join(F.broadcast(total)).where(F.col("total") > F.coalesce("own", F.lit(0)))
-        s = s.orderBy("file", "line", "ord").limit(cap).select(F.col("file").alias("source_file"), F.col("line").alias("source_line"), F.col("ord").alias("source_ord"), F.col("id").alias("src"), F.col("kind").alias("source_kind"))
-        w = Window.partitionBy("file").orderBy("line", "ord")
-        k = mine.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).orderBy("file", "line", "ord").limit(2 * cap)
-        k = k.select(F.col("file").alias("sink_file"), F.col("line").alias("sink_line"), F.col("ord").alias("sink_ord"), F.col("id").alias("dst"), F.col("kind").alias("sink_kind"), F.lit(kind).alias("source_kind"))
-        got = s.join(k, "source_kind").where("source_file <> sink_file")
+        is_source = (F.col("label") == "Source") & (F.coalesce("kind", F.lit("HTTP_SUPERGLOBAL")) == kind)
+        is_sink = (F.col("label") == "Sink") & F.col("kind").isin(*reach) & ~F.coalesce("static", F.lit(False))
+        files = facts.groupBy("file").agg(F.count_if(is_source).alias("sources"), F.count_if(is_sink).alias("sinks")).where("sources + sinks > 0")
+        all_ = files.agg(F.coalesce(F.sum("sinks"), F.lit(0)).alias("n")).scalar()
+        # a source with more than cap partners ends the list as one with cap does
+        files = files.withColumn("partners", F.least(all_ - F.col("sinks"), F.lit(cap)))
+        files = running_totals(files, "file", {"sinks_to": F.col("sinks"), "pairs_to": F.col("sources") * F.col("partners")})
+        files = files.select("file", "sinks", "partners", (F.col("sinks_to") - F.col("sinks")).alias("first_sink"), (F.col("pairs_to") - F.col("sources") * F.col("partners")).alias("first_pair"))
+        nth = F.row_number().over(Window.partitionBy("file").orderBy("line", tie)) - 1
+        s = facts.where(is_source).join(files.where((F.col("first_pair") < cap) & (F.col("partners") > 0)), "file")
+        s = s.withColumn("start", F.col("first_pair") + nth * F.col("partners")).where(F.col("start") < cap)
+        s = s.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.least("partners", cap - F.col("start")) - 1)))
+        number = F.when(F.col("j") < F.col("first_sink"), F.col("j")).otherwise(F.col("j") + F.col("sinks"))
+        s = s.select(F.col("file").alias("source_file"), F.col("line").alias("source_line"), F.col("ord").alias("source_ord"), F.col("id").alias("src"), F.lit(kind).alias("source_kind"), F.col("name").alias("source_name"), number.alias("number"), (F.col("start") + F.col("j")).alias("pair"))
+        k = facts.where(is_sink).join(files, "file").withColumn("number", F.col("first_sink") + nth)
+        k = k.select("number", F.col("file").alias("sink_file"), F.col("line").alias("sink_line"), F.col("ord").alias("sink_ord"), F.col("id").alias("dst"), F.col("kind").alias("sink_kind"))
+        got = k.join(F.broadcast(s) if cap <= BROADCAST_PAIRS else s, "number").drop("number")
         out = got if out is None else out.union(got)
-    return out.orderBy("source_file", "source_line", "source_ord", "sink_file", "sink_line", "sink_ord").limit(cap)
+    if len(CROSS_FILE) > 1:  # kinds of sources take turns in the order
+        order = F.row_number().over(Window.orderBy("source_file", "source_line", "src" if tie == "id" else "source_ord", "pair")) - 1
+        out = out.withColumn("pair", order.cast("long")).where(F.col("pair") < cap)
+    return out.orderBy("pair")
 
 
 def constraint_strength(unresolved: Column, unknown_branches: Column, phis: Column) -> Column:

@@ -15,6 +15,7 @@ LAYERS = {
     "L3_FEATURE_FLOW": ("CFGBlock", "SSAVariable", "PHINode", "Source", "Sanitizer", "HeuristicPattern"),
     "L4_SECURITY": ("Sink", "SecuritySignal", "VariantCluster"),
 }
+# Relationships of the flow layer; signals by sink kind as (prefix, signal); ways in; entities by span kind.
 FLOW_RELS = ("FLOWS_TO", "TAINTS", "CAN_REACH_SINK", "PROTECTS", "ANCHORED_AT")
 SIGNALS = {"OBJECT_INJECTION": ("objinj", "OBJECT_INJECTION_ENTRYPOINT"), "CODE_EXEC": ("dang", "REACHABLE_DANGEROUS_SINK_CANDIDATE"), "UPLOAD": ("upload", "UPLOAD_LIFECYCLE")}
 ENTRYPOINTS = ("wp-admin/admin-ajax.php", "xmlrpc.php", "wp-cron.php", "wp-login.php")
@@ -30,9 +31,23 @@ def layer(label: Column, rel: Column | None = None) -> Column:
 
 def with_layers(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = nodes.withColumn("layer", layer(F.col("label")))
-    ends = n.select("id", "layer")
+    return n, layered_edges(n, edges)
+
+
+def layered_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges with the layers of their ends (nodes have theirs), and their own: that of the end, else of the start, else by rel."""
+    ends = nodes.select("id", "layer")
     e = edges.join(ends.select(F.col("id").alias("src"), F.col("layer").alias("layer_src")), "src", "left").join(ends.select(F.col("id").alias("dst"), F.col("layer").alias("layer_dst")), "dst", "left")
-    return n, e.withColumn("layer", F.coalesce("layer_dst", "layer_src", layer(F.lit(""), F.col("rel"))))
+    return e.withColumn("layer", F.coalesce("layer_dst", "layer_src", layer(F.lit(""), F.col("rel"))))
+
+
+def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for a layered graph: ok, dangling (ends of edges that are no nodes: they have no layer) and misplaced (blocks and
+    variables outside the flow layer)."""
+    dangling_ends = edges.agg(F.coalesce(F.sum(F.col("layer_src").isNull().cast("long") + F.col("layer_dst").isNull().cast("long")), F.lit(0)).alias("dangling"))
+    misplaced = nodes.agg(F.count_if(F.col("label").isin("CFGBlock", "SSAVariable", "PHINode") & (F.col("layer") != "L3_FEATURE_FLOW")).alias("misplaced"))
+    # each one row
+    return dangling_ends.crossJoin(F.broadcast(misplaced)).select((F.col("dangling") + F.col("misplaced") == 0).alias("ok"), "dangling", "misplaced")
 
 
 def with_ids(edges: DataFrame, seq: str | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SCHEMA = "file string, id string, kind string, label string, start_byte int, end_byte int, start_line int, start_col int, end_line int, end_col int, parent string, ord int, diagnostic string"
+LANGUAGES = ("php", "javascript", "html")
 BUDGET = 250_000
 # What a span's order of importance is when the budget runs out: declarations, then calls, then the rest.
 TIERS = (("class_declaration", "function_definition", "method_declaration"), ("function_call_expression", "member_call_expression", "scoped_call_expression"))

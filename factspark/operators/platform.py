@@ -96,9 +96,9 @@ def adapted(names: list[str], texts: DataFrame, files: DataFrame, snapshot: str)
     return [shard for name in names if name in ADAPTERS for shard in ADAPTERS[name](texts, files, snapshot)]
 
 
-def heuristic_nodes(texts: DataFrame, snapshot: str) -> DataFrame:
-    """HeuristicPattern nodes of files that meet one of the built-in heuristics."""
-    h = facts.heuristics(texts)
+def heuristic_nodes(texts: DataFrame, snapshot: str, known: tuple[tuple[str, tuple[str, ...]], ...] | None = None) -> DataFrame:
+    """HeuristicPattern nodes of files that meet one of the heuristics, without others the built-in ones."""
+    h = facts.heuristics(texts, known) if known else facts.heuristics(texts)
     return h.select(F.concat_ws(":", F.lit("pattern"), F.lit(snapshot), "file", "pattern").alias("id"), F.lit("HeuristicPattern").alias("label"), F.col("pattern").alias("name"), F.lit(None).cast("string").alias("kind"), "file", "line")
 
 

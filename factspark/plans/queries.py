@@ -219,7 +219,7 @@ def _flow_query(key: str, rule_id: str) -> None:
 
 @query(
     "q22_prepare_anti",
-    sql(_finding_sql(rules.FLOW_RULES["RULE-SQLI-001"], "SELECT * FROM v_near n WHERE NOT EXISTS (SELECT 1 FROM v_facts p WHERE p.file = n.file AND p.label = 'Sanitizer' AND p.kind = 'SQL_PREPARE' AND p.line > n.source_line AND p.line <= n.sink_line)"), "v_near"),
+    sql(_finding_sql(rules.FLOW_RULES["RULE-SQLI-001"], "SELECT * FROM v_near n WHERE NOT EXISTS (SELECT 1 FROM v_facts p WHERE p.file = n.file AND p.label = 'Sanitizer' AND (p.context = 'SQL' OR p.kind = 'SQL_PREPARE') AND p.line > n.source_line AND p.line <= n.sink_line)"), "v_near"),
 )
 def _(v: Views) -> DataFrame:
     return rules.flow_findings(flows.nearest_sources(v.facts()), rules.FLOW_RULES["RULE-SQLI-001"]).select("finding_id", "severity", "file", "source_line", "sink_line", "n")

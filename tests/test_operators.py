@@ -201,9 +201,9 @@ def test_signals_layers_and_integrity(spark):
 
 
 def test_engine_gates_and_dedupes(spark):
-    one = lambda: spark.createDataFrame([("F1", "A"), ("F2", "A"), ("F1", "B")], "finding_id string, rule_id string")
+    one = lambda which: spark.createDataFrame([("F1", "A"), ("F2", "A"), ("F1", "B")], "finding_id string, rule_id string")
     pack = [rules.Rule("A", "LOW", "one"), rules.Rule("B", "HIGH", "one"), rules.Rule("C", "LOW", "one", enabled=False), rules.Rule("D", "LOW", "one", min_schema="4"), rules.Rule("E", "LOW", "one", adapter="wp"), rules.Rule("G", "LOW", "none")]
-    out, told = rules.evaluate(pack, {"one": one})
+    out, told = rules.evaluate(spark, pack, {"one": one})
     assert dict(told) == {"A": "OK", "B": "OK", "C": "RULE_DISABLED", "D": "RULE_SKIPPED_SCHEMA", "E": "RULE_SKIPPED_ADAPTER", "G": "NO_EVALUATOR"}
     assert {(r.finding_id, r.rule_id, r.severity) for r in out.collect()} == {("F1", "B", "HIGH"), ("F2", "A", "LOW")}
 
