@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -59,17 +60,20 @@ class WordEncoder:
         self.plain = not self.words and not (pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and kind["normalizer"] is None)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.letters = _byte_letters()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.first = _Known(lambda p: self._piece("", p), cache)
         self.rest = _Known(lambda p: self._piece(" ", p), cache)
         self.newline = b"" if self.words or self.plain else self.first["\n"]
 
+    def _ids(self, letters: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
+
     def _merge(self, part: str) -> bytes:
-        letters = part if part.isascii() and part.isalnum() else "".join(map(self.letters.__getitem__, part.encode()))
-        return np.array([t.id for t in self.tokenize(letters)], self.dtype).tobytes()
+        return self._ids(part if part.isascii() and part.isalnum() else "".join(map(self.letters.__getitem__, part.encode())))
 
     def _piece(self, blank: str, piece: str) -> bytes:
         if piece.isalpha():
-            return self._merge(blank + piece)
+            return self._ids(self.letters[32] + piece if blank else piece) if piece.isascii() else self._merge(blank + piece)
         if (word := piece[:-1]).isalpha() and piece[-1] in ".,:;!?":
             return (self.rest if blank else self.first)[word] + self.first[piece[-1]]
         return b"".join(map(self._merge, (WORD_SPLIT if self.words else BYTE_SPLIT).findall(blank + piece)))
