@@ -62,3 +62,12 @@ def test_the_query_row_by_row(spark, tmp_path):
     assert all(abs(b - mean) <= 0.03 * mean + 400 for k, b in enumerate(held) if abs(k - large) > 3), held
     # copies of a text lie in one run of shards: 210,000 of its bytes fill a few, all else is cut by no boundary
     assert all(max(w) - min(w) + 1 == len(w) for w in where.values()) and sum(len(w) > 1 for w in where.values()) <= 39
+
+
+def test_rows_alike_in_text_and_id_are_cut(spark):
+    hot = spark.range(0, 50_000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    docs = hot.union(spark.range(0, 50_000, 1, 4).select("id", F.concat(F.lit("text "), F.lpad("id", 8, "0"))))
+    got = shard(docs, 10).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)) + 16).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    total = sum(r.bytes for r in got)
+    assert len(got) == 10 and sum(r.n for r in got) == 100_000
+    assert all(abs(r.bytes - total / 10) <= 0.02 * total / 10 and r.n == r.slots == r.last + 1 for r in got)
