@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import slices, staged
 from .tokens import encoder
 
 LENGTH, GROUP = 4096, 1024
@@ -52,10 +53,11 @@ def first_fit_decreasing(sizes: np.ndarray, room: int = LENGTH) -> tuple[np.ndar
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Documents as ids (with the end id), cut every `length` ids: doc_id, start, length, doc_tokens, ids (little-endian u32)."""
+    """Documents as ids (with the end id), cut every `length` ids: doc_id, start, length, doc_tokens, ids (little-endian u32),
+    and task and nth, a piece's number among those of the task that cut it."""
 
     def run(batches):
-        e = encoder(path, CACHE)
+        e, task, nth = encoder(path, CACHE), TaskContext.get().partitionId(), 0
         end = np.array([end_id], e.dtype).tobytes()
         for b in slices(batches, 256):
             out = []
@@ -63,26 +65,27 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, te
                 ids = np.frombuffer(e.encode(t) + end, e.dtype).astype("<u4")
                 out += [(doc, at, min(length, len(ids) - at), len(ids), ids[at : at + length].tobytes()) for at in range(0, len(ids), length)]
             cols = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(cols)], ["doc_id", "start", "length", "doc_tokens", "ids"])
+            cols = [pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(cols)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([task] * len(out), pa.int32()), pa.array(range(nth, nth + len(out)), pa.int64())], ["doc_id", "start", "length", "doc_tokens", "ids", "task", "nth"])
+            nth += len(out)
 
-    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary, task int, nth long")
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, group: int = GROUP, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row per piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
     Documents are cut every `length` ids. A full piece is a sequence of its own; what is left of each document, one piece at
-    most, is packed within groups of about `group` pieces drawn by hash. Full pieces come in groups of that size too, as there
-    are no more of them than bytes / length, so a group's size doesn't depend on the data or on the length of its documents. Each id lies in exactly one piece, and
+    most, is packed within groups of about `group` pieces drawn by the hash of their number in the written table, so rows alike in
+    all their columns are spread like others. Full pieces come in groups of that size too, as there are no more of them than bytes / length. Each id lies in exactly one piece, and
     a sequence's offsets run from 0 without a gap. A null or empty text is its end id alone; repeated rows are documents of
     their own; documents without id share one null id; an empty table gives no rows.
     """
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     tails, fulls = max(1, -(-n // group)), max(1, -(-size // (length * group)))
-    rows = pieces(docs, path, end_id, length, text, id_col)
-    # the ids' checksum spreads repeated rows, as long as they differ in any id; what is still alike is dealt by chance of no matter
-    chance = F.xxhash64("doc_id", "start", F.crc32("ids"))
-    rows = rows.withColumn("grp", F.when(F.col("length") < length, F.pmod(chance, F.lit(tails))).otherwise(-1 - F.pmod(chance, F.lit(fulls))))
+    rows = staged(pieces(docs, path, end_id, length, text, id_col), "pieces")
+    chance = F.xxhash64("task", "nth")
+    rows = rows.withColumn("grp", F.when(F.col("length") < length, F.pmod(chance, F.lit(tails))).otherwise(-1 - F.pmod(chance, F.lit(fulls)))).drop("task", "nth")
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
     names = [x.split()[0] for x in schema.split(", ")]
 

@@ -120,3 +120,11 @@ def test_pieces_equal_the_librarys_ids_and_groups_stay_small(spark):
     # a long document's full pieces are spread over groups of their own
     full = [r.sequence_id >> 32 for r in rows if r.length == 64]
     assert len(set(full)) > 5 and max(full) < 0 and len(full) == len({r.sequence_id for r in rows if r.length == 64})
+
+
+def test_rows_alike_in_everything_are_spread_over_groups(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.range(0, 50_000, 1, 8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("two words").alias("text"))
+    rows = packing.pack(docs, path)
+    groups = [r["count"] for r in rows.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(groups) == 49 and max(groups) < 1.2 * packing.GROUP and sum(groups) == 50_000
