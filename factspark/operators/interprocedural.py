@@ -76,7 +76,7 @@ def graph_rows(p: Program, snapshot: str, most_functions: int = FUNCTIONS) -> tu
     nodes = shape(kept, "id", "ResolutionNode").unionByName(shape(p.blocks.dropDuplicates(["block"]), "block", "CFGBlock"))
     has = kept.select(F.concat_ws(":", F.lit("file"), F.lit(snapshot), "file").alias("src"), F.lit("HAS_SYMBOL_RESOLUTION").alias("rel"), F.col("id").alias("dst"))
     called = p.calls.select(res("caller").alias("src"), F.when(F.col("resolution") == "STATIC", "CALLS_RESOLVED").otherwise("CALLS_UNKNOWN").alias("rel"), res("callee").alias("dst"))
-    return nodes, has.union(structure.exported(called.union(p.branches), nodes).distinct())
+    return nodes, has.union(structure.exported(called.unionByName(p.branches), nodes).distinct())
 
 
 def edges_between_files(facts: DataFrame, p: Program, cap: int = 5_000) -> DataFrame:

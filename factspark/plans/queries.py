@@ -266,17 +266,15 @@ def _(v: Views) -> DataFrame:
     return graph.signals(v.facts())
 
 
-_PACK = [("R1", True, "2", None, "known"), ("R2", False, "2", None, "known"), ("R3", True, "4", None, "known"), ("R4", True, "3", "platform", "known"), ("R5", True, "3", "wp", "known"), ("R6", True, "10", None, "none"), ("R7", True, "3.1", None, "known")]
-
-
 @query(
     "q36_rule_engine_gating",
-    "SELECT id, CASE WHEN NOT enabled THEN 'RULE_DISABLED' WHEN NOT ('3.1' >= min_schema) THEN 'RULE_SKIPPED_SCHEMA' WHEN adapter IS NOT NULL AND adapter <> 'wp' THEN 'RULE_SKIPPED_ADAPTER' WHEN evaluator <> 'known' THEN 'NO_EVALUATOR' ELSE 'OK' END AS status FROM (VALUES "
-    + ", ".join(f"('{i}', {e}, '{m}', {repr(a) if a else 'CAST(NULL AS VARCHAR)'}, '{k}')" for i, e, m, a, k in _PACK)
-    + ") t(id, enabled, min_schema, adapter, evaluator)",
+    "SELECT id, CASE WHEN NOT enabled THEN 'RULE_DISABLED' WHEN NOT ('3.1' >= min_schema) THEN 'RULE_SKIPPED_SCHEMA' WHEN adapter IS NOT NULL AND adapter <> 'wp' THEN 'RULE_SKIPPED_ADAPTER' WHEN evaluator <> 'known' THEN 'NO_EVALUATOR' ELSE 'OK' END AS status FROM ("
+    "SELECT 'R' || p_partkey AS id, p_size % 9 <> 0 AS enabled, ['1', '3.0', '3.1', '3.2', '4'][p_size % 5 + 1] AS min_schema, CASE p_partkey % 4 WHEN 0 THEN 'wp' WHEN 1 THEN 'other' END AS adapter, CASE WHEN p_partkey % 7 = 0 THEN 'none' ELSE 'known' END AS evaluator FROM part)",
 )
 def _(v: Views) -> DataFrame:
-    pack = v.spark.createDataFrame(_PACK, "id string, enabled boolean, min_schema string, adapter string, evaluator string")
+    p, key, size = v.table("part"), F.col("p_partkey"), F.col("p_size")
+    schemas = F.element_at(F.array(*map(F.lit, ("1", "3.0", "3.1", "3.2", "4"))), (size % 5 + 1).cast("int"))
+    pack = p.select(F.concat(F.lit("R"), key.cast("string")).alias("id"), (size % 9 != 0).alias("enabled"), schemas.alias("min_schema"), F.when(key % 4 == 0, "wp").when(key % 4 == 1, "other").alias("adapter"), F.when(key % 7 == 0, "none").otherwise("known").alias("evaluator"))
     return rules.gate_status(pack, "3.1", ["wp"], ["known"]).select("id", "status")
 
 
@@ -430,12 +428,10 @@ def _(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", S.slug(F.col("p_name")).alias("slug"), S.report_name(F.col("p_name"), F.sha2("p_name", 256)).alias("report"), S.title(rule).alias("title"))
 
 
-_SIZES = [(16, 24), (16, 64), (4, 16), (1, 1), (8, 128), (64, 256)]
-
-
-@query("q58_worker_sizing", "SELECT cpus, ram_gb, workers, CAST(CASE WHEN workers <= 1 THEN 1 ELSE greatest(workers, least(workers * 2, ram_gb * 2, 32)) END AS INTEGER) AS in_flight FROM (SELECT cpus, ram_gb, CAST(greatest(1, least(greatest(1, cpus - 2), greatest(1, ram_gb // 2), 16)) AS INTEGER) AS workers FROM (VALUES " + ", ".join(map(str, _SIZES)) + ") t(cpus, ram_gb))")
+@query("q58_worker_sizing", "SELECT id, cpus, ram_gb, workers, CAST(CASE WHEN workers <= 1 THEN 1 ELSE greatest(workers, least(workers * 2, ram_gb * 2, 32)) END AS INTEGER) AS in_flight FROM (SELECT id, cpus, ram_gb, CAST(greatest(1, least(greatest(1, cpus - 2), greatest(1, ram_gb // 2), 16)) AS INTEGER) AS workers FROM (SELECT s_suppkey AS id, CAST(s_suppkey % 40 + 1 AS INTEGER) AS cpus, CAST(s_suppkey % 70 + 1 AS INTEGER) AS ram_gb FROM supplier))")
 def _(v: Views) -> DataFrame:
-    d = v.spark.createDataFrame(_SIZES, "cpus int, ram_gb int").withColumn("workers", S.workers(F.col("cpus"), F.col("ram_gb")))
+    d = v.table("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 40 + 1).cast("int").alias("cpus"), (F.col("s_suppkey") % 70 + 1).cast("int").alias("ram_gb"))
+    d = d.withColumn("workers", S.workers(F.col("cpus"), F.col("ram_gb")))
     return d.withColumn("in_flight", S.in_flight(F.col("workers"), F.col("ram_gb")))
 
 
@@ -602,3 +598,33 @@ def _(v: Views) -> DataFrame:
     from ..operators import platform, structure
 
     return platform.wordpress(structure.platform_texts(_code_spans(v)), "snap")[0].select("file", "label", "name", "kind", "line")
+
+
+# --- between files -------------------------------------------------------------------------------------------------------
+
+_CROSS = """SELECT src, dst, file, source_line, sink_line, sink_kind, prepared, CAST(greatest(0, 100 - (CASE WHEN u > 0 THEN 30 ELSE 0 END + u + m // 2)) AS DOUBLE) AS constraint_strength, CAST(u AS INTEGER) AS unresolved_calls FROM (
+  SELECT s.id AS src, k.id AS dst, s.file, s.line AS source_line, k.line AS sink_line, k.kind AS sink_kind,
+    EXISTS (SELECT 1 FROM v_facts p WHERE p.file = s.file AND p.label = 'Sanitizer' AND (p.context = 'SQL' OR p.kind = 'SQL_PREPARE') AND p.line > s.line AND p.line <= k.line) AS prepared
+  FROM (SELECT * FROM v_facts WHERE label = 'Source' AND kind = 'HTTP_SUPERGLOBAL') s JOIN (SELECT * FROM v_facts WHERE label = 'Sink' AND NOT static AND kind IN ('SQL', 'HTML', 'REDIRECT', 'HTTP_CLIENT', 'CODE_EXEC', 'OBJECT_INJECTION')) k ON s.file <> k.file
+  ORDER BY s.file, s.line, s.id, k.file, k.line, k.id LIMIT 400), (SELECT count(*) AS u FROM v_calls WHERE resolution = 'UNKNOWN'), (SELECT count(*) AS m FROM v_merges)"""
+
+
+@query("q79_flows_between_files", sql(_CROSS, "v_facts", "v_merges"))
+def _(v: Views) -> DataFrame:
+    from ..operators import interprocedural
+
+    return interprocedural.edges_between_files(v.facts(), interprocedural.program(*v.program()), 400).select("src", "dst", "file", "source_line", "sink_line", "sink_kind", "prepared", "constraint_strength", "unresolved_calls")
+
+
+@query("q80_program_branches", sql("SELECT src, dst, rel, count(*) AS n FROM v_branches GROUP BY ALL", "v_merges"))
+def _(v: Views) -> DataFrame:
+    from ..operators import interprocedural
+
+    return interprocedural.program(*v.program()).branches.groupBy("src", "dst", "rel").agg(F.count("*").alias("n"))
+
+
+@query("q81_program_merges", sql("SELECT * FROM v_merges", "v_merges"))
+def _(v: Views) -> DataFrame:
+    from ..operators import interprocedural
+
+    return interprocedural.program(*v.program()).merges.select("block", F.array_join("preds", ",").alias("preds"))

@@ -123,6 +123,19 @@ class Views:
             .union(part("supplier", "s_suppkey", "s", "MISSING_GUARD", "s_nationkey", "n", "s_acctbal < 1000"))
         )
 
+    def program(self) -> tuple[DataFrame, DataFrame]:
+        """Functions (suppliers; some share a name, a file and even a line) and their calls (customers; some of unknown callees)."""
+        text = lambda tag, c: F.concat(F.lit(tag), c.cast("string"))
+        s, c = self.table("supplier"), self.table("customer")
+        key, caller = F.col("c_custkey"), F.col("c_custkey") % 60 + 1
+        none = F.lit(None).cast("string")
+        symbol = text("Supplier", (caller % 7 + 7 * (F.floor(key / 60) % 9)) % 40)  # mostly of the caller's file
+        functions = s.select(text("fn", F.col("s_suppkey")).alias("id"), F.when(F.col("s_suppkey") % 4 == 0, "Method").otherwise("Function").alias("label"), text("Supplier", F.col("s_suppkey") % 40).alias("name"), none.alias("kind"), text("f", F.col("s_suppkey") % 7).alias("file"), (F.col("s_suppkey") % 25).cast("int").alias("line"))
+        sites = c.select(text("c", key), F.lit("Callsite"), F.lit("x"), none, text("f", caller % 7), (key % 30).cast("int"))
+        symbols = c.where(key % 5 != 0).select(F.concat(F.lit("sym:"), symbol), F.lit("Symbol"), symbol, none, none, F.lit(None).cast("int")).distinct()
+        edges = c.select(text("fn", caller).alias("src"), F.lit("CALLS").alias("rel"), text("c", key).alias("dst")).union(c.where(key % 5 != 0).select(text("c", key), F.lit("CALLS_TARGET"), F.concat(F.lit("sym:"), symbol)))
+        return functions.union(sites).union(symbols), edges
+
     def base_and_target(self) -> tuple[DataFrame, DataFrame]:
         d = self.table("documents").select(F.concat(F.lit("p/"), F.col("doc_id").cast("string")).alias("rel_path"), "doc_id", "text")
         base = d.where("doc_id % 10 <> 0").select("rel_path", F.sha2("text", 256).alias("sha256"))
@@ -161,9 +174,16 @@ CTES = {
       n.sink_kind = 'SQL' AND (a.context = 'SQL' OR a.kind = 'SQL_PREPARE') OR n.sink_kind = 'HTML' AND a.context IN ('HTML', 'GENERIC')
       OR n.sink_kind IN ('REDIRECT', 'FILE_INCLUDE', 'REMOTE_READ', 'UPLOAD', 'FILE_WRITE') AND (a.context IN ('URL', 'GENERIC') OR a.name IN ('esc_url', 'esc_url_raw', 'sanitize_file_name', 'sanitize_text_field')) OR n.sink_kind = 'HTTP_CLIENT' AND a.context IN ('URL', 'GENERIC'))""",
     "v_flows": "SELECT * FROM v_near WHERE dst NOT IN (SELECT dst FROM v_stop)",
+    "v_functions": "SELECT 'fn' || s_suppkey AS id, 'Supplier' || s_suppkey % 40 AS name, 'f' || s_suppkey % 7 AS file, s_suppkey % 25 AS line FROM supplier",
+    "v_calls": """SELECT fn.name AS caller, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE 'Supplier' || ((c_custkey % 60 + 1) % 7 + 7 * (c_custkey // 60 % 9)) % 40 END AS callee, 'f' || (c_custkey % 60 + 1) % 7 AS file, c_custkey % 30 AS line,
+      CASE WHEN c_custkey % 5 <> 0 AND 'Supplier' || ((c_custkey % 60 + 1) % 7 + 7 * (c_custkey // 60 % 9)) % 40 IN (SELECT name FROM v_functions) THEN 'STATIC' ELSE 'UNKNOWN' END AS resolution FROM customer JOIN v_functions fn ON fn.id = 'fn' || (c_custkey % 60 + 1)""",
+    "v_last": "SELECT file, name, 'bb:' || file || ':' || name || ':' || max(line) AS block FROM v_functions GROUP BY file, name",
+    "v_branches": """SELECT coalesce(a.block, 'bb:' || c.file || ':' || caller || ':0') AS src, coalesce(b.block, 'bb:' || c.file || ':' || callee || ':0') AS dst, CASE resolution WHEN 'STATIC' THEN 'NEXT' ELSE 'UNKNOWN_BRANCH' END AS rel
+      FROM v_calls c LEFT JOIN v_last a ON a.file = c.file AND a.name = caller LEFT JOIN v_last b ON b.file = c.file AND b.name = callee""",
+    "v_merges": "SELECT dst AS block, string_agg(DISTINCT src, ',' ORDER BY src) AS preds FROM v_branches WHERE dst IN (SELECT 'bb:' || file || ':' || name || ':' || line FROM v_functions) GROUP BY dst HAVING count(DISTINCT src) > 1",
 }
 #: What each view reads, so that a query carries only its own.
-NEEDS = {"v_spans": ("v_tags",), "v_near": ("v_facts",), "v_stop": ("v_facts", "v_near"), "v_flows": ("v_facts", "v_near", "v_stop")}
+NEEDS = {"v_spans": ("v_tags",), "v_near": ("v_facts",), "v_stop": ("v_facts", "v_near"), "v_flows": ("v_facts", "v_near", "v_stop"), "v_merges": ("v_functions", "v_calls", "v_last", "v_branches")}
 
 
 def sql(body: str, *views: str) -> str:
