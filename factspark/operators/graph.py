@@ -127,11 +127,3 @@ def phi_nodes(edges: DataFrame, *scope: str) -> DataFrame:
     """Blocks that more than one distinct block leads to, with these in order."""
     preds = F.array_sort(F.collect_set("src"))  # of distinct blocks
     return edges.groupBy(*scope, "dst").agg(preds.alias("preds")).where(F.size("preds") > 1)
-
-
-def enclosing(spans: DataFrame, inner: str, outer: str) -> DataFrame:
-    """For each inner span (file, id, start, end, kind) the smallest outer span of its file around it; of equal ones the first."""
-    i = spans.where(F.col("kind") == inner).select("file", F.col("id").alias("inner"), F.col("start").alias("s"), F.col("end").alias("e"))
-    o = spans.where(F.col("kind") == outer).select(F.col("file").alias("f"), F.col("id").alias("outer"), F.col("start").alias("os"), F.col("end").alias("oe"))
-    around = i.join(o, (F.col("file") == F.col("f")) & (F.col("os") <= F.col("s")) & (F.col("oe") >= F.col("e")) & (F.col("inner") != F.col("outer")))
-    return around.groupBy("file", "inner").agg(F.min_by("outer", F.struct(F.col("oe") - F.col("os"), "os", "outer")).alias("outer"))

@@ -26,11 +26,12 @@ STATEMENTS = {"return", "break", "continue", "throw", "global", "static", "names
 LEADS = {"else", "do", "try", "finally"}
 BEFORE_PARENTHESES = {"if", "elseif", "while", "for", "foreach", "switch", "catch", "declare"}
 _CODE = re.compile(
-    r"""(?P<skip>/\*.*?(?:\*/|\Z)|//[^\n]*?(?=\?>|\n|\Z)|\#(?!\[)[^\n]*?(?=\?>|\n|\Z)|<<<[ \t]*["']?(?P<doc>\w+)["']?\n.*?\n[ \t]*(?P=doc)\b|"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|`(?:\\.|[^`\\])*(?:`|\Z))
-    |(?P<island>\?>.*?(?:<\?php|<\?=|\Z))|(?P<var>\$\w+)|(?P<op>->|\?->|::|=>)|(?P<word>[A-Za-z_\\][\w\\]*)|(?P<open>[({\[])|(?P<close>[)}\]])|(?P<end>;)""",
+    r"""(?P<skip>/\*.*?(?:\*/|\Z)|//[^\n]*?(?=\?>|\n|\Z)|\#(?!\[)[^\n]*?(?=\?>|\n|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|`(?:\\.|[^`\\])*(?:`|\Z))
+    |(?P<here><<<[ \t]*["']?(?P<doc>\w+)["']?\n)|(?P<island>\?>.*?(?:<\?php|<\?=|\Z))|(?P<var>\$\w+)|(?P<op>->|\?->|::|=>)|(?P<word>[A-Za-z_\\][\w\\]*)|(?P<open>[({\[])|(?P<close>[)}\]])|(?P<end>;)""",
     re.S | re.X,
 )
 _OUTSIDE = re.compile(r"\$(_[A-Z]+|argv)\Z")  # variables that the outside fills; only these and their subscripts are spans
+_LINE_WORD = re.compile(r"\n[ \t]*(\w+)")  # what may end a heredoc
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>", re.S)
 
 
@@ -50,8 +51,20 @@ def _code_spans(text: str, php: bool) -> tuple[list[tuple[str, int, int]], str |
     named: tuple[int, int] | None = None  # the last variable of the outside, which a subscript may follow at once
     begun: tuple[int, int, str] | None = None  # the statement that is being read: where it began, under how many brackets, its first word
     outer: list[tuple[int, int, str] | None] = []  # by bracket, the statement around it
-    for m in _CODE.finditer(text, at):
-        kind, tok = m.lastgroup if m.lastgroup != "doc" else "skip", m[0]
+    ends_of: dict[str, list[tuple[int, int]]] | None = None  # where each word begins a line, for heredocs
+    while m := _CODE.search(text, at):
+        kind, tok, at = m.lastgroup, m[0], m.end()
+        if kind == "doc" or kind == "here":
+            if ends_of is None:
+                ends_of = {}
+                for w in _LINE_WORD.finditer(text):
+                    ends_of.setdefault(w[1], []).append(w.span())
+            ends = ends_of.get(m["doc"], [])
+            i = bisect.bisect_left(ends, (at,))
+            if i == len(ends):
+                at = m.start() + 3
+                continue
+            kind, at = "skip", ends[i][1]
         if kind in ("end", "island") and statement:
             spans.append((statement[0], statement[1], m.start() + (kind == "end")))
             statement = None
@@ -124,17 +137,18 @@ def _code_spans(text: str, php: bool) -> tuple[list[tuple[str, int, int]], str |
 
 def _tag_spans(text: str) -> tuple[list[tuple[str, int, int]], str | None]:
     spans, open_ = [], []
-    for m in _TAG.finditer(text):
+    at: dict[str, list[int]] = {}  # places in open_ by name
+    for m in _TAG.finditer(text, 0, text.rfind(">") + 1):
         if not m[2]:
             continue
+        name = m[2].lower()
         if not m[1]:
-            open_.append((m[2].lower(), m.start()))
-            continue
-        for i in range(len(open_) - 1, -1, -1):
-            if open_[i][0] == m[2].lower():
-                spans.append(("element", open_[i][1], m.end()))
-                del open_[i:]
-                break
+            at.setdefault(name, []).append(len(open_))
+            open_.append((name, m.start()))
+        elif places := at.get(name):
+            spans.append(("element", open_[places[-1]][1], m.end()))
+            for _ in range(len(open_) - places[-1]):
+                at[open_.pop()[0]].pop()
     return spans, None
 
 
@@ -151,13 +165,13 @@ def spans_of(text: str, language: str, file: str, budget: int = BUDGET) -> tuple
     found.sort(key=lambda x: (x[1], x[2], x[0]))
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     bytes_at = _byte_offsets(text)
-    out, around = [], []
+    out, around = [], []  # the spans around: end, id if a declaration, else that of the one around it
     for kind, s, e in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
         while around and around[-1][0] < e:
             around.pop()
         ident = f"ir:{file}:{bytes_at(s)}:{bytes_at(e)}:{kind}"
-        parent = next((i for _, k, i in reversed(around) if k in TIERS[0]), None)
-        around.append((e, kind, ident))
+        parent = around[-1][1] if around else None
+        around.append((e, ident if kind in TIERS[0] else parent))
         ls, le = bisect.bisect_right(starts, s), bisect.bisect_right(starts, e)
         out.append((ident, kind, text[s : min(e, s + 240)], bytes_at(s), bytes_at(e), ls, s - starts[ls - 1], le, e - starts[le - 1], parent))
     return sorted(out, key=lambda r: (r[3], r[4], r[1])), problem
@@ -196,18 +210,3 @@ def within_budget(spans: DataFrame, budget: int) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("file"))
     nth = F.row_number().over(Window.partitionBy("file").orderBy("line"))
     return spans.withColumns({"_n": n, "_nth": nth}).where(F.col("_nth") <= budget).withColumn("status", F.when(F.col("_n") > budget, "PARTIAL").otherwise("OK")).drop("_n", "_nth")
-
-
-def texts_of(spans: DataFrame) -> DataFrame:
-    """Spans as the texts that fact patterns look at."""
-    return spans.where("kind is not null").select("file", F.col("start_line").alias("line"), F.col("start_byte").alias("byte_off"), F.col("label").alias("text"))
-
-
-#: Small programs for tests.
-SAMPLES = [
-    ("db.php", "php", "<?php\n// reads one row\n$id = $_GET['id'];\n$rows = $db->query(\"SELECT * FROM t WHERE id = $id\");\nfunction show($r) {\n  echo htmlspecialchars($r['name']);\n  include 'foot.php';\n}\nshow($rows);\n?>\n<p>done</p>\n<?php class Box { public function get($k) { return Store::read($k, strlen('a(b')); } }\n"),
-    ("app.js", "javascript", "class A { run(x) { return load(x, () => x.then(y)); } }\nfunction go(a) { /* a( */ return fetch(a).then(r => r.json()); }\n"),
-    ("page.html", "html", "<html><body><ul><li>a</li><li>b</li></ul><p>x</p></body></html>"),
-    ("broken.php", "php", "<?php function f( { echo $x; "),
-    ("note.txt", "other", "f(x)"),
-]

@@ -111,7 +111,9 @@ def _(v: Views) -> DataFrame:
 
 @query("q11_enclosing_span", sql("""SELECT file, inner_id AS "inner", outer_id AS "outer" FROM (SELECT i.file, i.id AS inner_id, o.id AS outer_id FROM v_spans i JOIN v_spans o ON i.file = o.file AND i.kind = 'a' AND o.kind = 'li' AND o.start <= i.start AND o."end" >= i."end" QUALIFY row_number() OVER (PARTITION BY i.file, i.id ORDER BY o."end" - o.start, o.start, o.id) = 1)""", "v_spans"))
 def _(v: Views) -> DataFrame:
-    return graph.enclosing(v.spans(), "a", "li")
+    from ..operators import nesting
+
+    return nesting.enclosing(v.spans(), "a", "li")
 
 
 #: A catalog for prose, as the tables hold no code.
@@ -442,7 +444,21 @@ def _(v: Views) -> DataFrame:
     return counts_of_stream(v.spark, f"{v.dir}/events.parquet")
 
 
-@query("q60_code_lift")
+_TAG = r"(?s)<!--.*?(?:-->|\z)|</?[a-zA-Z][a-zA-Z0-9]*[^>]*>"
+#: Elements by a stack of open tags, one tag of every page a step: an end tag closes the last open one of its name and drops those after it.
+_ELEMENTS = f"""WITH RECURSIVE m AS (SELECT page_id, html, regexp_extract_all(html, '{_TAG}') AS t, string_split_regex(html, '{_TAG}') AS g FROM pages),
+  tags AS (SELECT page_id, t[i] AS tag, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(t[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM m)),
+  a AS (SELECT page_id, list({{'n': lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)), 'c': starts_with(tag, '</'), 's': s, 'e': s + length(tag)}} ORDER BY s) AS tags FROM tags WHERE NOT starts_with(tag, '<!--') GROUP BY page_id),
+  r AS (SELECT page_id, tags, 0 AS i, [] :: STRUCT(n VARCHAR, c BOOLEAN, s BIGINT, e BIGINT)[] AS stack, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM a
+    UNION ALL SELECT page_id, tags, i + 1, CASE WHEN NOT tag.c THEN list_append(stack, tag) WHEN hit IS NULL THEN stack ELSE stack[1:hit - 1] END, CASE WHEN tag.c AND hit IS NOT NULL THEN stack[hit].s END, CASE WHEN tag.c AND hit IS NOT NULL THEN tag.e END
+      FROM (SELECT *, list_max(list_filter(range(1, len(stack) + 1), lambda j: stack[j].n = tag.n)) AS hit FROM (SELECT *, tags[i + 1] AS tag FROM r WHERE i < len(tags)))),
+  x AS (SELECT r.page_id, html, substring(html, 1, s) AS before, substring(html, 1, e) AS upto, s, e FROM r JOIN pages USING (page_id) WHERE s IS NOT NULL),
+  y AS (SELECT CAST(page_id AS VARCHAR) AS file, substring(html, s + 1, least(e - s, 240)) AS label, CAST(strlen(before) AS INTEGER) AS start_byte, CAST(strlen(upto) AS INTEGER) AS end_byte, CAST(len(string_split(before, chr(10))) AS INTEGER) AS start_line, CAST(length(string_split(before, chr(10))[-1]) AS INTEGER) AS start_col,
+    CAST(len(string_split(upto, chr(10))) AS INTEGER) AS end_line, CAST(length(string_split(upto, chr(10))[-1]) AS INTEGER) AS end_col FROM x)
+SELECT *, 'ir:' || file || ':' || start_byte || ':' || end_byte || ':element' AS id, 'element' AS kind, CAST(NULL AS VARCHAR) AS parent, CAST(row_number() OVER (PARTITION BY file ORDER BY start_byte, end_byte) - 1 AS INTEGER) AS ord, CAST(NULL AS VARCHAR) AS diagnostic FROM y"""
+
+
+@query("q60_code_lift", _ELEMENTS)
 def _(v: Views) -> DataFrame:
     from ..operators.lift import lift
 

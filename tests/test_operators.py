@@ -11,12 +11,22 @@ from pyspark.sql import functions as F
 
 from factspark.functions import scalars as S
 from factspark.operators import enrich, facts, flows, graph, report, rules
-from factspark.operators.lift import SAMPLES, lift, spans_of, texts_of
+from factspark.operators.lift import lift, spans_of
 from factspark.sources import archives, files, packs, sinks
 
 FACTS = "file string, line int, ord long, id string, label string, kind string, context string, name string, static boolean"
 
 
+#: Small programs.
+SAMPLES = [
+    ("db.php", "php", "<?php\n// reads one row\n$id = $_GET['id'];\n$rows = $db->query(\"SELECT * FROM t WHERE id = $id\");\nfunction show($r) {\n  echo htmlspecialchars($r['name']);\n  include 'foot.php';\n}\nshow($rows);\n?>\n<p>done</p>\n<?php class Box { public function get($k) { return Store::read($k, strlen('a(b')); } }\n"),
+    ("app.js", "javascript", "class A { run(x) { return load(x, () => x.then(y)); } }\nfunction go(a) { /* a( */ return fetch(a).then(r => r.json()); }\n"),
+    ("page.html", "html", "<html><body><ul><li>a</li><li>b</li></ul><p>x</p></body></html>"),
+    ("broken.php", "php", "<?php function f( { echo $x; "),
+    ("note.txt", "other", "f(x)"),
+]
+
+
 def fact(file, line, ord_, label, kind="HTTP_SUPERGLOBAL", context="", name="$_GET", static=False):
     return (file, line, ord_, f"n{ord_}", label, kind, context, name, static)
 
@@ -113,7 +123,7 @@ def test_lexer_to_findings(spark):
     assert ("db.php", "method_declaration") in rows and ("db.php", "include_expression") in rows and ("app.js", "class_declaration") in rows
     assert any(r.file == "broken.php" and r.diagnostic == "SYNTAX_ERROR" for r in ir.collect())
     assert not any(r.file == "note.txt" for r in ir.collect())
-    found = facts.deduped(facts.pattern_facts(texts_of(ir), facts.merged(facts.GENERIC, facts.PLATFORM)))
+    found = facts.deduped(facts.pattern_facts(ir.where("kind is not null").select("file", F.col("start_line").alias("line"), F.col("start_byte").alias("byte_off"), F.col("label").alias("text")), facts.merged(facts.GENERIC, facts.PLATFORM)))
     assert {r.kind for r in found.where("label = 'Sink'").collect()} >= {"SQL", "HTML", "FILE_INCLUDE"}
     line = spark.createDataFrame([("a.php", 3, 0, "$id = $_GET['id'];"), ("a.php", 4, 0, "$db->query($id);")], "file string, line int, byte_off int, text string")
     f = facts.deduped(facts.pattern_facts(line, facts.GENERIC)).withColumns({"ord": F.col("line").cast("long"), "id": F.concat_ws(":", "label", F.col("line").cast("string")), "static": F.col("static_arg")})
