@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import enrich, facts, flows, graph, interprocedural, platform, report, rules, structure
 from ..operators.lift import BUDGET, LANGUAGES, lift
 from ..sources import files as sources
+from ..sources import walk
+from ..sources.staging import shared_folder, written
 
 CATALOGS = {"generic": facts.GENERIC, "platform": facts.PLATFORM}
 
@@ -173,3 +175,14 @@ def scan(files: DataFrame, snapshot: str, profile: str | None = "full", quotas:
 
 class NothingToScan(ValueError):
     """A tree has no file of a language that is lifted."""
+
+
+def scan_tree(spark: SparkSession, root: str, snapshot: str, profile: str | None = "auto", quotas: sources.Quotas = sources.Quotas(), options: Options = Options(), work: str | None = None, follow: bool = False) -> tuple[walk.Ingest, Scan]:
+    """From a folder to findings: the walk with its quotas, policies, hashes and diagnostics, then a scan of what it kept. Everything
+    is written below work (without it, in the shared folder). NothingToScan if no file can be lifted."""
+    work = work or shared_folder(spark, "scan")
+    got = walk.ingest(spark, root, quotas, follow, work)
+    files = written(got.files, f"{work}/files")
+    if not parseable(files).first()[0]:
+        raise NothingToScan(f"no parseable PHP, JS or HTML file in {root}")
+    return replace(got, files=files), scan(files, snapshot, profile, quotas, options, root, work)

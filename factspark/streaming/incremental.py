@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    """In the cluster's shared folder; on one machine without one, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='factspark-stream-')}"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+from ..sources.staging import shared_folder
 
 
 def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -39,7 +28,7 @@ def counts_of_stream(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     # a pattern, as path may be a single file
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
-    base = _folder(spark)
+    base = shared_folder(spark, "stream")
     run_once(windowed_counts(stream), f"{base}/checkpoint", f"{base}/out")
     rows = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
     return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
