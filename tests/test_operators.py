@@ -257,17 +257,6 @@ def test_archives_and_broken_ones(spark):
     assert {r.rel_path for r in rows if not r.error} == {"up/a.php", "d/b.js"} and [r.archive for r in rows if r.error] == ["y.zip"]
 
 
-def test_packs_include_first_wins_and_cycles(tmp_path):
-    pytest.importorskip("yaml")
-    (tmp_path / "a.yaml").write_text("includes: [b.yaml]\nrules:\n- {id: R1, severity: HIGH, evaluator: x}\n")
-    (tmp_path / "b.yaml").write_text("rules:\n- {id: R1, severity: LOW, evaluator: y}\n- {id: R0, severity: LOW, evaluator: y, owasp: [A01]}\n")
-    (tmp_path / "c.yaml").write_text("includes: [c.yaml]\n")
-    assert [(r.id, r.severity) for r in packs.load_pack(tmp_path / "a.yaml")] == [("R0", "LOW"), ("R1", "HIGH")]
-    with pytest.raises(ValueError):
-        packs.load_pack(tmp_path / "c.yaml")
-    assert packs.settings({"a": {"x": 1, "y": 2}}, {"a": {"x": 3}}, {"b": 1}) == {"a": {"x": 3, "y": 2}, "b": 1}
-
-
 def test_sinks(spark, tmp_path):
     nodes = spark.createDataFrame([("b", None), ("a", "x")], "id string, label string")
     sinks.write_json_lines(nodes, str(tmp_path / "n"), "id")
