@@ -29,6 +29,7 @@ TITLES = {
     "OBJINJ": "Object Injection",
     "WP": "WordPress Security",
 }
+# Severities in order, what is redacted, the shape of an id.
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 SECRET = r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*[^\s]+"
 FINDING_ID = r"^FINDING\|[^|]+\|[^|]+\|[^|]+\|[0-9a-f]{16}$"
@@ -137,6 +138,23 @@ def sha(text: Column, n: int = 64) -> Column:
     return F.substring(F.sha2(text, 256), 1, n)
 
 
+def canonical(json: Column) -> Column:
+    """JSON as Spark writes it, with all that isn't printable ASCII as \\uXXXX (pairs beyond the basic plane) and hexadecimal digits in lower
+    case, so that digests equal those of writers that keep to ASCII. Fields must be in order already."""
+    out = json
+    for c in "ABCDEF":  # of control characters only; an escaped backslash before a `u` is none
+        out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\u00([01])" + c, r"$1\\u00$2" + c.lower())
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(c: Column) -> Column:
+        n, above = F.ascii(c), F.ascii(c) - 0x10000
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(above, 10)), unit(F.lit(0xDC00) + above.bitwiseAND(0x3FF)))
+        return F.when(n < 127, c).when(n < 0x10000, unit(n)).otherwise(pair)
+
+    ascii_only = F.array_join(F.transform(F.split(out, ""), escaped), "")
+    return F.when(json.rlike(r"[^\x00-\x7E]"), ascii_only).when(json.contains("\\u00"), out).otherwise(json)
+
+
 def edge_id(src: Column, rel: Column, dst: Column, props_json: Column | None = None) -> Column:
     return F.concat(F.lit("e:"), sha(F.concat(src, F.lit("\0"), rel, F.lit("\0"), dst, F.lit("\0"), F.lit("{}") if props_json is None else props_json), 16))
 

@@ -64,19 +64,24 @@ def with_skeptic(findings: DataFrame) -> DataFrame:
 
 
 def with_verification(findings: DataFrame) -> DataFrame:
-    """checks (id, passed: null is open) and status: REFUTED if one failed, else INCONCLUSIVE if one is open, else CONFIRMED."""
+    """checks (id, passed: null is open, detail as JSON), status: REFUTED if one failed, else INCONCLUSIVE if one is open, else
+    CONFIRMED; and artifact_sha256 over the checks' canonical JSON."""
     ajax = F.coalesce(F.col("ajax_nopriv"), F.lit(False)) if "ajax_nopriv" in findings.columns else F.lit(False)
-    check = lambda name, passed: F.struct(F.lit(name).alias("check_id"), passed.alias("passed"))
+    count = lambda name, n: F.concat(F.lit(f'{{"{name}": '), n.cast("string"), F.lit("}"))
+    check = lambda name, passed, detail=F.lit("{}"): F.struct(F.lit(name).alias("check_id"), passed.alias("passed"), detail.alias("detail"))
+    anchors = F.when(F.col("source_line").isNull(), 1).otherwise(2)
     checks = [
-        check("HAS_WITNESS_PATH", (F.size(_w("path_edges")) > 0) | (F.col("rule_id") == AJAX)),
-        check("ANCHOR_LINE_POSITIVE", (F.coalesce("source_line", "sink_line") > 0) & (F.col("sink_line") > 0)),
-        check("SEMANTIC_TRACE_PRESENT_OR_COARSE", (F.size(_w("semantic_trace")) > 0) | F.contains("title_key", F.lit("coarse")) | F.contains("title_key", F.lit("graph"))),
-        check("ANALYSIS_LIMITS_EXPLICIT_IF_PRESENT", F.forall(_w("analysis_limits"), lambda x: x != "")),
+        check("HAS_WITNESS_PATH", (F.size(_w("path_edges")) > 0) | (F.col("rule_id") == AJAX), count("edges", F.size(_w("path_edges")))),
+        check("ANCHOR_LINE_POSITIVE", (F.coalesce("source_line", "sink_line") > 0) & (F.col("sink_line") > 0), count("anchors", anchors)),
+        check("SEMANTIC_TRACE_PRESENT_OR_COARSE", (F.size(_w("semantic_trace")) > 0) | F.contains("title_key", F.lit("coarse")) | F.contains("title_key", F.lit("graph")), count("semantic_trace_len", F.size(_w("semantic_trace")))),
+        check("ANALYSIS_LIMITS_EXPLICIT_IF_PRESENT", F.forall(_w("analysis_limits"), lambda x: x != ""), count("analysis_limits", F.size(_w("analysis_limits")))),
         F.when(F.col("rule_id") == AJAX, check("AJAX_NOPRIV_FLAG", ajax)),
-        F.when(_summary(findings, "approximate_flow", "boolean"), check("APPROX_FLOW_ACKNOWLEDGED", F.lit(None).cast("boolean"))),
+        F.when(_summary(findings, "approximate_flow", "boolean"), check("APPROX_FLOW_ACKNOWLEDGED", F.lit(None).cast("boolean"), F.lit('{"approximate": true}'))),
     ]
     rows = findings.withColumn("checks", F.filter(F.array(*checks), lambda x: x.isNotNull()))
     failed, open_ = F.exists("checks", lambda x: F.coalesce(~x["passed"], F.lit(False))), F.exists("checks", lambda x: x["passed"].isNull())
+    line = lambda x: F.concat(F.lit('{"check_id": "'), x["check_id"], F.lit('", "details": '), x["detail"], F.lit(', "passed": '), F.coalesce(x["passed"].cast("string"), F.lit("null")), F.lit("}"))
+    rows = rows.withColumn("artifact_sha256", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("checks", line), ", "), F.lit("]")), 256))
     return rows.withColumn("verification", F.when(failed, "REFUTED").when(open_, "INCONCLUSIVE").otherwise("CONFIRMED"))
 
 

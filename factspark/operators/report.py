@@ -149,6 +149,58 @@ def reconciled(scans: DataFrame, now: Column, stale_hours: int = 2, running: tup
     return scans.withColumn("state", F.when(late, "FAILED").otherwise(F.col("status")))
 
 
+#: States of a scan that still goes on, all states that memory may tell, and what is said of them.
+GOING, STATES = ("QUEUED", "RUNNING"), ("QUEUED", "RUNNING", "COMPLETED", "FAILED")
+TIMED_OUT, TIMED_OUT_STEP = "Scan timed out — delete and try again", "Timed out"
+QUEUED_STEP, STARTING_STEP, ANALYZING_STEP = ("Queued — position ", " (waiting for current scan to finish)"), "Starting scan worker…", "Analyzing plugin…"
+
+
+def job_states(recorded: DataFrame, memory: DataFrame, log: DataFrame, artifacts: DataFrame, queue: DataFrame, now: Column, stale_hours: int = 2) -> DataFrame:
+    """A row per scan that is recorded or in memory: scan_id, slug, status, stage, progress, progress_pct, findings, error, output_dir.
+
+    recorded (scan_id, slug, status, started_at, findings, error, output_dir) is what the database holds; memory (scan_id, slug,
+    status, progress, findings, error, output_dir) what workers say; log (scan_id, at, status, stage, detail, progress_pct,
+    error) what scans wrote about themselves, of which the last row counts; artifacts (scan_id, output_dir, findings: of the report, null without
+    one) what lies in output folders; queue (scan_id, position) who waits. Memory overrules a record that still goes on, the
+    log overrules both where there is a folder, a report ends a scan that goes on, and one that has gone on for stale_hours
+    has failed. Each input is reduced to a row per scan, so all are joined on equal keys.
+    """
+    text = lambda c: F.when(F.col(c) != "", F.col(c))  # noqa: E731  empty texts say nothing
+    last = log.groupBy("scan_id").agg(F.max_by(F.struct("status", "stage", "detail", "progress_pct", "error"), "at").alias("l"))
+    side = lambda df, tag: df.select("scan_id", F.struct(*[c for c in df.columns if c != "scan_id"], F.lit(True).alias("there")).alias(tag))
+    rows = side(recorded, "r").join(side(memory, "m"), "scan_id", "full_outer").join(side(artifacts, "a"), "scan_id", "left").join(last, "scan_id", "left").join(queue.select("scan_id", "position"), "scan_id", "left")
+    there, folder = F.col("r.there").isNotNull(), F.col("a.there").isNotNull()
+    going = lambda c: F.coalesce(F.col(c).isin(*GOING), F.lit(False))
+    # the record, or without one the memory; then what memory adds
+    rows = rows.withColumns({
+        "status": F.when(there, F.col("r.status")).otherwise(F.coalesce("m.status", F.lit("UNKNOWN"))),
+        "slug": F.coalesce(text("r.slug"), text("m.slug"), F.lit("")),
+        "findings": F.greatest(F.coalesce("r.findings", F.lit(0)), F.coalesce("m.findings", F.lit(0))),
+        "error": F.when(there, F.col("r.error")).otherwise(F.col("m.error")),
+        "output_dir": F.coalesce(text("m.output_dir"), F.col("r.output_dir")),
+        "progress": text("m.progress"),
+    })
+    rows = rows.withColumn("status", F.when(going("status") & F.col("m.status").isin(*STATES), F.col("m.status")).otherwise(F.col("status")))
+    # the log and the report, where there is a folder
+    said = lambda c, *more: F.coalesce(*(F.when(folder, text(f"l.{x}")) for x in (c, *more)))
+    rows = rows.withColumns({
+        "status": F.coalesce(said("status"), "status"), "progress": F.coalesce(said("detail", "stage"), "progress"), "stage": said("stage"),
+        "progress_pct": F.when(folder, F.expr("try_cast(l.progress_pct AS double)")), "error": F.coalesce(said("error"), "error"),
+        "output_dir": F.coalesce("a.output_dir", "output_dir"), "findings": F.greatest("findings", F.coalesce("a.findings", F.lit(0))),
+    })
+    rows = rows.withColumn("status", F.when(going("status") & F.col("a.findings").isNotNull(), "COMPLETED").otherwise(F.col("status")))
+    late = going("status") & F.coalesce(F.col("r.started_at") < now - F.make_interval(hours=F.lit(stale_hours)), F.lit(False))
+    rows = rows.withColumns({"error": F.when(late, F.coalesce(text("error"), F.lit(TIMED_OUT))).otherwise(F.col("error")), "progress": F.when(late, TIMED_OUT_STEP).otherwise(F.col("progress")), "status": F.when(late, "FAILED").otherwise(F.col("status"))})
+    # who waits, and what is said of those that go on
+    going_on, waits, starts = going("status"), F.col("position") > 0, (F.col("position") == 0) & F.col("progress").isNull()
+    waits, starts = F.coalesce(waits, F.lit(False)), F.coalesce(starts, F.lit(False))
+    progress = F.when(waits, F.concat(F.lit(QUEUED_STEP[0]), F.col("position").cast("string"), F.lit(QUEUED_STEP[1]))).when(starts, STARTING_STEP).otherwise(F.coalesce("progress", F.lit(ANALYZING_STEP)))
+    stage = F.when(waits, "queued").when(starts, F.coalesce("stage", F.lit("starting"))).otherwise(F.col("stage"))
+    pct = F.coalesce("progress_pct", F.when(starts, 1.0).otherwise(0.0))
+    pick = lambda new, old: F.when(going_on, new).otherwise(F.col(old))
+    return rows.select("scan_id", "slug", pick(F.when(waits, "QUEUED").otherwise(F.col("status")), "status").alias("status"), pick(stage, "stage").alias("stage"), pick(progress, "progress").alias("progress"), pick(pct, "progress_pct").alias("progress_pct"), "findings", "error", "output_dir")
+
+
 def markdown(groups: DataFrame) -> DataFrame:
     """section: a summary group as a heading and a list, secrets taken out."""
     text = F.concat(F.lit("## "), "rule_id", F.lit(" — `"), "file", F.lit("` L"), F.col("sink_line").cast("string"), F.lit("\n- instances: **"), F.col("n").cast("string"), F.lit("**\n- severity: **"), "severity", F.lit("**\n- confidence: max **"), F.format_number("max_conf", 3), F.lit("**, min **"), F.format_number("min_conf", 3), F.lit("**\n"))

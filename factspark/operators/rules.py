@@ -118,7 +118,7 @@ def all_flow_findings(edges: DataFrame, chosen: list[FlowRule]) -> DataFrame:
     parts += [each] if any(not r.one_per_sink for r in chosen) else []
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = with_witness(rows, F.col("rule.labels"))
-    ident = S.finding_id(F.col("rule_id"), F.when(F.col("rule.one_per_sink"), F.col("dst")).otherwise(F.col("src")), F.col("dst"), S.sha(F.to_json("witness"), 16))
+    ident = S.finding_id(F.col("rule_id"), F.when(F.col("rule.one_per_sink"), F.col("dst")).otherwise(F.col("src")), F.col("dst"), S.sha(S.canonical(F.to_json("witness")), 16))
     return rows.select(ident.alias("finding_id"), "rule_id", F.col("rule.severity").alias("severity"), F.col("rule.title").alias("title_key"), "file", "source_line", "sink_line", "src", "dst", "n", "witness")
 
 
@@ -155,7 +155,7 @@ def node_findings(nodes: DataFrame, rule: NodeRule) -> DataFrame:
     fields = lambda kind: (F.array().cast("array<string>").alias("analysis_limits"), summary(kind).alias("constraint_summary"), F.array("id").alias("path_edges"), F.array(F.concat(F.lit(f"graph:{rule.trace}:"), "id")).alias("semantic_trace"), hops.alias("summary_hops"), F.array(*map(F.lit, rule.labels)).alias("taint_labels"))
     # a node's strength is a whole number in the JSON that is hashed, a flow's is not
     rows = nodes.withColumn("witness", F.struct(*fields("double")))
-    ident = S.finding_id(F.lit(rule.id), F.col("id"), F.col("id"), S.sha(F.to_json(F.struct(*fields("int"))), 16))
+    ident = S.finding_id(F.lit(rule.id), F.col("id"), F.col("id"), S.sha(S.canonical(F.to_json(F.struct(*fields("int")))), 16))
     return rows.select(ident.alias("finding_id"), F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), F.lit(rule.title).alias("title_key"), "file", F.lit(None).cast("int").alias("source_line"), F.coalesce("line", F.lit(1)).alias("sink_line"), F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1).cast("long").alias("n"), "witness")
 
 
@@ -163,7 +163,7 @@ def idor_findings(edges: DataFrame, facts: DataFrame, kinds: tuple[str, ...] = I
     """One finding per (file, sink line, kind) of a flow to a sink of one of the kinds where no capability is checked."""
     rows = without_capability(edges.where(F.col("sink_kind").isin(*kinds) & (F.col("source_line") != F.col("sink_line"))), facts)
     rows = with_witness(one_per_sink(rows, keys=("file", "sink_line", "sink_kind")), F.array(*map(F.lit, IDOR.labels)), (IDOR_LIMIT,))
-    ident = S.finding_id(F.lit(IDOR.id), F.col("dst"), F.col("dst"), S.sha(F.to_json("witness"), 16))
+    ident = S.finding_id(F.lit(IDOR.id), F.col("dst"), F.col("dst"), S.sha(S.canonical(F.to_json("witness")), 16))
     return rows.select(ident.alias("finding_id"), F.lit(IDOR.id).alias("rule_id"), F.lit(IDOR.severity).alias("severity"), F.lit(IDOR.title).alias("title_key"), "file", "source_line", "sink_line", "src", "dst", "n", "witness")
 
 

@@ -644,3 +644,53 @@ def _(v: Views) -> DataFrame:
     from ..operators import interprocedural
 
     return interprocedural.program(*v.program()).merges.select("block", F.array_join("preds", ",").alias("preds"))
+
+
+# --- findings of every kind, states of jobs, canonical JSON ----------------------------------------------------------------
+
+
+def _check(name: str, what: str, n: str, passed: str) -> str:
+    return f"""'{{"check_id": "{name}", "details": {{"{what}": ' || ({n}) || '}}, "passed": ' || ({passed}) || '}}'"""
+
+
+#: Limits, trace and checks from the columns that the witnesses were built from.
+_CASES = f"""SELECT finding_id, CASE WHEN reason = 'INTERPROCEDURAL_UNRESOLVED' THEN 'BLOCK_PROMOTION' WHEN reason IN ('SAME_FILE_ORDERING_APPROX', 'INTERPROCEDURAL_HEURISTIC', 'LEGACY_COARSE_TEMPLATE') THEN 'DOWNGRADE' ELSE 'ALLOW_PROMOTION' END AS verdict, reason, verification, artifact_sha256,
+    round(score, 6)::DOUBLE AS score, CASE WHEN score >= 0.85 THEN 'VERY_HIGH' WHEN score >= 0.65 THEN 'HIGH' WHEN score >= 0.45 THEN 'MEDIUM' WHEN score >= 0.25 THEN 'LOW' ELSE 'VERY_LOW' END AS bucket FROM (
+  SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.45::DOUBLE - 0.002::DOUBLE * hops + 0.01::DOUBLE * t + 0.25::DOUBLE * CASE WHEN strength > 1 THEN strength / 100 ELSE strength END + 0.15::DOUBLE * prepared::INT - 0.1::DOUBLE * (open > 0)::INT - 0.15::DOUBLE * (l > 0)::INT + 0.08::DOUBLE * (trace IN (1, 2))::INT
+    - 0.05::DOUBLE * (trace = 2 OR rule_id = 'RULE-WP-REST-001')::INT - 0.4::DOUBLE * (reason = 'INTERPROCEDURAL_UNRESOLVED')::INT - 0.5::DOUBLE * (verification = 'REFUTED')::INT + 0.05::DOUBLE - 0.25::DOUBLE * approx::INT - 0.15::DOUBLE * (trace = 3)::INT)) AS score FROM (
+  SELECT *, CASE WHEN NOT (c1 AND c2 AND c3 AND c4 AND c5) THEN 'REFUTED' WHEN approx THEN 'INCONCLUSIVE' ELSE 'CONFIRMED' END AS verification,
+    CASE WHEN approx THEN 'SAME_FILE_ORDERING_APPROX' WHEN limits = 2 THEN 'INTERPROCEDURAL_HEURISTIC' WHEN flow AND limits = 3 AND open > 0 THEN 'INTERPROCEDURAL_UNRESOLVED' WHEN flow AND title_key = 'a.graph_flow' THEN 'GRAPH_DERIVED_FLOW' WHEN flow THEN 'LEGACY_COARSE_TEMPLATE' ELSE '' END AS reason,
+    sha256('[' || {_check("HAS_WITNESS_PATH", "edges", "edges", "c1")} || ', ' || {_check("ANCHOR_LINE_POSITIVE", "anchors", "CASE WHEN source_line IS NULL THEN 1 ELSE 2 END", "c2")} || ', ' || {_check("SEMANTIC_TRACE_PRESENT_OR_COARSE", "semantic_trace_len", "t", "c3")} || ', ' || {_check("ANALYSIS_LIMITS_EXPLICIT_IF_PRESENT", "analysis_limits", "l", "c4")}
+      || CASE WHEN rule_id = 'RULE-WP-AJAX-001' THEN ', {{"check_id": "AJAX_NOPRIV_FLAG", "details": {{}}, "passed": ' || c5 || '}}' ELSE '' END || CASE WHEN approx THEN ', {{"check_id": "APPROX_FLOW_ACKNOWLEDGED", "details": {{"approximate": true}}, "passed": null}}' ELSE '' END || ']') AS artifact_sha256 FROM (
+  SELECT *, [0, 1, 1, 2, 1][limits + 1] AS l, [0, 1, 2, 2][trace + 1] AS t, rule_id IN ('RULE-SQLI-001', 'RULE-XSS-001') AS flow, edges > 0 OR rule_id = 'RULE-WP-AJAX-001' AS c1, coalesce(source_line, sink_line) > 0 AND sink_line > 0 AS c2, trace > 0 OR title_key <> 'a.pattern' AS c3, limits <> 4 AS c4, rule_id <> 'RULE-WP-AJAX-001' OR ajax AS c5 FROM v_candidates)))"""
+
+
+@query("q82_enrichment_cases", sql(_CASES, "v_candidates"))
+def _(v: Views) -> DataFrame:
+    rows = enrich.enriched(v.candidates(), "generic-php")
+    return rows.select("finding_id", "skeptic.verdict", "skeptic.reason", "verification", "artifact_sha256", F.round("score", 6).alias("score"), "bucket")
+
+
+_JOBS = """, d AS (SELECT scan_id, a.scan_id IS NOT NULL AS folder, CASE WHEN r.scan_id IS NOT NULL THEN r.status ELSE coalesce(m.status, 'UNKNOWN') END AS s0, m.status AS ms, coalesce(nullif(r.slug, ''), nullif(m.slug, ''), '') AS slug, greatest(coalesce(r.findings, 0), coalesce(m.findings, 0), coalesce(a.findings, 0)) AS findings,
+    CASE WHEN r.scan_id IS NOT NULL THEN r.error ELSE m.error END AS e0, coalesce(a.output_dir, nullif(m.output_dir, ''), r.output_dir) AS output_dir, m.progress AS p0, r.started_at, a.findings IS NOT NULL AS report, q.position, l.status AS ls, l.stage AS lstage, l.detail, l.pct, l.error AS le
+  FROM v_recorded r FULL JOIN v_memory m USING (scan_id) LEFT JOIN v_artifacts a USING (scan_id) LEFT JOIN v_log l USING (scan_id) LEFT JOIN v_queue q USING (scan_id)),
+d1 AS (SELECT *, CASE WHEN s0 IN ('QUEUED', 'RUNNING') AND ms IN ('QUEUED', 'RUNNING', 'COMPLETED', 'FAILED') THEN ms ELSE s0 END AS s1 FROM d),
+d2 AS (SELECT *, CASE WHEN folder AND ls <> '' THEN ls ELSE s1 END AS s2, CASE WHEN folder THEN coalesce(nullif(detail, ''), lstage, p0) ELSE p0 END AS p2, CASE WHEN folder THEN lstage END AS g2, CASE WHEN folder THEN pct END AS c2, CASE WHEN folder THEN coalesce(le, e0) ELSE e0 END AS e2 FROM d1),
+d3 AS (SELECT *, CASE WHEN s2 IN ('QUEUED', 'RUNNING') AND report THEN 'COMPLETED' ELSE s2 END AS s3 FROM d2),
+d4 AS (SELECT *, s3 IN ('QUEUED', 'RUNNING') AND coalesce(started_at < TIMESTAMP '1996-06-01 00:00:00' - INTERVAL 2 HOUR, FALSE) AS late FROM d3),
+d5 AS (SELECT *, CASE WHEN late THEN 'FAILED' ELSE s3 END AS s5, CASE WHEN late THEN 'Timed out' ELSE p2 END AS p5, CASE WHEN late THEN coalesce(nullif(e2, ''), 'Scan timed out — delete and try again') ELSE e2 END AS err FROM d4)
+SELECT scan_id, slug, findings, err AS error, output_dir, CASE WHEN s5 IN ('QUEUED', 'RUNNING') AND position > 0 THEN 'QUEUED' ELSE s5 END AS status,
+  CASE WHEN s5 NOT IN ('QUEUED', 'RUNNING') THEN g2 WHEN position > 0 THEN 'queued' WHEN position = 0 AND p5 IS NULL THEN coalesce(g2, 'starting') ELSE g2 END AS stage,
+  CASE WHEN s5 NOT IN ('QUEUED', 'RUNNING') THEN p5 WHEN position > 0 THEN 'Queued — position ' || position || ' (waiting for current scan to finish)' WHEN position = 0 AND p5 IS NULL THEN 'Starting scan worker…' ELSE coalesce(p5, 'Analyzing plugin…') END AS progress,
+  CASE WHEN s5 NOT IN ('QUEUED', 'RUNNING') THEN c2 WHEN position = 0 AND p5 IS NULL THEN coalesce(c2, 1.0) ELSE coalesce(c2, 0.0) END AS progress_pct FROM d5"""
+
+
+@query("q83_job_states", sql("", "v_recorded", "v_memory", "v_log", "v_artifacts", "v_queue").rstrip() + _JOBS)
+def _(v: Views) -> DataFrame:
+    return report.job_states(**v.jobs(), now=F.lit("1996-06-01 00:00:00").cast("timestamp"))
+
+
+@query("q84_canonical_json", r"""SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"text":"' || list_aggregate(list_transform(string_split(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t'), ''), lambda c: CASE WHEN unicode(c) > 127 THEN '\u' || lpad(printf('%x', unicode(c)), 4, '0') ELSE c END), 'string_agg', '') || '"}') AS sha256 FROM documents WHERE text IS NOT NULL""")
+def _(v: Views) -> DataFrame:
+    d = v.table("documents").where("text is not null")
+    return d.select("doc_id", S.sha(S.canonical(F.to_json(F.struct("doc_id", "text")))).alias("sha256"))

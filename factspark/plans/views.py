@@ -110,6 +110,52 @@ class Views:
             (F.col("l_tax") > 0.07).alias("blocked"),
         )
 
+    def candidates(self) -> DataFrame:
+        """Findings whose witnesses are built from the columns, so that all cases of skeptic, checks and score occur."""
+        f = self.table("lineitem")
+        pk, sk, ln, q = (F.col(c).cast("long") for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity"))
+        some = lambda by, *lists: F.element_at(F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in lists)), (by + 1).cast("int"))
+        limits = some(sk % 5, (), ("exposure_not_gated",), ("interprocedural_heuristic",), ("coarse_taint_approximation", "x"), ("",))
+        trace = some(pk % 4, (), ("graph:x",), ("graph:x", "MISSING_GUARD:y"), ("x", "lift_derived_flow"))
+        hop = F.struct(F.lit("FLOWS_TO").alias("edge_kind"), F.lit("a").alias("from_id"), F.lit("b").alias("to_id"))
+        summary = F.struct(
+            F.when(pk % 3 == 0, True).alias("approximate_flow"),
+            F.when(ln % 2 == 0, q * 2.0).when(ln % 3 == 0, q / 100).alias("constraint_strength"),
+            F.lit(None).cast("long").alias("source_count"),
+            F.when(sk % 7 == 0, True).alias("sql_prepare_on_path"),
+            F.when(sk % 2 == 0, ln % 3).cast("int").alias("unresolved_calls"),
+        )
+        witness = F.struct(limits.alias("analysis_limits"), summary.alias("constraint_summary"), F.array_repeat(F.lit("e"), (ln % 3).cast("int")).alias("path_edges"), trace.alias("semantic_trace"), F.array_repeat(hop, (sk % 3).cast("int")).alias("summary_hops"), F.array().cast("array<string>").alias("taint_labels"))
+        return f.select(
+            F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("finding_id"),
+            F.concat(F.lit("RULE-"), self._pick(RULES, pk % 14), F.lit("-001")).alias("rule_id"),
+            self._pick(("a.graph_flow", "a.coarse", "a.pattern"), sk % 3).alias("title_key"),
+            F.when(ln % 4 != 0, q.cast("int")).alias("source_line"),
+            (ln - F.when(sk % 11 == 0, 1).otherwise(0)).cast("int").alias("sink_line"),
+            (sk % 2 == 0).alias("ajax_nopriv"),
+            witness.alias("witness"),
+        )
+
+    def jobs(self) -> dict[str, DataFrame]:
+        """What database, memory, logs, output folders and queue say of scans."""
+        o, items = self.table("orders"), self.table("lineitem")
+        key, cust, part, supp = (F.col(c) for c in ("o_orderkey", "o_custkey", "l_partkey", "l_suppkey"))
+        text = lambda tag, c: F.concat(F.lit(tag), c.cast("string"))
+        recorded = o.where(key % 5 != 0).select(
+            key.alias("scan_id"), F.when(cust % 4 == 0, "").otherwise(text("slug", cust)).alias("slug"), F.when(key % 3 == 0, "COMPLETED").when(key % 3 == 1, "RUNNING").otherwise("QUEUED").alias("status"), F.when(cust % 9 != 0, F.col("o_orderdate").cast("timestamp")).alias("started_at"),
+            (cust % 10).alias("findings"), F.when(key % 8 == 0, "").when(key % 8 == 1, "broke").alias("error"), F.when(key % 2 == 0, text("db/", key)).alias("output_dir"),
+        )
+        memory = o.where((cust % 3 == 0) & (cust % 12 != 0)).select(
+            key.alias("scan_id"), text("mem", cust).alias("slug"), F.when(cust % 11 != 0, self._pick(("QUEUED", "RUNNING", "COMPLETED", "FAILED", "ODD"), cust % 5)).alias("status"), F.when(cust % 2 == 0, text("step ", cust % 7)).alias("progress"),
+            F.when(cust % 6 != 0, cust % 13).alias("findings"), F.when(cust % 7 == 0, "lost").alias("error"), F.when(cust % 4 == 0, text("mem/", key)).otherwise("").alias("output_dir"),
+        )
+        log = items.select(
+            F.col("l_orderkey").alias("scan_id"), F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")), F.col("l_quantity").cast("int").cast("string")).alias("at"), F.when(F.col("l_returnflag") == "R", "RUNNING").when(F.col("l_returnflag") == "A", "").otherwise("QUEUED").alias("status"), F.when(supp % 3 != 0, text("stage ", supp % 4)).alias("stage"),
+            F.when(supp % 4 == 0, text("detail ", part % 5)).otherwise("").alias("detail"), F.when(part % 3 == 0, "x").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("progress_pct"), F.when(part % 10 == 0, "bad").alias("error"),
+        )
+        artifacts = o.where(key % 4 != 1).select(key.alias("scan_id"), text("out/", key).alias("output_dir"), F.when(key % 7 == 0, cust % 50).alias("findings"))
+        return {"recorded": recorded, "memory": memory, "log": log, "artifacts": artifacts, "queue": o.where(cust % 6 < 3).select(key.alias("scan_id"), (cust % 3).alias("position"))}
+
     def nodes(self) -> DataFrame:
         part = lambda t, key, label, tag, keep="true": self.table(t).where(keep).select(F.concat(F.lit(tag), F.col(key).cast("string")).alias("id"), F.lit(label).alias("label"))
         return part("region", "r_regionkey", "File", "r").union(part("nation", "n_nationkey", "Function", "n", "n_nationkey <> 3")).union(part("customer", "c_custkey", "Callsite", "c")).union(part("supplier", "s_suppkey", "Route", "s"))
@@ -174,6 +220,14 @@ CTES = {
       n.sink_kind = 'SQL' AND (a.context = 'SQL' OR a.kind = 'SQL_PREPARE') OR n.sink_kind = 'HTML' AND a.context IN ('HTML', 'GENERIC')
       OR n.sink_kind IN ('REDIRECT', 'FILE_INCLUDE', 'REMOTE_READ', 'UPLOAD', 'FILE_WRITE') AND (a.context IN ('URL', 'GENERIC') OR a.name IN ('esc_url', 'esc_url_raw', 'sanitize_file_name', 'sanitize_text_field')) OR n.sink_kind = 'HTTP_CLIENT' AND a.context IN ('URL', 'GENERIC'))""",
     "v_flows": "SELECT * FROM v_near WHERE dst NOT IN (SELECT dst FROM v_stop)",
+    "v_recorded": "SELECT o_orderkey AS scan_id, CASE WHEN o_custkey % 4 = 0 THEN '' ELSE 'slug' || o_custkey END AS slug, CASE o_orderkey % 3 WHEN 0 THEN 'COMPLETED' WHEN 1 THEN 'RUNNING' ELSE 'QUEUED' END AS status, CASE WHEN o_custkey % 9 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS started_at, o_custkey % 10 AS findings, CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'broke' END AS error, CASE WHEN o_orderkey % 2 = 0 THEN 'db/' || o_orderkey END AS output_dir FROM orders WHERE o_orderkey % 5 <> 0",
+    "v_memory": "SELECT o_orderkey AS scan_id, 'mem' || o_custkey AS slug, CASE WHEN o_custkey % 11 <> 0 THEN ['QUEUED', 'RUNNING', 'COMPLETED', 'FAILED', 'ODD'][o_custkey % 5 + 1] END AS status, CASE WHEN o_custkey % 2 = 0 THEN 'step ' || o_custkey % 7 END AS progress, CASE WHEN o_custkey % 6 <> 0 THEN o_custkey % 13 END AS findings, CASE WHEN o_custkey % 7 = 0 THEN 'lost' END AS error, CASE WHEN o_custkey % 4 = 0 THEN 'mem/' || o_orderkey ELSE '' END AS output_dir FROM orders WHERE o_custkey % 3 = 0 AND o_custkey % 12 <> 0",
+    "v_log": "SELECT l_orderkey AS scan_id, CASE l_returnflag WHEN 'R' THEN 'RUNNING' WHEN 'A' THEN '' ELSE 'QUEUED' END AS status, CASE WHEN l_suppkey % 3 <> 0 THEN 'stage ' || l_suppkey % 4 END AS stage, CASE WHEN l_suppkey % 4 = 0 THEN 'detail ' || l_partkey % 5 ELSE '' END AS detail, CASE WHEN l_partkey % 3 <> 0 THEN CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) END AS pct, CASE WHEN l_partkey % 10 = 0 THEN 'bad' END AS error FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_returnflag || '-' || CAST(l_quantity AS INTEGER) DESC) = 1",
+    "v_artifacts": "SELECT o_orderkey AS scan_id, 'out/' || o_orderkey AS output_dir, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey % 50 END AS findings FROM orders WHERE o_orderkey % 4 <> 1",
+    "v_queue": "SELECT o_orderkey AS scan_id, o_custkey % 3 AS position FROM orders WHERE o_custkey % 6 < 3",
+    "v_candidates": f"""SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS finding_id, 'RULE-' || {_list(RULES)}[l_partkey % 14 + 1] || '-001' AS rule_id, ['a.graph_flow', 'a.coarse', 'a.pattern'][l_suppkey % 3 + 1] AS title_key,
+      CASE WHEN l_linenumber % 4 <> 0 THEN CAST(l_quantity AS INTEGER) END AS source_line, CAST(l_linenumber - CASE WHEN l_suppkey % 11 = 0 THEN 1 ELSE 0 END AS INTEGER) AS sink_line, l_suppkey % 2 = 0 AS ajax, l_suppkey % 5 AS limits, l_partkey % 4 AS trace, l_partkey % 3 = 0 AS approx,
+      CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS BIGINT) * 2.0 WHEN l_linenumber % 3 = 0 THEN CAST(l_quantity AS BIGINT) / 100 ELSE 0 END::DOUBLE AS strength, l_suppkey % 7 = 0 AS prepared, CASE WHEN l_suppkey % 2 = 0 THEN l_linenumber % 3 ELSE 0 END AS open, l_linenumber % 3 AS edges, l_suppkey % 3 AS hops FROM lineitem""",
     "v_functions": "SELECT 'fn' || s_suppkey AS id, 'Supplier' || s_suppkey % 40 AS name, 'f' || s_suppkey % 7 AS file, s_suppkey % 25 AS line FROM supplier",
     "v_calls": """SELECT fn.name AS caller, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE 'Supplier' || ((c_custkey % 60 + 1) % 7 + 7 * (c_custkey // 60 % 9)) % 40 END AS callee, 'f' || (c_custkey % 60 + 1) % 7 AS file, c_custkey % 30 AS line,
       CASE WHEN c_custkey % 5 <> 0 AND 'Supplier' || ((c_custkey % 60 + 1) % 7 + 7 * (c_custkey // 60 % 9)) % 40 IN (SELECT name FROM v_functions) THEN 'STATIC' ELSE 'UNKNOWN' END AS resolution FROM customer JOIN v_functions fn ON fn.id = 'fn' || (c_custkey % 60 + 1)""",

@@ -85,7 +85,7 @@ def manifest_hashes(files: DataFrame) -> DataFrame:
     spills) and streams them through both digests, holding a batch at a time."""
     import pyarrow as pa
 
-    rows = files.select("rel_path", F.to_json(F.struct(F.col("language").alias("language_guess"), "rel_path", "sha256", "size")).alias("j"), F.concat("rel_path", F.lit("\0"), "sha256", F.lit("\n")).alias("t"))
+    rows = files.select("rel_path", S.canonical(F.to_json(F.struct(F.col("language").alias("language_guess"), "rel_path", "sha256", "size"))).alias("j"), F.concat("rel_path", F.lit("\0"), "sha256", F.lit("\n")).alias("t"))
 
     def run(batches):
         n, manifest, tree = 0, hashlib.sha256(b"["), hashlib.sha256()

@@ -28,7 +28,7 @@ def write_report(enriched: DataFrame, groups: DataFrame, rules: DataFrame, path:
     enrichment), findings/compact (id, score, bucket and states), reports/groups in report order, reports/owasp, and trace."""
     from ..operators import enrich, report
 
-    added = {"hypothesis", "skeptic", "blocked", "checks", "verification", "features", "score", "bucket"}
+    added = {"hypothesis", "skeptic", "blocked", "checks", "artifact_sha256", "verification", "features", "score", "bucket"}
     with_scan = lambda df: df.select(F.lit(scan_id).alias("scan_id"), *df.columns)
     write_json_lines(with_scan(enriched), f"{path}/findings/enriched", "finding_id")
     write_json_lines(with_scan(enriched.drop(*added)), f"{path}/findings/candidates", "finding_id")
