@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +18,16 @@ BATCH = 4 * 1024 * 1024
 #: Payloads that occur more than once, by digest, are broadcast up to so many; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 ARCHIVE = "record_id long, url string, record_type string, refers_to long, header string, payload_bytes long, payload_digest string, chunk int, last boolean, data binary, running_digest string"
+_DATE = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?Z")
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def header(record_type: str, page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None) -> str:
+def header(record_type: str, page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> str:
     """The WARC/1.1 named fields of a record; line breaks in a URL are percent-encoded."""
     length = len(_HTTP) + (size if record_type == "response" else 0)
     uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     target = [] if url is None else [f"WARC-Target-URI: {uri}"]
-    fields = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{page_id}>", *target, f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
+    fields = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", *target, f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
     if record_type == "revisit":
         fields += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     return "\r\n".join(fields) + "\r\n\r\n"
@@ -37,6 +40,8 @@ def parsed(text: str) -> tuple[int, tuple]:
     if version != "WARC/1.1" or lines[-2:] != ["", ""]:
         raise ValueError(f"damaged header: {text[:80]!r}")
     named = dict(x.split(": ", 1) for x in lines[:-2])
+    if not _DATE.fullmatch(named.get("WARC-Date", "")):
+        raise ValueError(f"a record without a date: {text[:80]!r}")
     page = lambda urn: None if urn in (None, "<urn:page:None>") else int(urn.removeprefix("<urn:page:").removesuffix(">"))
     record = (page(named["WARC-Record-ID"]), int(named["X-Payload-Length"]), named["WARC-Payload-Digest"].removeprefix("sha1:"), named["WARC-Type"], page(named.get("WARC-Refers-To")), named.get("WARC-Target-URI"))
     return int(named["Content-Length"]), record
@@ -55,8 +60,10 @@ def plan_records(pages: DataFrame, least: int = 1000) -> DataFrame:
     return p.join(twice, (p["digest"] == twice["d"]) & (p["size"] == twice["s"]), "left").drop("d", "s")
 
 
-def archive_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The chunk rows of planned records. A revisit is one row without data."""
+def archive_rows(records: DataFrame, chunk: int = CHUNK, date: str | None = None) -> DataFrame:
+    """The chunk rows of planned records. A revisit is one row without data. All records bear one date (UTC, to the second), without
+    one given that of the call, so a task that is run again writes the same bytes."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         out, held = [], 0
@@ -65,7 +72,7 @@ def archive_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
             for i, (page, url, digest, size, first) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), strict=True)):
                 revisit = first is not None and first != page
                 kind, at = "revisit" if revisit else "response", 0
-                head = header(kind, page, url, digest, size, first if revisit else None)
+                head = header(kind, page, url, digest, size, first if revisit else None, date)
                 data = memoryview(texts[i].as_buffer()) if texts[i].is_valid and not revisit else memoryview(b"")
                 sha = hashlib.sha1()
                 while True:

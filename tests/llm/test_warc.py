@@ -50,6 +50,16 @@ def test_records_come_from_their_headers(spark):
     assert {r.refers_to for r in read_archive(cut("response\r\nWARC-Record", "revisit\r\nWARC-Refers-To: <urn:page:1>\r\nWARC-Record")).where("page_id = 7").collect()} == {1}
 
 
+def test_every_record_has_a_date(spark):
+    _, d = pages(spark)
+    heads = [r.header for r in archive_rows(plan_records(d), date="2024-05-06T07:08:09Z").where("chunk = 0").collect()]
+    assert heads and all("\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n" in h for h in heads)
+    assert len({parsed(r.header)[0] and r.header.split("WARC-Date: ")[1][:20] for r in archive_rows(plan_records(d)).where("chunk = 0").collect()}) == 1
+    for bad in ("", "2024-05-06", "yesterday"):
+        with pytest.raises(ValueError, match="date"):
+            parsed(header("response", 1, "u", "ab", 9, None, bad))
+
+
 def test_copies_with_other_urls_keep_them(spark):
     d = spark.createDataFrame([(1, "a", "q"), (1, "b", "q"), (1, "b", "q"), (None, "c", None), (None, None, None)], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.url or "") for r in read_archive(archive_rows(plan_records(d))).collect()) == [(0, ""), (0, "c"), (1, "a"), (1, "b"), (1, "b")]
