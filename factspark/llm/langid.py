@@ -8,14 +8,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import slices
 
 UNKNOWN = "und"
-#: The fit's bounds: texts sampled per language, characters of the passage that one of them gives, bytes of a dictionary.
-SAMPLE, PASSAGE, DICT_BYTES = 1_200, 600, 200_000
-SALTS = 64
+#: The fit's bounds: bytes of a dictionary, of all dictionaries together, and of the shortest one that is worth having. A label's
+#: dictionary is made of whole texts of a sample of about twice its bytes; of more than ALL_BYTES / LEAST_BYTES labels the most frequent are learned.
+DICT_BYTES, ALL_BYTES, LEAST_BYTES = 200_000, 64_000_000, 1_000
 #: Texts are packed in pieces of so many bytes, so that the dictionary and not the text's own past decides; level 6 is the
 #: lowest that searches a dictionary well.
 PIECE, LEVEL = 1_024, 6
@@ -24,22 +23,36 @@ MARGIN = 0.003
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """lang -> zstandard raw-content dictionary, from at most SAMPLE distinct texts of each language, chosen by hash: of each a
-    passage of PASSAGE characters from a place that the text's hash draws, so that all parts of texts are learned from. A dictionary is as long as its own language's sample, up to DICT_BYTES, whatever the others have.
-
-    The sample is drawn in SALTS parts of equal chance, so that no task sorts all texts of one language; copies count once.
-    """
-    start = F.pmod(F.xxhash64(F.lit(5), F.col(text)), F.greatest(F.char_length(F.col(text)) - PASSAGE, F.lit(0)) + 1).cast("int") + 1
-    given = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.substr(F.col(text), start, F.lit(PASSAGE)).alias("t"))
-    hashed = given.distinct().withColumn("h", F.xxhash64("t"))
-    rank = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "t"))
-    few = hashed.withColumn("r", rank).where(F.col("r") <= 2 * SAMPLE // SALTS).collect()
-    out: dict[str, bytes] = {}
-    for name in sorted({r["lang"] for r in few}):
-        texts = [r["t"] for r in sorted(few, key=lambda r: (r["r"], r["h"], r["t"])) if r["lang"] == name][:SAMPLE]
-        out[name] = _words(" ".join(texts))[-DICT_BYTES:]
-    return out
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", dict_bytes: int = DICT_BYTES, all_bytes: int = ALL_BYTES) -> dict[str, bytes]:
+    """lang -> zstandard raw-content dictionary: distinct texts of the language, whole, in the order of their hash, until it is full.
+
+    The bytes of each language's distinct texts are counted first. They tell the share of hashes that gives twice the bytes a
+    dictionary takes, so the sample is a filter, copies count once, and nothing is sorted but the sample of one language, where its
+    dictionary is made; only dictionaries come to the driver, all_bytes at most. A language with less text has a shorter one."""
+    given = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    sizes = given.select("lang", "h", F.octet_length("t").cast("long").alias("n")).groupBy("lang", "h").agg(F.max("n").alias("n")).groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n").alias("bytes"))
+    most = max(1, all_bytes // LEAST_BYTES)
+    known = sizes.orderBy(F.desc("texts"), "lang").limit(most).collect()
+    if not known:
+        return {}
+    each = max(1, min(dict_bytes, all_bytes // len(known)))
+    limits = [(r["lang"], min(2**64 - 1, 2**64 * 2 * each // max(1, r["bytes"])) - 2**63) for r in known]
+    # as many rows as languages, which are bounded above
+    limits = F.broadcast(train.sparkSession.createDataFrame(limits, "lang string, most long"))
+    few = given.withColumn("lang", F.col("lang").cast("string")).join(limits, "lang").where(F.col("h") <= F.col("most")).select("lang", "h", "t").distinct()
+
+    def dictionary(key, table):
+        out, size = [], 0
+        for t in table.sort_by([("h", "ascending"), ("t", "ascending")]).column("t").to_pylist():
+            if size >= each:
+                break
+            if words := _words(t):
+                out.append(words)
+                size += len(words) + 1
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "d": pa.array([b" ".join(out)[:each]], pa.binary())})
+
+    found = few.groupBy("lang").applyInArrow(dictionary, "lang string, d binary").collect()
+    return {r["lang"]: bytes(r["d"]) for r in sorted(found, key=lambda r: r["lang"])}
 
 
 def _words(text: str) -> bytes:
