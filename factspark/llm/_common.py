@@ -7,12 +7,14 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
+_watching: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +37,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
+    for made in _watching:
+        made.append(out)
     return out
 
 
+@contextmanager
+def watched() -> Iterator[list[DataFrame]]:
+    """The tables that are staged meanwhile, so that whoever knows them to be read for the last time can discard them."""
+    made: list[DataFrame] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing still to be computed reads: what was made of them must be staged itself."""
     for df in tables:
