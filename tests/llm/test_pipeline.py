@@ -91,3 +91,13 @@ def test_query_equals_its_sql(spark, name):
     names = [d[0] for d in r.description]
     order = [df.columns.index(c) for c in names]
     assert sorted((tuple(x[i] for i in order) for x in map(tuple, df.collect())), key=repr) == sorted(r.fetchall(), key=repr)
+
+
+def test_a_run_leaves_only_its_result(spark, tmp_path, stages, monkeypatch):
+    from factspark.llm import _common
+
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    got = corpus_pipeline.run(spark, SF)
+    assert [p.name.split("-")[0] for p in (tmp_path / "shared").iterdir()] == ["packing"]
+    want = stages[1][-1][1]
+    assert sorted((r.doc_id, r.start, r.length, r.ids) for r in got.collect()) == sorted((r.doc_id, r.start, r.length, r.ids) for r in want.collect())
