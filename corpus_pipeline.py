@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factspark.llm import decontam, jaccard, langid, packing, suffix
-from factspark.llm._common import slices, staged
+from factspark.llm._common import discard, slices, staged, watched
 
 #: Ids of documents to drop that are broadcast at most; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -99,7 +99,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order. What a stage has read and made on its way is deleted once its result is written."""
+    docs, given = spark.read.parquet(f"{sf_dir}/documents.parquet"), True
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with watched() as made:
+            out = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*(t for t in made if t is not out), *([] if given else [docs]))
+        docs, given = out, False
     return docs
