@@ -580,9 +580,10 @@ _SCAN = f"""SELECT *, CASE WHEN score >= 0.65 THEN 'HIGH' WHEN score >= 0.45 THE
 
 @query("q76_scan", sql(_SCAN, "v_code"))
 def _(v: Views) -> DataFrame:
+    from ..sources.staging import shared_folder
     from .scan import scan
 
-    found = scan(v.code(), "snap").enriched
+    found = scan(v.code(), "snap", work=shared_folder(v.spark, "scan")).enriched
     return found.select("file", "rule_id", "severity", "source_line", "sink_line", "skeptic.verdict", "verification", F.round("score", 6).alias("score"), "bucket")
 
 
@@ -694,3 +695,29 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     d = v.table("documents").where("text is not null")
     return d.select("doc_id", S.sha(S.canonical(F.to_json(F.struct("doc_id", "text")))).alias("sha256"))
+
+
+# --- all rules at once -----------------------------------------------------------------------------------------------------
+
+#: Flows that nothing cleans; the lines of sink and last line; each rule by its gates; a finding on one node has no source line.
+_ALL_RULES = """SELECT file, rule_id, severity, source_line, sink_line, verdict, verification, score, CASE WHEN score >= 0.65 THEN 'HIGH' WHEN score >= 0.45 THEN 'MEDIUM' ELSE 'VERY_LOW' END AS bucket FROM (
+  SELECT file, rule_id, severity, CAST(CASE WHEN flow THEN first END AS INTEGER) AS source_line, CAST(line AS INTEGER) AS sink_line, CASE WHEN flow THEN 'DOWNGRADE' ELSE 'ALLOW_PROMOTION' END AS verdict, CASE WHEN flow THEN 'INCONCLUSIVE' ELSE 'CONFIRMED' END AS verification,
+    round(0.45 + 0.08 + 0.05 + CASE WHEN flow THEN -0.002 + 0.03 - 0.2 - 0.25 - 0.15 ELSE 0.01 END + CASE rule_id WHEN 'RULE-OBJINJ-001' THEN 0.25 * 0.35 WHEN 'RULE-WP-AJAX-001' THEN -0.12 WHEN 'RULE-WP-REST-001' THEN -0.05 ELSE 0 END, 6)::DOUBLE AS score FROM (
+  WITH p AS (SELECT *, first + 2 + gap AS sink_at, first + 3 + gap AS last_at, NOT (sink = 0 AND cleaner = 1 OR sink = 1 AND cleaner IN (2, 3) OR sink IN (2, 3, 4, 6) AND cleaner = 3) AS open FROM v_programs),
+  r AS (SELECT * FROM (VALUES (0, 'SQLI', 'MEDIUM'), (1, 'XSS', 'LOW'), (2, 'REDIRECT', 'MEDIUM'), (3, 'LFI', 'MEDIUM'), (4, 'RFI', 'HIGH'), (5, 'RCE', 'CRITICAL'), (6, 'UPLOAD', 'HIGH'), (7, 'SSRF', 'LOW'), (8, 'CSV', 'LOW')) t(sink, name, severity))
+  SELECT file, first, 'RULE-' || name || '-001' AS rule_id, severity, TRUE AS flow, sink_at AS line FROM p JOIN r USING (sink) WHERE open AND NOT fixed AND (sink <> 5 OR source < 3)
+  UNION ALL SELECT file, first, 'RULE-WP-IDOR-001', 'MEDIUM', TRUE, sink_at FROM p WHERE open AND sink IN (0, 1) AND more <> 2
+  UNION ALL SELECT file, first, 'RULE-WP-IDOR-001', 'MEDIUM', TRUE, last_at FROM p WHERE more = 5
+  UNION ALL SELECT file, first, 'RULE-OBJINJ-001', 'MEDIUM', FALSE, last_at FROM p WHERE more = 5
+  UNION ALL SELECT file, first, 'RULE-WP-AJAX-001', 'HIGH', FALSE, 6 + gap FROM p WHERE more = 1
+  UNION ALL SELECT file, first, 'RULE-WP-REST-001', 'HIGH', FALSE, 1 FROM p WHERE more = 3
+  UNION ALL SELECT file, first, 'RULE-WP-NONCE-001', 'MEDIUM', FALSE, 1 FROM p WHERE more = 4))"""
+
+
+@query("q85_all_rules", sql(_ALL_RULES, "v_programs"))
+def _(v: Views) -> DataFrame:
+    from ..sources.staging import shared_folder
+    from .scan import scan
+
+    found = scan(v.programs(), "snap", work=shared_folder(v.spark, "scan")).enriched
+    return found.select("file", "rule_id", "severity", "source_line", "sink_line", "skeptic.verdict", "verification", F.round("score", 6).alias("score"), "bucket")

@@ -25,6 +25,11 @@ PROGRAMS = (
     "function go(a) { return helper(a); }\n",
 )
 
+#: What the programs of `programs` are made of: cleaners, sinks in the order of SINKS, and lines after them.
+CLEANERS = ("$j = 2;", "$s = $wpdb->prepare($q);", "$w = esc_html($v);", "$w = esc_url($v);")
+SINK_LINES = ("mysqli_query($c, $v);", "echo $v;", "header($v);", "include PATH;", "readfile(PATH);", "system($v);", "move_uploaded_file($v, $t);", "curl_exec($v);", "fputcsv($f, $v);")
+MORE_LINES = ("$z = 3;", "add_action('wp_ajax_nopriv_x', 'f');", "current_user_can('x');", "register_rest_route('a', 'b', array('permission_callback' => '__return_true'));", "$o = $_REQUEST['option']; $m = 'GET' === $_SERVER['REQUEST_METHOD']; wp_verify_nonce($n);", "unserialize($v);")
+
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -50,6 +55,22 @@ class Views:
         rows = d.select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.when(k == 7, ".js").otherwise(".php")).alias("rel_path"), text.alias("text"))
         return rows.withColumn("size", F.octet_length("text").cast("long"))
 
+    def programs(self) -> DataFrame:
+        """rel_path, text, size: every document's text in a comment, below it a source, what may clean it, a gap, a sink and one line
+        more, all chosen by the id."""
+        d, k = self.table("documents"), F.col("doc_id")
+        pick = lambda values, i: self._pick(values, i)
+        fixed = F.when((F.floor(k / 11) % 2 == 1), True).otherwise(False)
+        sink = F.floor(k / 5) % 9
+        path = F.when(fixed & sink.isin(3, 4), "__DIR__ . $v").otherwise("$v")
+        lines = F.concat(
+            F.lit("$v = "), pick(NAMES, k % 5), F.lit("['k'];\n"),
+            pick(CLEANERS, F.floor(k / 3) % 4), F.lit("\n"), F.repeat(F.lit("$i = 1;\n"), (k % 3).cast("int")),
+            F.replace(pick(SINK_LINES, sink), F.lit("PATH"), path), F.lit("\n"), pick(MORE_LINES, F.floor(k / 7) % 6), F.lit("\n"),
+        )
+        rows = d.where(k.isNotNull()).select(F.concat(F.lit("p"), k.cast("string"), F.lit(".php")).alias("rel_path"), F.concat(F.lit("<?php\n/*"), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("")), F.lit("*/\n"), lines).alias("text"))
+        return rows.withColumn("size", F.octet_length("text").cast("long"))
+
     def lines(self) -> DataFrame:
         d = self.table("documents")
         return d.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n"))).select("file", (F.col("pos") + 1).alias("line"), F.lit(0).alias("byte_off"), F.col("col").alias("text"))
@@ -197,6 +218,9 @@ CTES = {
     "v_files": f"""SELECT doc_id AS ord, source || '/' || lang || '/' || doc_id || '.' || {_list(EXTENSIONS)}[doc_id % 6 + 1] AS rel_path, text, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents""",
     # first: the line on which a document's program begins
     "v_code": "SELECT 'f' || doc_id || CASE WHEN doc_id % 8 = 7 THEN '.js' ELSE '.php' END AS file, doc_id % 8 AS k, CAST(CASE WHEN doc_id % 8 = 7 THEN 2 ELSE 3 END + length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS first FROM documents",
+    # first: the line of the source; sink: its number among SINKS
+    "v_programs": """SELECT 'p' || doc_id || '.php' AS file, doc_id % 5 AS source, doc_id // 3 % 4 AS cleaner, CAST(doc_id % 3 AS INTEGER) AS gap, doc_id // 5 % 9 AS sink, doc_id // 11 % 2 = 1 AND doc_id // 5 % 9 IN (3, 4) AS fixed, doc_id // 7 % 6 AS more,
+      CAST(3 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS INTEGER) AS first FROM documents WHERE doc_id IS NOT NULL""",
     "v_lines": "SELECT doc_id AS file, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
     "v_tags": "SELECT page_id AS file, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FROM (SELECT page_id, regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9]*') AS l FROM pages)",
     "v_facts": f"""SELECT 'u' || user_id AS file, event_id AS ord, 'n' || event_id AS id, CAST((rn - 1) // 3 + 1 AS INTEGER) AS line, label,

@@ -49,13 +49,23 @@ def classified(files: DataFrame, q: Quotas = Quotas()) -> DataFrame:
     return files.withColumns({"language": F.when(F.col("size") > q.max_file_bytes, "other").otherwise(S.language(F.col("rel_path"))), "parse_policy": S.parse_policy(F.col("rel_path"), F.col("size"), q.max_file_bytes)})
 
 
+def _range_of(value: Column, ends: list[str]) -> Column:
+    """How many of the sorted ends are at or below a value: first of every step-th, then of those after the last of these."""
+    step = max(1, round((len(ends) + 1) ** 0.5))
+    texts = lambda part: F.array(*map(F.lit, part)).cast("array<string>")
+    below = lambda part: F.size(F.filter(part, lambda e: e <= value))
+    coarse = ends[step - 1 :: step]
+    fine = F.array(*(texts(ends[i * step : (i + 1) * step - 1]) for i in range(len(coarse) + 1)))
+    at = below(texts(coarse))
+    return at * step + below(F.element_at(fine, at + 1))
+
+
 def running_totals(df: DataFrame, order: str, values: dict[str, Column], ranges: int = 256) -> DataFrame:
     """df with the running sums of values in the order of a string column: ranges of the order are summed first, then a window inside
     each goes on from what lies ahead, so that no task sorts all rows, whatever prefix they share. Ranges end at paths drawn by hash
     (16 a range, which only balances tasks: the sums are exact). Rows alike in order have one sum; null comes first."""
     drawn = sorted(r[0] for r in df.select(order).where(F.col(order).isNotNull()).orderBy(F.xxhash64(order), order).limit(16 * ranges).collect())
-    ends = F.array(*map(F.lit, drawn[16::16])).cast("array<string>")
-    rows = df.withColumns({"_range": F.size(F.filter(ends, lambda e: e <= F.col(order)))} | {f"_of_{k}": v for k, v in values.items()})
+    rows = df.withColumns({"_range": _range_of(F.col(order), drawn[16::16])} | {f"_of_{k}": v for k, v in values.items()})
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("_range").agg(*(F.sum(f"_of_{k}").alias(f"_sum_{k}") for k in values))
     ahead = sums.select("_range", *(F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_ahead_{k}") for k in values))
