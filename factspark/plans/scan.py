@@ -112,16 +112,24 @@ def scan(files: DataFrame, snapshot: str, profile: str | None = "full", quotas:
 
     base = graph.base_graph(classified, spans.where("kind is not null").withColumn("id", F.concat_ws(":", F.lit("ir"), F.lit(snapshot), "id")), snapshot, root)
     of_structure = structure.structure(spans, snapshot)
+    if options.interprocedural:  # read by the program too
+        of_structure = stage(of_structure[0], "structure"), stage(of_structure[1], "structure_edges")
     adapters = list(chosen.adapters)
     of_platform = platform.adapted(adapters, structure.platform_texts(spans), classified, snapshot)
     shape = lambda df: df.select("id", "label", "name", "kind", "file", "line")
     sinks = known.where("label = 'Sink'")
-    heuristic = platform.heuristic_nodes(texts, snapshot, options.heuristics)
+    heuristic = stage(platform.heuristic_nodes(texts, snapshot, options.heuristics), "heuristics")
     security = shape(known.select("id", "label", "name", "kind", "file", "line")).union(shape(platform.signal_nodes(sinks))).union(shape(heuristic))
     file_id = F.concat_ws(":", F.lit("file"), F.lit(snapshot), "file")
     has = known.select(file_id.alias("src"), F.concat(F.lit("HAS_"), F.upper("label")).alias("rel"), F.col("id").alias("dst"))
     signals = platform.signal_nodes(sinks).select(file_id.alias("src"), F.lit("HAS_SECURITY_SIGNAL").alias("rel"), F.col("id").alias("dst"))
 
+    # what adapters found, whatever their number
+    marks, mark_edges = shape(security).where("false"), has.where("false")
+    for n, e in of_platform:
+        marks, mark_edges = marks.union(shape(n)), mark_edges.union(e.select("src", "rel", "dst"))
+    marks, mark_edges = stage(marks, "marks"), stage(mark_edges, "mark_edges")
+
     within = flows.flows(known)
     between, program, extra = None, None, []
     if options.interprocedural:
@@ -130,17 +138,13 @@ def scan(files: DataFrame, snapshot: str, profile: str | None = "full", quotas:
         reach = lambda rel: between.select("src", F.lit(rel).alias("rel"), "dst")
         extra = [interprocedural.graph_rows(program, snapshot, options.most_functions), (security.where("false"), reach("FLOWS_TO").union(reach("CAN_REACH_SINK")))]
     all_flows = within if between is None else within.withColumns({"via": F.lit("same_file_ordering"), "constraint_strength": F.lit(None).cast("double"), "unresolved_calls": F.lit(None).cast("int")}).unionByName(between)
-    nodes, edges = structure.merged(base, of_structure, *of_platform, (security, has.union(signals).union(within.select("src", F.lit("FLOWS_TO").alias("rel"), "dst"))), *extra)
+    nodes, edges = structure.merged(base, of_structure, (marks, mark_edges), (security, has.union(signals).union(within.select("src", F.lit("FLOWS_TO").alias("rel"), "dst"))), *extra)
     nodes = stage(nodes.withColumn("layer", graph.layer(F.col("label"))), "nodes")
     edges = stage(graph.layered_edges(nodes, edges), "edges")
     integrity = graph.integrity(nodes, edges)
 
     calls = spans.where(F.col("kind").isin(*graph.ENTITIES["Callsite"])).select("file", F.col("start_line").alias("line"), F.substring("label", 1, structure.PREVIEW).alias("label"))
     gated = all_flows.where("sink_kind <> 'FILE_INCLUDE'").unionByName(rules.without_static_includes(all_flows.where("sink_kind = 'FILE_INCLUDE'"), calls))
-    # what adapters found, whatever their number
-    marks, mark_edges = shape(security).where("false"), has.where("false")
-    for n, e in of_platform:
-        marks, mark_edges = marks.union(shape(n)), mark_edges.union(e.select("src", "rel", "dst"))
     routes = rules.missing_guard_routes(marks, mark_edges).select(F.col("route").alias("id"))
     open_actions = marks.where("label = 'AjaxAction' and kind = 'nopriv'")
 
