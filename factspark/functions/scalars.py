@@ -32,6 +32,7 @@ TITLES = {
 # Severities in order, what is redacted, the shape of an id.
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 SECRET = r"(?i)(api[_-]?key|secret|password|token)\s*[:=]\s*[^\s]+"
+TOKEN = r"^[A-Za-z0-9_.-]{20,255}$"
 FINDING_ID = r"^FINDING\|[^|]+\|[^|]+\|[^|]+\|[0-9a-f]{16}$"
 
 
@@ -117,6 +118,20 @@ def repository(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+def token_problem(token: Column) -> Column:
+    """Why a token can't be used: URL_OR_PATH or FORMAT; null for one that can, and for none (null or blank)."""
+    t = F.trim(token)
+    return F.when(t == "", None).when(t.rlike(r"://|[@/: ]"), "URL_OR_PATH").when(~t.rlike(TOKEN), "FORMAT")
+
+
+def http_problem(status: Column, body: Column | None = None) -> Column:
+    """What a code host's answer says: null for 200, else AUTH, or HTTP; of downloads, whose body is given, also NOT_FOUND and RATE_LIMIT."""
+    out = F.when(status == 200, None).when(status == 401, "AUTH")
+    if body is not None:
+        out = out.when(status == 404, "NOT_FOUND").when((status == 403) & F.contains(F.lower(F.coalesce(body, F.lit(""))), F.lit("rate limit")), "RATE_LIMIT")
+    return out.otherwise("HTTP")
+
+
 def valid_finding_id(ident: Column) -> Column:
     return ident.rlike(FINDING_ID)
 

@@ -16,7 +16,7 @@ def summary_groups(findings: DataFrame) -> DataFrame:
     """Findings by rule, file and sink line. findings: finding_id, rule_id, severity, file, sink_line, source_line, score, bucket,
     downgraded, blocked."""
     ids = F.array_sort(F.collect_list("finding_id"))
-    lines = F.slice(F.array_sort(F.collect_set("source_line")), 1, 5)
+    lines = F.slice(F.array_sort(F.collect_set(F.coalesce("source_line", "sink_line"))), 1, 5)
     counts = [F.count_if(F.col("bucket") == b).alias(f"n_{b.lower()}") for b in BUCKET_NAMES]
     return findings.groupBy("rule_id", "file", "sink_line").agg(
         F.count("*").alias("n"), ids.alias("finding_ids"), F.max("score").alias("max_conf"), F.min("score").alias("min_conf"), *counts,
@@ -39,6 +39,11 @@ def passes_triage(least_conf: float, least_bucket: str, with_blocked: bool) -> C
     return sure & (at_or_above | F.lit(rank >= BUCKET_NAMES.index("LOW")))
 
 
+def shown(groups: DataFrame, least_conf: float = 0.0, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """Groups of rules that aren't excluded, and that are sure enough."""
+    return groups.where((F.col("max_conf") >= least_conf) & ~F.col("rule_id").isin(*excluded)) if excluded else groups.where(F.col("max_conf") >= least_conf)
+
+
 def owasp_rollup(findings: DataFrame, rules: DataFrame, most: int = 50) -> DataFrame:
     """owasp_id, n, finding_ids (the first by id). Findings of rules without ids are UNTAGGED."""
     tags = F.when(F.size("owasp") > 0, F.col("owasp")).otherwise(F.array(F.lit("UNTAGGED")))

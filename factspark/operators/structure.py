@@ -61,6 +61,16 @@ def counts(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("label").isin("Class", "Function", "Method", "Callsite")).groupBy("file", "label").agg(F.count("*").alias("n"))
 
 
+def stats(nodes: DataFrame, spans: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row: functions, methods, classes, callsites, truncated_files (that ran out of the budget of spans), sources, sinks, sanitizers."""
+    of = lambda df, names, **more: df.agg(*(F.count_if(F.col("label") == v).alias(k) for k, v in names.items()), *(c.alias(k) for k, c in more.items()))
+    code = of(nodes, {"functions": "Function", "methods": "Method", "classes": "Class", "callsites": "Callsite"})
+    short = spans.agg(F.count_distinct(F.when(F.col("diagnostic") == "IR_BUDGET_EXCEEDED", F.col("file"))).alias("truncated_files"))
+    security = of(facts, {"sources": "Source", "sinks": "Sink", "sanitizers": "Sanitizer"})
+    # each one row
+    return code.crossJoin(F.broadcast(short)).crossJoin(F.broadcast(security))
+
+
 def resolution(nodes: DataFrame, edges: DataFrame, most: int = 80) -> DataFrame:
     """caller, callee, file, line, resolution of calls out of functions and methods: STATIC where a function goes by the name
     the callsite's symbol has, else UNKNOWN (callee "unknown" without a symbol)."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,20 @@ def write_json_lines(df: DataFrame, path: str, *order: str) -> None:
     rows.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_document(rows: DataFrame, path: str, head: dict, field: str, *order: str) -> None:
+    """One JSON document as text parts: put together in the order of their names they are an object with the head's fields and `field`,
+    an array of the rows in order. No task holds it. Rows that are alike in order are left as they come."""
+    begin = json.dumps(head, sort_keys=True)[:-1] + (", " if head else "") + json.dumps(field) + ": ["
+    numbered = rows.withColumn("_key", F.struct(*order, F.xxhash64(F.to_json(F.struct(*rows.columns)))))
+    first = numbered.agg(F.min("_key").alias("k")).scalar()
+    line = F.concat(F.when(F.col("_key") == first, "").otherwise(","), F.to_json(F.struct(*rows.columns)))
+    body = numbered.dropDuplicates(["_key"]).select(F.lit(1).alias("_at"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), line.alias("value"), (F.col("_key") != first).cast("int").alias("_later"))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)]
+    ends = [rows.sparkSession.range(1).select(F.lit(at).alias("_at"), *none, F.lit(text).alias("value"), F.lit(0).alias("_later")) for at, text in ((0, begin), (2, "]}"))]
+    keys = ["_at", *(f"_o{i}" for i in range(len(order))), "_later"]
+    ends[0].unionByName(body).unionByName(ends[1]).repartitionByRange(*keys).sortWithinPartitions(*keys).select("value").write.mode("overwrite").text(path)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     write_json_lines(nodes, f"{path}/nodes", "id")
     write_json_lines(edges, f"{path}/rels", "src", "rel", "dst")
@@ -23,9 +39,10 @@ def write_spans(spans: DataFrame, path: str) -> None:
     spans.repartitionByRange("file").sortWithinPartitions("file", "ord").write.mode("overwrite").json(path)
 
 
-def write_report(enriched: DataFrame, groups: DataFrame, rules: DataFrame, path: str, scan_id: str) -> None:
+def write_report(enriched: DataFrame, groups: DataFrame, rules: DataFrame, path: str, scan_id: str, about: dict | None = None, least_conf: float = 0.0, excluded: tuple[str, ...] = ()) -> None:
     """A scan's findings and summaries below path, each as JSON lines: findings/enriched, findings/candidates (what rules said, before
-    enrichment), findings/compact (id, score, bucket and states), reports/groups in report order, reports/owasp, and trace."""
+    enrichment), findings/compact (id, score, bucket and states), reports/groups in report order, reports/shown (the groups of rules that
+    aren't excluded, sure enough), reports/owasp, and trace; reports/findings is one JSON document with what is known about the scan."""
     from ..operators import enrich, report
 
     added = {"hypothesis", "skeptic", "blocked", "checks", "artifact_sha256", "verification", "features", "score", "bucket"}
@@ -34,6 +51,8 @@ def write_report(enriched: DataFrame, groups: DataFrame, rules: DataFrame, path:
     write_json_lines(with_scan(enriched.drop(*added)), f"{path}/findings/candidates", "finding_id")
     write_json_lines(with_scan(enriched.select("finding_id", "score", "bucket", "verification", F.col("skeptic.verdict").alias("verdict"))), f"{path}/findings/compact", "finding_id")
     with_scan(groups).select(F.to_json(F.struct("scan_id", *groups.columns)).alias("value"), "max_conf", "n", "rule_id", "file", "sink_line").repartitionByRange(F.desc("max_conf"), F.desc("n"), "rule_id", "file", "sink_line").sortWithinPartitions(F.desc("max_conf"), F.desc("n"), "rule_id", "file", "sink_line").select("value").write.mode("overwrite").text(f"{path}/reports/groups")
+    write_json_lines(report.shown(groups, least_conf, excluded), f"{path}/reports/shown", "rule_id", "file", "sink_line")
+    write_document(enriched, f"{path}/reports/findings", {"scan_id": scan_id} | (about or {}), "findings", "finding_id")
     write_json_lines(with_scan(report.owasp_rollup(enriched, rules)), f"{path}/reports/owasp", "owasp_id")
     write_json_lines(with_scan(enrich.trace(enriched)), f"{path}/trace", "finding_id")
 
