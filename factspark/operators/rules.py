@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -106,11 +107,17 @@ def flow_findings(edges: DataFrame, rule: FlowRule, grouped: bool = True) -> Dat
     return all_flow_findings(edges, [replace(rule, one_per_sink=grouped)])
 
 
+def _literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a constant of the plan."""
+    names = [c.strip().split(" ")[0] for c in schema.split(", ")]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{schema}>>")))
+
+
 def all_flow_findings(edges: DataFrame, chosen: list[FlowRule]) -> DataFrame:
     """Findings of flow rules from one pass over the edges: the rules are a table (as long as a pack, which the driver holds) that
     edges meet by sink kind, and its columns say which gates hold, so a pack's parameters need no code."""
     schema = "id string, sink_kind string, severity string, title string, labels array<string>, non_static boolean, primary boolean, unprepared boolean, one_per_sink boolean"
-    table = edges.sparkSession.createDataFrame([(r.id, r.sink_kind, r.severity, r.title, list(r.labels), r.non_static, r.primary, r.unprepared, r.one_per_sink) for r in chosen], schema)
+    table = _literal(edges.sparkSession, [(r.id, r.sink_kind, r.severity, r.title, list(r.labels), r.non_static, r.primary, r.unprepared, r.one_per_sink) for r in chosen], schema)
     table = table.select(F.col("sink_kind").alias("_kind"), F.col("id").alias("rule_id"), F.struct(*table.columns).alias("rule"))
     rows = edges.join(F.broadcast(table), F.col("sink_kind") == F.col("_kind")).drop("_kind").where(passes())
     each = rows.where(~F.col("rule.one_per_sink")).withColumns({"n": F.lit(1).cast("long"), "alternates": F.lit([]).cast("array<string>")})
@@ -314,7 +321,7 @@ def evaluate(spark: SparkSession, pack: list[Rule], evaluators: dict[str, Callab
     """(findings, [(rule id, status)] in id order). An evaluator takes all rules that name it or share it, and gives findings; those
     of other ids are dropped, each takes the pack's severity, and of a repeated finding_id the last rule's row stays."""
     ordered = sorted(pack, key=lambda r: r.id)
-    table = spark.createDataFrame([(i, r.enabled, r.min_schema, r.adapter or None, r.evaluator) for i, r in enumerate(ordered)], "nth int, enabled boolean, min_schema string, adapter string, evaluator string")
+    table = _literal(spark, [(i, r.enabled, r.min_schema, r.adapter or None, r.evaluator) for i, r in enumerate(ordered)], "nth int, enabled boolean, min_schema string, adapter string, evaluator string")
     status = {r["nth"]: r["status"] for r in gate_status(table, schema, list(adapters), list(evaluators)).collect()}
     telemetry = [(r.id, status[i]) for i, r in enumerate(ordered)]
     active = [(i, r) for i, r in enumerate(ordered) if status[i] == "OK"]
