@@ -21,6 +21,11 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+#: What isn't a single blank or line break between words: other white space, and any two next to each other.
+_SPACES = (*("".join((a, b)) for a in " \n" for b in " \n"), *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+_ASCII_SPACES = tuple(c for c in _SPACES if c.isascii())
+
+
 class _Known(dict):
     """piece -> ids; a piece that is not there is encoded on first use. A full cache becomes the old one and a new one begins, so
     that what is used often stays."""
@@ -94,11 +99,11 @@ class WordEncoder:
             # a sigma at a word's end is lower-cased like any other by the library, which takes one letter at a time
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
             return b"".join(map(self.first.__getitem__, text.split()))
+        if text[0] in " \n" or text[-1] in " \n" or any(c in text for c in (_ASCII_SPACES if text.isascii() else _SPACES)):
+            return self.whole(text)
         out = []
         for line in text.split("\n"):
             pieces = line.split(" ")
-            if pieces != line.split():
-                return self.whole(text)
             out.append(self.first[pieces[0]] + b"".join(map(self.rest.__getitem__, pieces[1:])))
         return self.newline.join(out)
 
