@@ -197,16 +197,17 @@ def _(v: Views) -> DataFrame:
 _NOT_ONE_LINE = "NOT (source_line = sink_line AND source_line > 0)"
 
 
-def _finding_sql(rule: rules.FlowRule, edges: str, extra: str = "TRUE") -> str:
+def _finding_sql(rule: rules.FlowRule, edges: str, extra: str = "TRUE", with_witness: bool = False) -> str:
     labels = ",".join(f'"{x}"' for x in rule.labels)
     gates = [f"sink_kind = '{rule.sink_kind}'", _NOT_ONE_LINE, extra]
     if rule.non_static:
         gates.append("NOT sink_static")
     if rule.primary:
         gates.append("source_name IN ('$_GET', '$_POST', '$_REQUEST')")
-    body = f"""SELECT 'FINDING|{rule.id}|' || dst || '|' || dst || '|' || substr(sha256('{{"analysis_limits":["exposure_not_gated"],"constraint_summary":{{"approximate_flow":true' || CASE WHEN n > 1 THEN ',"source_count":' || n ELSE '' END ||
+    witness = f"""'{{"analysis_limits":["exposure_not_gated"],"constraint_summary":{{"approximate_flow":true' || CASE WHEN n > 1 THEN ',"source_count":' || n ELSE '' END ||
       '}},"path_edges":["' || src || '|FLOWS_TO|' || dst || '"],"semantic_trace":["graph:source:' || src || '","graph:sink:' || dst || '",' || CASE WHEN n > 1 THEN array_to_string(list_transform(srcs[2:6], lambda x: '"graph:alt_source:' || x || '"'), ',') || ',' ELSE '' END ||
-      '"lift_derived_flow"],"summary_hops":[{{"edge_kind":"FLOWS_TO","from_id":"' || src || '","to_id":"' || dst || '"}}],"taint_labels":[{labels}]}}'), 1, 16) AS finding_id, '{rule.severity}' AS severity, file, source_line, sink_line, n
+      '"lift_derived_flow"],"summary_hops":[{{"edge_kind":"FLOWS_TO","from_id":"' || src || '","to_id":"' || dst || '"}}],"taint_labels":[{labels}]}}'"""
+    body = f"""SELECT 'FINDING|{rule.id}|' || dst || '|' || dst || '|' || substr(sha256({witness}), 1, 16) AS finding_id, '{rule.severity}' AS severity, file, source_line, sink_line, n{', ' + witness + ' AS witness' if with_witness else ''}
       FROM (SELECT file, sink_line, arg_min(src, sink_ord) AS src, arg_min(dst, sink_ord) AS dst, arg_min(source_line, sink_ord) AS source_line, count(*) AS n, list(src ORDER BY sink_ord, src) AS srcs FROM ({edges}) WHERE {' AND '.join(gates)} GROUP BY file, sink_line)"""
     return body
 
@@ -556,13 +557,20 @@ def _(v: Views) -> DataFrame:
     return b.intersect(t).withColumn("part", F.lit("both")).union(t.subtract(b).withColumn("part", F.lit("only_target")))
 
 
-@query("q75_evidence_bundles", sql(f"SELECT substr(sha256(finding_id), 1, 24) AS folder, finding_id FROM ({_finding_sql(rules.FLOW_RULES['RULE-XSS-001'], 'SELECT * FROM v_flows')})", "v_flows"))
+@query(
+    "q75_evidence_bundles",
+    sql(
+        f"""SELECT substr(sha256(finding_id), 1, 24) AS folder, finding_id, witness, (SELECT substr(string_agg(f.id, chr(10) ORDER BY f.line, f.id), 1, 4000) FROM v_facts f WHERE f.file = w.file AND f.line BETWEEN greatest(1, w.sink_line - 1) AND w.sink_line + 3) AS excerpt
+        FROM ({_finding_sql(rules.FLOW_RULES['RULE-XSS-001'], 'SELECT * FROM v_flows', with_witness=True)}) w""",
+        "v_flows",
+    ),
+)
 def _(v: Views) -> DataFrame:
     from ..sources import sinks
 
     found = rules.flow_findings(flows.flows(v.facts(), cap=None), rules.FLOW_RULES["RULE-XSS-001"])
     excerpts = report.excerpts(found.select(F.col("finding_id").alias("id"), "file", F.col("sink_line").alias("line")), v.facts().select("file", "line", F.col("id").alias("text")))
-    return sinks.evidence(found, excerpts).select("folder", "finding_id")
+    return sinks.evidence(found, excerpts)
 
 
 # --- code from end to end ------------------------------------------------------------------------------------------------
