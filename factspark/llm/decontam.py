@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import slices, staged
+from ._common import discard, slices, staged
 
 #: A-Z to a-z; every byte that is no letter, digit or part of a non-ASCII character to a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -147,7 +147,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: st
     sorted strings).
 
     The benchmark goes to the workers as one broadcast and is built once a worker. One of more than BLOCK_BYTES is cut into blocks
-    by the hash of its texts, and each block is a pass of its own whose result is staged: memory is that of a block, whatever the
+    by the hash of its texts, and each block is a pass of its own whose result is staged in place of the one before: memory is that of a block, whatever the
     benchmark's size. Null texts and texts without words have no words and no hits, in either table; an item without id still
     marks words; repeated items count once; an empty benchmark hits nothing. Columns of those names are replaced, all others kept.
     """
@@ -160,6 +160,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: st
     names = out.columns
     at = names.index(text)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    out_of_pass: DataFrame | None = None
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k) if blocks > 1 else bench
         items = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.toLocalIterator()])
@@ -178,7 +179,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: st
 
         out = out.mapInArrow(run, out.schema)
         if blocks > 1:
-            out = staged(out, "leaks")
+            out, before = staged(out, "leaks"), out_of_pass
+            out_of_pass = out
+            if before is not None:
+                discard(before)
             items.unpersist()
     return out
 
