@@ -1,5 +1,6 @@
 """Best-fit decreasing against a scan over all bins, and the packing of documents."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -111,3 +112,30 @@ def test_pack_many(spark):
 
 def test_no_rows(spark):
     assert bestfit.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no generated tables")
+def test_the_query_on_whole_tables(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    want = {}
+    for i, t in docs:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        first = (len(ids) - 1) % 2048 + 1
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[i, k] = (a, b - a, zlib.crc32(ids[a:b].tobytes()))
+    rows = bestfit.op13_best_fit(spark, SF).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    used: dict = {}
+    for r in rows:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in used.values():
+        ends = [o + n for o, n in sorted(parts)]
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(used) == len(scan([n for _, n, _ in want.values()], 2048))
