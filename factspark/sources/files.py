@@ -23,6 +23,10 @@ class Quotas:
     max_depth: int = 64
 
 
+#: For tables that are taken whole: no file is left out for its size or for those before it.
+WHOLE = Quotas(*[2**63 - 1] * 4)
+
+
 def read_tree(spark: SparkSession, root: str, max_file_bytes: int | None = None) -> DataFrame:
     """rel_path, size, mtime, content of every file below root; size filters reach the scan."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)

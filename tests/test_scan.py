@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from factspark.operators import enrich, graph, platform, structure
 from factspark.operators.lift import lift, spans_of
 from factspark.plans.scan import parseable, scan
+from factspark.sources.files import Quotas, classified
 
 PLUGIN = """<?php
 add_action('init', 'boot');
@@ -132,3 +133,27 @@ def test_statements_are_spans():
     got = [r[2] for r in spans_of(text, "php", "f")[0] if r[1] == "expression_statement"]
     assert got == ["$a = 1;", "f();", "$c = 2;", "g();", "$h = function($x) { return k($x); };"]
     assert [r[2] for r in spans_of(text, "php", "f")[0] if r[1] == "subscript_expression"] == ["$_POST['x']"]
+
+
+@pytest.mark.parametrize("name", ["q76_scan"])
+def test_queries_scan_the_whole_table(spark, monkeypatch, name):
+    """More files than a folder's scan takes by default: the query leaves none out."""
+    import sys
+
+    from factspark.plans.queries import QUERIES
+
+    class Given(Exception):
+        pass
+
+    def given(files, snapshot, profile="full", quotas=Quotas(), **rest):
+        raise Given(quotas)
+
+    scans = sys.modules["factspark.plans.scan"]
+    monkeypatch.setattr(scans, "scan", given)
+    with pytest.raises(Given) as got:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    (quotas,) = got.value.args
+    n = Quotas().max_files + 1
+    many = spark.range(n).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".php")).alias("rel_path"), F.lit(2**40).alias("size"))
+    kept = classified(scans.quota_kept(many, quotas), quotas)
+    assert kept.where("parse_policy = 'parse' and language = 'php'").count() == n
