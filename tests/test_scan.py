@@ -135,7 +135,7 @@ def test_statements_are_spans():
     assert [r[2] for r in spans_of(text, "php", "f")[0] if r[1] == "subscript_expression"] == ["$_POST['x']"]
 
 
-@pytest.mark.parametrize("name", ["q76_scan"])
+@pytest.mark.parametrize("name", ["q76_scan", "q85_all_rules"])
 def test_queries_scan_the_whole_table(spark, monkeypatch, name):
     """More files than a folder's scan takes by default: the query leaves none out."""
     import sys
