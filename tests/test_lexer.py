@@ -3,10 +3,12 @@
 import random
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
-from factspark.operators import nesting
+from factspark.operators import lift, nesting
 from factspark.operators.lift import spans_of
 
 LONG = {
@@ -94,3 +96,52 @@ def test_a_hot_file_is_cut_and_swept_in_linear_time(spark):
 
 def test_no_spans(spark):
     assert nesting.enclosing(spark.createDataFrame([], SPANS), "a", "b").count() == 0
+
+
+class Rows:
+    """In place of a table: what lift gives to mapInArrow."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+@pytest.mark.parametrize(("language", "text"), [("php", "<?php\n" + "f($_GET['é']);\n" * 10)])
+def test_lift_passes_rows_on_before_a_batch_is_read_to_its_end(language, text):
+    n, each = 2_000, len(spans_of(text, language, "f")[0])
+    rows = pa.RecordBatch.from_pydict({"file": [f"f{i}" for i in range(n)], "language": [language] * n, "text": [text] * n})
+    run = lift.lift(Rows())
+    tracemalloc.start()
+    try:
+        sizes = [b.num_rows for b in run(iter([rows]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == n * each and each >= 30 and max(sizes) <= lift.ROWS
+    assert peak < 8e6
+    whole = pa.Table.from_batches(run(iter([rows.slice(0, 200)])))
+    want = [(f"f{i}", *s, k, None) for i in range(200) for k, s in enumerate(spans_of(text, language, f"f{i}")[0])]
+    assert [tuple(r.values()) for r in whole.to_pylist()] == want
+
+
+def test_lift_of_a_text_beyond_one_batch_of_rows_and_of_nothing():
+    run = lift.lift(Rows())
+    n = lift.ROWS + 1
+    rows = pa.RecordBatch.from_pydict({"file": ["a", "b", "c"], "language": ["php", "php", None], "text": ["<?php " + "f();" * lift.ROWS + "g(", None, None]})
+    got = pa.Table.from_batches(run(iter([rows]))).to_pylist()
+    assert [r["ord"] for r in got if r["kind"] == "function_call_expression"] == sorted(r["ord"] for r in got if r["kind"] == "function_call_expression") and sum(r["kind"] == "function_call_expression" for r in got) == n
+    assert [(r["file"], r["kind"], r["diagnostic"]) for r in got[-1:]] == [("a", None, "SYNTAX_ERROR")]
+    assert not list(run(iter([rows.slice(1)])))
+
+
+def test_bytes_of_a_long_text_cost_no_list_of_its_length():
+    text = "é" * 1_000_000 + "<p>ü\n</p>"
+    tracemalloc.start()
+    try:
+        ((_, _, _, start, end, *_),) = spans_of(text, "html", "f")[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (start, end) == (2_000_000, 2_000_010) and peak < 12e6
