@@ -108,7 +108,7 @@ class Rows:
         return run
 
 
-@pytest.mark.parametrize(("language", "text"), [("php", "<?php\n" + "f($_GET['é']);\n" * 10)])
+@pytest.mark.parametrize(("language", "text"), [("html", "<p><b>é</b></p>\n" * 20), ("php", "<?php\n" + "f($_GET['é']);\n" * 10)])
 def test_lift_passes_rows_on_before_a_batch_is_read_to_its_end(language, text):
     n, each = 2_000, len(spans_of(text, language, "f")[0])
     rows = pa.RecordBatch.from_pydict({"file": [f"f{i}" for i in range(n)], "language": [language] * n, "text": [text] * n})
