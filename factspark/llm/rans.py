@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -58,8 +59,8 @@ class Table:
 def encode_block(ids: np.ndarray, t: Table) -> tuple[bytes, bytes]:
     """(states, words): id i goes to lane i mod lanes; words stand in the order in which the decoder reads them."""
     lanes = min(LANES, len(ids))
-    sym = t.index[ids]
-    freq, start = t.freq[sym], t.start[sym]
+    sym = t.index.take(ids)
+    freq, start = t.freq.take(sym), t.start.take(sym)
     x = np.full(lanes, _LOW, np.uint64)
     bits, top = np.uint64(t.bits), np.uint64(31 - t.bits + 32)
     words = []
@@ -82,9 +83,9 @@ def decode_block(states: bytes, words: bytes, n: int, t: Table, slots: np.ndarra
     for at in range(0, n, lanes):
         y = x[: min(lanes, n - at)]
         low = y & mask
-        sym = slots[low]
-        out[at : at + len(y)] = t.ids[sym]
-        y = t.freq[sym] * (y >> bits) + low - t.start[sym]
+        sym = slots.take(low.view(np.int64))
+        out[at : at + len(y)] = t.ids.take(sym)
+        y = t.freq.take(sym) * (y >> bits) + low - t.start.take(sym)
         if k := int(np.count_nonzero(under := y < _LOW)):
             y[under] = (y[under] << np.uint64(32)) | w[used : used + k]
             used += k
@@ -133,7 +134,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", id
         e = encoder(path)
         end = np.array([end_id], e.dtype).tobytes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([e.encode(t) + end for t in b.column(1).to_pylist()], pa.binary())], ["id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x + end for x in e.encode_each(b.column(1))], pa.binary())], ["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, "id long, ids binary")
 
@@ -144,8 +145,10 @@ def count_ids(tokens: DataFrame, width: int) -> Table:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0):
-                c = np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"))
+            for at in range(0, b.num_rows, 256):
+                some = b.column(0).slice(at, 256)
+                joined = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), b"")[0].as_buffer()
+                c = np.bincount(np.frombuffer(joined, f"<u{width}"))
                 if len(c) > len(total):
                     total = np.pad(total, (0, max(len(c), 2 * len(total)) - len(total)))
                 total[: len(c)] += c

@@ -8,6 +8,8 @@ import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The split patterns of the two tokenizer files (fixed values).
@@ -22,9 +24,13 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+#: Signs that end a word in both files; what follows them is a run of its own, cut the same way wherever it stands.
+_MARKS = ".,:;!?#$%&*+=@^~|/)(-_\"]}["
 #: What isn't a single blank or line break between words: other white space, and any two next to each other.
 _SPACES = (*("".join((a, b)) for a in " \n" for b in " \n"), *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 _ASCII_SPACES = tuple(c for c in _SPACES if c.isascii())
+#: Texts that aren't words between single blanks and line breaks only, or may hold a special token (RE2's syntax).
+_ODD = r"\A[ \n]|[ \n]\z|[ \n]{2}|<\||[" + "".join(rf"\x{{{ord(c):x}}}" for c in _SPACES if len(c) == 1) + "]"
 
 
 class _Known(dict):
@@ -68,7 +74,7 @@ class WordEncoder:
         self.letters = _byte_letters()
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.first = _Known(lambda p: self._piece("", p), cache)
-        self.rest = _Known(lambda p: self._piece(" ", p), cache)
+        self.rest = _Known(self._after, cache)
         self.newline = b"" if self.words or self.plain else self.first["\n"]
 
     def _ids(self, letters: str) -> bytes:
@@ -80,10 +86,16 @@ class WordEncoder:
     def _piece(self, blank: str, piece: str) -> bytes:
         if piece.isalpha():
             return self._ids(self.letters[32] + piece if blank else piece) if piece.isascii() else self._merge(blank + piece)
-        if (word := piece[:-1]).isalpha() and piece[-1] in ".,:;!?":
-            return (self.rest if blank else self.first)[word] + self.first[piece[-1]]
+        if (word := piece.rstrip(_MARKS)).isalpha():
+            return (self.rest if blank else self.first)[word] + self.first[piece[len(word) :]]
         return b"".join(map(self._merge, (WORD_SPLIT if self.words else BYTE_SPLIT).findall(blank + piece)))
 
+    def _after(self, piece: str) -> bytes:
+        """A piece that stands after a blank; one marked by a line break stands after that, one marked by a return begins its text."""
+        if piece[0] == "\n":
+            return self.newline + self.first[piece[1:]]
+        return self.first[piece[1:]] if piece[0] == "\r" else self._piece(" ", piece)
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -109,6 +121,40 @@ class WordEncoder:
         return self.newline.join(out)
 
 
+    def encode_each(self, texts: pa.Array, size: int = 1 << 23) -> list[bytes]:
+        """encode(text) of each of the texts. The distinct pieces of some texts at a time, about so many bytes, are looked up once."""
+        if self.plain or self.words:
+            return list(map(self.encode, texts.to_pylist()))
+        out, at = [], 0
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())).to_numpy()
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            out += self._of_some(texts.slice(at, to - at))
+            at = to
+        return out
+
+    def _of_some(self, texts: pa.Array) -> list[bytes]:
+        odd = pc.fill_null(pc.or_(pc.match_substring_regex(texts, _ODD), pc.equal(pc.binary_length(texts), 0)), True)
+        plain = texts.filter(pc.invert(odd))
+        encoded = iter(self._of_plain(plain) if len(plain) else ())
+        return [self.encode(texts[i].as_py()) if o else next(encoded) for i, o in enumerate(odd.to_pylist())]
+
+    def _of_plain(self, texts: pa.Array) -> list[bytes]:
+        marked = pc.binary_join_element_wise(pa.scalar("\r", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("", texts.type))
+        words = pc.split_pattern(marked, " ")
+        pieces = words.flatten().dictionary_encode()
+        known = list(map(self.rest.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False)))
+        n = np.fromiter(map(len, known), np.int32, len(known)) // self.dtype.itemsize
+        ids, starts = np.frombuffer(b"".join(known), self.dtype), np.cumsum(n, dtype=np.int32) - n
+        place = pieces.indices.to_numpy()
+        n, starts = n[place], starts[place]
+        ends = np.cumsum(n, dtype=np.int32)
+        got = ids[np.repeat(starts - (ends - n), n) + np.arange(ends[-1], dtype=np.int32)].tobytes()
+        last = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        cuts = [0, *(ends[last - 1] * self.dtype.itemsize).tolist()]
+        return [got[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 

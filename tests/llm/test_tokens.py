@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,51 @@ def test_word_wise_ids_are_the_librarys(name):
         assert e.encode(t) == e.whole(t), t
 
 
+SPACES = [f"a{c}b" for c in map(chr, range(0x3001)) if c.isspace()] + [f"{a}b" for a in " \n"] + [f"b{a}" for a in " \n"]
+MARKED = [f"word{m}" for m in (".", "...", "!!", "###", ",&", "'s.", "_", '."', "()", "-a.", "1.", "é.", ")'t")]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("size", [1, 300, 1 << 23])
+def test_ids_of_many_texts_are_the_librarys(name, size):
+    e = WordEncoder(public_tokenizers.path(name), cache=50)
+    rng = random.Random(2)
+    texts = [*ODD, None, *SPACES, *MARKED, *(f"x {m}\n{m} y" for m in MARKED)] + ["\n".join(" ".join(rng.choice(["The", "cat", "é.", "x##", "##", "ßa,"]) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 4))) for _ in range(200)]
+    want = [e.whole(t or "") for t in texts]
+    assert e.encode_each(pa.array(texts, pa.string()), size) == want
+    assert e.encode_each(pa.array([None, *texts], pa.string()).slice(1), size) == want
+    assert e.encode_each(pa.array(texts, pa.large_string()), size) == want
+    assert e.encode_each(pa.array([], pa.string()), size) == [] and e.encode_each(pa.array([None, ""], pa.string()), size) == [b"", b""]
+
+
+def test_tokens_are_looked_up_once_a_distinct_piece_and_merged_once_a_word(spark, monkeypatch):
+    """What tokenize does over many alike texts grows with their distinct words, not with all of them."""
+    e = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    looked, merged, get, ids = [], [], type(e.rest).__getitem__, e._ids
+
+    class Counted(type(e.rest)):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return get(self, piece)
+
+    e._ids = lambda letters: merged.append(letters) or ids(letters)
+    e.first, e.rest = Counted(e.first.encode, 1_000), Counted(e.rest.encode, 1_000)
+    monkeypatch.setattr(rans, "encoder", lambda path: e)
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    text = "the cat### the cat... the cat"
+    run = rans.tokenize(Rows(), "")
+    (got,) = run(iter([pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([text] * 500)], ["id", "text"])]))
+    assert set(got.column(1).to_pylist()) == {e.whole(text) + (2).to_bytes(2, "little")}
+    assert len(looked) < 20 and len(merged) == len(set(merged)) == 5
+
+
 def test_crc_of_parts():
     data = bytes(range(256)) * 9
     for cut in ([0], [1, 700], [3, 4, 2000]):
