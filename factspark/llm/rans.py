@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,19 +105,20 @@ def crc_of_parts(parts: list[tuple[int, int]]) -> int:
 
 
 def _shifted(crc: int, size: int) -> int:
-    """crc after size zero bytes more, without the pre- and post-conditioning: powers of the one-bit shift over GF(2)."""
-    even = [0xEDB88320, *(1 << i for i in range(31))]
-    times = lambda m, v: _apply(m, v)
-    square = lambda m: [times(m, c) for c in m]
-    op = square(square(square(even)))
-    while size:
-        if size & 1:
-            crc = times(op, crc)
-        op = square(op)
-        size >>= 1
+    """crc after size zero bytes more, without the pre- and post-conditioning."""
+    for i in range(size.bit_length()):
+        if size >> i & 1:
+            crc = _apply(_zero_bytes(i), crc)
     return crc
 
 
+@cache
+def _zero_bytes(i: int) -> list[int]:
+    """The step of 2**i zero bytes over GF(2): powers of the one-bit shift, each made once a worker."""
+    square = lambda m: [_apply(m, c) for c in m]
+    return square(_zero_bytes(i - 1)) if i else square(square(square([0xEDB88320, *(1 << k for k in range(31))])))
+
+
 def _apply(m: list[int], v: int) -> int:
     out, i = 0, 0
     while v:

@@ -76,6 +76,15 @@ def test_crc_of_parts():
         assert rans.crc_of_parts([(len(p), zlib.crc32(p)) for p in parts]) == zlib.crc32(data)
 
 
+def test_crc_of_many_parts_makes_its_powers_once(monkeypatch):
+    done, apply = [], rans._apply
+    monkeypatch.setattr(rans, "_apply", lambda m, v: done.append(0) or apply(m, v))
+    data = bytes(range(250)) * 1_000
+    parts = [data[a : a + 2_500] for a in range(0, len(data), 2_500)]
+    assert rans.crc_of_parts([(len(p), zlib.crc32(p)) for p in parts]) == zlib.crc32(data)
+    assert len(done) < 3_000
+
+
 @pytest.mark.parametrize("n", [1, 2, 1023, 1024, 1025, 20_000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
